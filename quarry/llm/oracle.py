@@ -70,3 +70,19 @@ select page_id, host, path, rule,
   case rule when 'example.com/de/' then 'block' when 'net/' then 'block' when 'example.net/en/' then 'allow' when 'org/fr/' then 'allow'
   else case when low > 0.3 then 'block' else 'allow' end end as verdict from fit
 """
+
+SQL["op7_decontaminate"] = r"""
+with t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+win as (select item_id, m, list_aggregate(ws[i:i+m-1], 'string_agg', ' ') as g
+        from (select item_id, ws, least(13, len(ws)) as m, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) as i from b where len(ws) > 0)),
+lens as (select distinct m from win),
+dw as (select doc_id, m, i, list_aggregate(ws[i:i+m-1], 'string_agg', ' ') as g
+       from (select doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) as i from t, lens where len(ws) >= m)),
+hit as (select distinct dw.doc_id, dw.i, dw.m, win.item_id from dw join win on win.m = dw.m and win.g = dw.g),
+covered as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + m)) as p from (select distinct doc_id, i, m from hit)) group by doc_id),
+items as (select doc_id, count(*) as n, string_agg(item, ',' order by item) as ids from (select distinct doc_id, item_id::varchar as item from hit) group by doc_id)
+select t.doc_id, len(ws)::bigint as n_words, coalesce(c.n, 0)::bigint as n_hit, coalesce(x.n, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256,
+  coalesce(c.n, 0) > 0 and 20 * coalesce(c.n, 0) >= len(ws) as contaminated
+from t left join covered c on c.doc_id = t.doc_id left join items x on x.doc_id = t.doc_id
+"""

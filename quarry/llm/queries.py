@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.llm import oracle
 from quarry.llm.common import table
@@ -33,6 +34,28 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.decontaminate import contaminated, find_contamination
+
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("item_ids", ","), 256)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), items.alias("items_sha256"), contaminated().alias("contaminated")
+    )
+
+
+def op5_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.bpe import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.token_orc import store_and_read
+
+    return store_and_read(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
