@@ -86,3 +86,12 @@ select t.doc_id, len(ws)::bigint as n_words, coalesce(c.n, 0)::bigint as n_hit,
   coalesce(c.n, 0) > 0 and 20 * coalesce(c.n, 0) >= len(ws) as contaminated
 from t left join covered c on c.doc_id = t.doc_id left join items x on x.doc_id = t.doc_id
 """
+
+SQL["op3_warc_zstd"] = """
+with p as (select page_id, coalesce(html, '') as h, sha256(coalesce(html, '')) as d, strlen(coalesce(html, '')) as n from pages),
+f as (select d, min(page_id) as first_id from p where n >= 100 group by d)
+select page_id, n::bigint as payload_bytes, p.d as payload_digest,
+  case when n >= 100 and page_id <> first_id then 'revisit' else 'response' end as record_type,
+  case when n >= 100 and page_id <> first_id then first_id end as refers_to
+from p left join f on f.d = p.d
+"""
