@@ -62,6 +62,14 @@ def op3_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_and_read(table(spark, sf_dir, "pages"))
 
 
+def op2_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.pii_bootstrap import KINDS, count_of, extract, joined
+
+    spans = extract(table(spark, sf_dir, "documents"))
+    counts = [count_of(F.col("spans"), k).alias(f"n_{k}") for k in KINDS]
+    return spans.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
