@@ -70,6 +70,12 @@ def op2_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.context_tree import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents")).drop("n_bytes")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
