@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import written
 
-DEPTH = 4
+DEPTH = 5
 FREQUENT = 65_536
 #: Bytes of text whose strings are held as numbers at once.
 PIECE = 4 << 20
@@ -157,17 +157,18 @@ def kt_log(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 def bit_counts(codes: np.ndarray, counts: np.ndarray, d: int) -> tuple:
     """(keys, n0, n1) of the nodes at depth d: key is the context's d bytes, then the path of bits as a heap index."""
-    context = (codes >> np.uint64(8)) & np.uint64((1 << 8 * d) - 1)
-    byte = codes & np.uint64(255)
-    keys, bits = [], []
-    for k in range(8):
-        node = np.uint64(1 << k) | (byte >> np.uint64(8 - k))
-        keys.append((context << np.uint64(8)) | node)
-        bits.append((byte >> np.uint64(7 - k)) & np.uint64(1))
-    unique, at = np.unique(np.concatenate(keys), return_inverse=True)
-    bits, n = np.concatenate(bits), np.tile(counts, 8).astype(float)
-    ones = np.bincount(at, n * bits, len(unique))
-    return unique, np.bincount(at, n, len(unique)) - ones, ones
+    short = codes & np.uint64((1 << 8 * (d + 1)) - 1)
+    short, n = merged((short, counts), (short[:0], counts[:0]))
+    context, byte = short & ~np.uint64(255), short & np.uint64(255)
+    parts = []
+    for k in range(8):  # of one length of path, keys come sorted
+        keys = context | np.uint64(1 << k) | (byte >> np.uint64(8 - k))
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        ones = n * ((byte >> np.uint64(7 - k)) & np.uint64(1)).astype(np.int64)
+        parts.append((keys[first], np.add.reduceat(n, first), np.add.reduceat(ones, first)) if len(first) else (keys, n, n))
+    keys, n, ones = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys)
+    return keys[order], (n - ones)[order].astype(float), ones[order].astype(float)
 
 
 def level(keys, n0, n1, below, own_weight_only: bool) -> tuple:
@@ -256,28 +257,61 @@ def block_bounds(gram_counts: DataFrame, block_grams: int) -> list[tuple[int, in
     return [*out, (start, 1 << 16)]
 
 
-def build(gram_counts: DataFrame, depth: int, block_grams: int):
-    """Broadcast blocks: a list of (first pair, pair after the last, broadcast levels from 2 on), and the broadcast levels 0 and 1."""
+def subtree(codes: np.ndarray, counts: np.ndarray, depth: int):
+    """Yields (d, keys, chance of a one, own weight, 0) for d from depth to 2, then (1, keys, n0, n1, sums over children)."""
+    below = None
+    for d in range(depth, 1, -1):
+        keys, n0, n1 = bit_counts(codes, counts, d)
+        total = None if below is None else child_sums(keys, below[0], below[1], d)
+        keys, one, weight, weighted = level(keys, n0, n1, total, below is None)
+        yield d, keys, one, weight, np.zeros(len(keys))
+        below = (keys, weighted)
+    keys, n0, n1 = bit_counts(codes, counts, 1)
+    yield 1, keys, n0, n1, child_sums(keys, *below, 1)
+
+
+def subtrees(gram_counts: DataFrame, depth: int, parts: int) -> DataFrame:
+    """Rows of subtree() for all strings, in parts by the last two context bytes, each small enough for a task."""
+    names = ["d", "key", "a", "b", "c"]
+
+    def run(batches):
+        seen = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches]
+        if not seen:
+            return
+        codes, counts = merged(tuple(np.concatenate(x) for x in zip(*seen, strict=True)), (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+        for d, keys, *values in subtree(codes, counts, depth) if len(codes) else ():
+            for at in range(0, len(keys), 200_000):
+                cut = slice(at, at + 200_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[cut]), d, np.int32)), pa.array(keys[cut].view(np.int64)), *(pa.array(v[cut]) for v in values)], names)
+
+    return gram_counts.repartition(parts, F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))).select("gram", "n").mapInArrow(run, "d int, key long, a double, b double, c double")
+
+
+def build(gram_counts: DataFrame, depth: int, block_grams: int, parts: int = 24):
+    """Broadcast blocks: a list of (first pair, pair after the last, broadcast levels from 2 on), and the broadcast levels 0 and 1.
+
+    The levels from 2 on are made on the executors; what the driver holds is one
+    block's finished nodes, and 65,536 nodes of the level above.
+    """
     sc = gram_counts.sparkSession.sparkContext
     pair = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
-    blocks, tops, sums = [], [], []
+    blocks, tops = [], []
     for lo, hi in block_bounds(gram_counts, block_grams):
-        rows = gram_counts.filter((pair >= lo) & (pair < hi)).toArrow()
-        codes = rows.column("gram").to_numpy().view(np.uint64)
-        order = np.argsort(codes)
-        codes, counts = codes[order], rows.column("n").to_numpy()[order]
-        levels, below = {}, None
-        for d in range(depth, 1, -1):
-            keys, n0, n1 = bit_counts(codes, counts, d)
-            total = None if below is None else child_sums(keys, below[0], below[1], d)
-            keys, one, weight, weighted = level(keys, n0, n1, total, below is None)
-            levels[d], below = (keys, one.astype(np.float32), weight.astype(np.float32)), (keys, weighted)
-        blocks.append((lo, hi, sc.broadcast([levels[d] for d in range(2, depth + 1)])))
-        keys, n0, n1 = bit_counts(codes, counts, 1)
-        tops.append((keys, n0, n1, child_sums(keys, *below, 1)))
-    keys = np.concatenate([t[0] for t in tops])
-    unique, at = np.unique(keys, return_inverse=True)
-    n0, n1, below = (np.bincount(at, np.concatenate([t[k] for t in tops]), len(unique)) for k in (1, 2, 3))
+        nodes = written(subtrees(gram_counts.filter((pair >= lo) & (pair < hi)), depth, parts), "nodes")
+        levels = []
+        for d in range(2, depth + 1):
+            rows = nodes.filter(F.col("d") == d).select("key", F.col("a").cast("float"), F.col("b").cast("float")).toArrow()
+            keys = rows.column(0).to_numpy().view(np.uint64)
+            order = np.argsort(keys)
+            levels.append((keys[order], rows.column(1).to_numpy()[order], rows.column(2).to_numpy()[order]))
+            del rows, keys, order
+        shared = sc.broadcast(levels)
+        del levels
+        blocks.append((lo, hi, shared))
+        tops.append(nodes.filter("d = 1").groupBy("key").agg(F.sum("a"), F.sum("b"), F.sum("c")).toArrow())
+    columns = [np.concatenate([t.column(k).to_numpy() for t in tops]) for k in range(4)]
+    unique, at = np.unique(columns[0].view(np.uint64), return_inverse=True)
+    n0, n1, below = (np.bincount(at, columns[k], len(unique)) for k in (1, 2, 3))
     one_level = level(unique, n0, n1, below, False)
     root, at = np.unique(unique & np.uint64(255), return_inverse=True)
     top = level(root, np.bincount(at, n0, len(root)), np.bincount(at, n1, len(root)), np.bincount(at, one_level[3], len(root)), False)
