@@ -49,11 +49,14 @@ def unassigned_ranges() -> list[tuple[int, int]]:
 
 
 LONG_WORD = 256
-CACHE = 400_000
+ID_BITS = 24
+ID_MASK = (1 << ID_BITS) - 1
+NO_RANK = 1 << 60
+CACHE = 1_000_000
 #: Characters without a meaning in the Unicode version of Python itself; libraries with newer or older tables disagree on them.
 _NEWER = regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in unassigned_ranges()) + "]")
 #: Characters on which Python's str.split cuts but the vocabulary's pattern does not see white space.
-_ODD = regex.compile(r"[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -75,6 +78,22 @@ def _pattern(spec: dict):
     return Regex(next(s["pattern"]["Regex"] for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split"))
 
 
+class _Memo(dict):
+    """What make gives for a piece; short pieces are remembered, CACHE of them at most."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, piece: str):
+        out = self.make(piece)
+        if len(self) >= CACHE:
+            self.clear()
+        if len(piece) <= 64:
+            self[piece] = out
+        return out
+
+
 class RankArrayBPE:
     def __init__(self, spec: str):
         """spec: the JSON of a tokenizer file with BPE over words with an end-of-word mark."""
@@ -85,64 +104,88 @@ class RankArrayBPE:
         symbols = byte_symbols()
         self.first = [self.vocab.get(s) for s in symbols]
         self.last = [self.vocab.get(s + suffix) for s in symbols]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
+        # after[a][b]: the rank of the pair (a, b), counted from 1, above the id that it merges to.
+        none: dict[int, int] = {}
+        self.after: list[dict[int, int]] = [none] * (max(self.vocab.values()) + 1)
+        for rank, pair in enumerate(model["merges"], 1):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+            if self.after[self.vocab[a]] is none:
+                self.after[self.vocab[a]] = {}
+            self.after[self.vocab[a]][self.vocab[b]] = rank << ID_BITS | self.vocab[a + b]
+        self.words_seen: dict[str, list[int]] = {}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         self.words = regex.compile(next(s["pattern"]["Regex"] for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split"))
         self.names = {i: s for s, i in {**self.vocab, **self.special}.items()}
-        self.pieces: dict[str, tuple[bytes, str]] = {}
+        self.spaced = {i: f"{s} " for i, s in self.names.items()}
+        self.ids_of = _Memo(lambda piece: array("I", self.piece_ids(piece)).tobytes())
+        self.names_of = _Memo(lambda piece: "".join(map(self.spaced.__getitem__, array("I", self.ids_of[piece]))))
         self.spec, self.library = json.dumps(spec), None
 
     def word_ids(self, word: str) -> list[int]:
-        data = word.encode("utf-8")
+        known = self.words_seen.get(word)
+        if known is None:
+            known = self.merge(word.encode("utf-8"))
+            if len(self.words_seen) >= CACHE // 4:
+                self.words_seen.clear()
+            if len(word) <= 64:
+                self.words_seen[word] = known
+        return known
+
+    def merge(self, data: bytes) -> list[int]:
+        """Ids of a word's bytes."""
         ids = [self.first[b] for b in data[:-1]] + [self.last[data[-1]]]
-        ids = [i for i in ids if i is not None]
+        if None in ids:
+            ids = [i for i in ids if i is not None]
         return self._scan(ids) if len(ids) <= LONG_WORD else self._heap(ids)
 
     def _scan(self, parts: list[int]) -> list[int]:
-        merges, none = self.merges, (1 << 60, -1)
-        ranks = [merges.get(p, none) for p in zip(parts, parts[1:], strict=False)]
+        after = self.after
+        ranks = [after[a].get(b, NO_RANK) for a, b in zip(parts, parts[1:], strict=False)]
         while ranks:
             best = min(ranks)
-            if best is none:
+            if best == NO_RANK:
                 break
             at = ranks.index(best)
-            parts[at] = best[1]
+            parts[at] = best & ID_MASK
             del parts[at + 1], ranks[at]
             if at:
-                ranks[at - 1] = merges.get((parts[at - 1], parts[at]), none)
+                ranks[at - 1] = after[parts[at - 1]].get(parts[at], NO_RANK)
             if at < len(ranks):
-                ranks[at] = merges.get((parts[at], parts[at + 1]), none)
+                ranks[at] = after[parts[at]].get(parts[at + 1], NO_RANK)
         return parts
 
     def _heap(self, parts: list[int]) -> list[int]:
-        n, merges = len(parts), self.merges
+        n, after_of = len(parts), self.after
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], i, m[1], parts[i], parts[i + 1]) for i in range(n - 1) if (m := merges.get((parts[i], parts[i + 1])))]
+        heap = [(m, i, parts[i], parts[i + 1]) for i in range(n - 1) if (m := after_of[parts[i]].get(parts[i + 1]))]
         heapq.heapify(heap)
         alive = [True] * n
         while heap:
-            _, i, new, a, b = heapq.heappop(heap)
+            m, i, a, b = heapq.heappop(heap)
             j = after[i] if alive[i] else n
             if j >= n or parts[i] != a or parts[j] != b:
                 continue
-            parts[i], alive[j], after[i] = new, False, after[j]
+            parts[i], alive[j], after[i] = m & ID_MASK, False, after[j]
             if after[j] < n:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (m := merges.get((parts[x], parts[y]))):
-                    heapq.heappush(heap, (m[0], x, m[1], parts[x], parts[y]))
+                if x >= 0 and y < n and (m := after_of[parts[x]].get(parts[y])):
+                    heapq.heappush(heap, (m, x, parts[x], parts[y]))
         return [p for p, ok in zip(parts, alive, strict=True) if ok]
 
     def piece_ids(self, piece: str) -> list[int]:
         """Ids of a text without special strings."""
-        if not piece.isascii() and _NEWER.search(piece):
+        if piece.isascii():
+            text = piece.lower()
+            if text.isalpha():
+                return self.word_ids(text)
+        elif _NEWER.search(piece):
             return self._newer_ids(piece)
-        text = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-        return [i for w in self.words.findall(text) for i in self.word_ids(w)]
+        else:
+            text = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+        words = self.words.findall(text)
+        return self.word_ids(words[0]) if len(words) == 1 else [i for w in words for i in self.word_ids(w)]
 
     def _newer_ids(self, piece: str) -> list[int]:
         """Where character tables may disagree, the library cuts the words; the merges stay ours."""
@@ -154,35 +197,25 @@ class RankArrayBPE:
         normalizer, split = self.library
         return [i for w, _ in split.pre_tokenize_str(normalizer.normalize_str(piece)) for i in self.word_ids(w)]
 
-    def _piece(self, piece: str) -> tuple[bytes, str]:
-        known = self.pieces.get(piece)
-        if known is None:
-            ids = self.piece_ids(piece)
-            known = (array("I", ids).tobytes(), "".join(f"{self.names[i]} " for i in ids))
-            if len(self.pieces) >= CACHE:
-                self.pieces.clear()
-            if len(piece) <= 64:
-                self.pieces[piece] = known
-        return known
-
-    def _plain(self, text: str, out: list, names: list) -> None:
-        for piece in [text] if _ODD.search(text) else text.split():
-            ids, name = self._piece(piece)
-            out.append(ids)
-            names.append(name)
+    def _plain(self, text: str, out: list, names: list | None) -> None:
+        pieces = [text] if any(c in text for c in _ODD) else text.split()
+        out.append(b"".join(map(self.ids_of.__getitem__, pieces)))
+        if names is not None:
+            names.append("".join(map(self.names_of.__getitem__, pieces)))
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """The ids as little-endian unsigned 32-bit integers, and the decoded text."""
+    def encode(self, text: str, decoded: bool = True) -> tuple[bytes, str]:
+        """The ids as little-endian unsigned 32-bit integers, and the decoded text (empty if not wanted)."""
         out: list[bytes] = []
-        names: list[str] = []
+        names: list[str] | None = [] if decoded else None
         at = 0
         for m in self.cut.finditer(text) if "<|" in text else ():
             self._plain(text[at : m.start()], out, names)
             out.append(array("I", [self.special[m[0]]]).tobytes())
-            names.append(m[0] + " ")
+            if names is not None:
+                names.append(m[0] + " ")
             at = m.end()
         self._plain(text[at:] if at else text, out, names)
-        return b"".join(out), "".join(names)[:-1]
+        return b"".join(out), "".join(names)[:-1] if names else ""
 
     def decode(self, ids) -> str:
         return " ".join(self.names[i] for i in ids if i in self.names)

@@ -30,8 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.bpe import RankArrayBPE, coder, read_spec
-from quarry.llm.common import fresh_path
+from quarry.llm.bpe import RankArrayBPE, byte_symbols, coder, read_spec
+from quarry.llm.common import fresh_path, written
 
 END_ID = 2
 ORC_OPTIONS = {
@@ -39,23 +39,22 @@ ORC_OPTIONS = {
     "orc.bloom.filter.fpp": "0.01",
     "orc.row.index.stride": "1000",
     "orc.stripe.size": str(8 << 20),
-    "orc.compress": "ZLIB",
+    "orc.compress": "ZSTD",
 }
 
 
 class LibraryCoder(RankArrayBPE):
-    """Codes each distinct piece between white space by the library itself."""
+    """Codes each distinct word by the library's own model; words are cut and remembered as in the parent."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         super().__init__(spec)
-        self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.model = Tokenizer.from_str(spec).model
+        self.symbols = byte_symbols()
 
-    def piece_ids(self, piece: str) -> list[int]:
-        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+    def merge(self, data: bytes) -> list[int]:
+        return [t.id for t in self.model.tokenize("".join(map(self.symbols.__getitem__, data)))]
 
 
 def with_range(docs: DataFrame, ranges: int) -> DataFrame:
@@ -83,7 +82,7 @@ def encode_ids(docs: DataFrame, path: str | None, end_id: int) -> DataFrame:
     def run(batches):
         code = coder(spec, LibraryCoder)
         for b in batches:
-            rows = [code.encode(x or "")[0] + end for x in b.column(2).to_pylist()]
+            rows = [code.encode(x or "", False)[0] + end for x in b.column(2).to_pylist()]
             offsets = np.cumsum([0] + [len(r) // 4 for r in rows], dtype=np.int32)
             flat = pa.array(np.frombuffer(b"".join(rows), np.int32))
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
@@ -117,8 +116,8 @@ def summarize_ids(files: DataFrame) -> DataFrame:
             sums = [zlib.crc32(data[4 * x : 4 * y]) for x, y in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pc.cast(pc.list_value_length(ids), pa.int64()), pa.array(sums, pa.int64())], ["part", "doc_id", "n_tokens", "ids_crc32"])
 
-    sizes = files.select("part", "doc_id", "ids").mapInArrow(run, f"part int, doc_id {kind}, n_tokens long, ids_crc32 long")
-    totals = sorted(files.groupBy("part").agg(F.sum(F.size("ids").cast("long")).alias("n")).collect())
+    sizes = written(files.select("part", "doc_id", "ids").mapInArrow(run, f"part int, doc_id {kind}, n_tokens long, ids_crc32 long"), "id-sizes")
+    totals = sorted(sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
     before, at = {}, 0
     for part, n in totals:
         before[part] = at
