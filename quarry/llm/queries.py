@@ -76,6 +76,12 @@ def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents")).drop("n_bytes")
 
 
+def op4_induced_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
