@@ -36,25 +36,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-def unassigned_ranges() -> list[tuple[int, int]]:
-    """Ranges of code points that unicodedata gives no category."""
-    out: list[tuple[int, int]] = []
-    for c in range(0x80, 0x110000):
-        if unicodedata.category(chr(c)) == "Cn":
-            if out and out[-1][1] == c - 1:
-                out[-1] = (out[-1][0], c)
-            else:
-                out.append((c, c))
-    return out
-
-
 LONG_WORD = 256
 ID_BITS = 24
 ID_MASK = (1 << ID_BITS) - 1
 NO_RANK = 1 << 60
 CACHE = 1_000_000
-#: Characters without a meaning in the Unicode version of Python itself; libraries with newer or older tables disagree on them.
-_NEWER = regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in unassigned_ranges()) + "]")
 #: Characters on which Python's str.split cuts but the vocabulary's pattern does not see white space.
 _ODD = "\x1c\x1d\x1e\x1f"
 
@@ -112,6 +98,7 @@ class RankArrayBPE:
             if self.after[self.vocab[a]] is none:
                 self.after[self.vocab[a]] = {}
             self.after[self.vocab[a]][self.vocab[b]] = rank << ID_BITS | self.vocab[a + b]
+        self.settled: set[str] = set()
         self.words_seen: dict[str, list[int]] = {}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
@@ -180,13 +167,19 @@ class RankArrayBPE:
             text = piece.lower()
             if text.isalpha():
                 return self.word_ids(text)
-        elif _NEWER.search(piece):
+        elif not self.settled.issuperset(piece) and not self._settle(piece):
             return self._newer_ids(piece)
         else:
             text = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
         words = self.words.findall(text)
         return self.word_ids(words[0]) if len(words) == 1 else [i for w in words for i in self.word_ids(w)]
 
+    def _settle(self, piece: str) -> bool:
+        """Whether Python's own Unicode version gives all characters a meaning; libraries with other versions may differ on the rest."""
+        known = {c for c in piece if unicodedata.category(c) != "Cn"}
+        self.settled |= known
+        return known.issuperset(piece)
+
     def _newer_ids(self, piece: str) -> list[int]:
         """Where character tables may disagree, the library cuts the words; the merges stay ours."""
         from tokenizers import Tokenizer, pre_tokenizers
