@@ -31,9 +31,11 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +43,9 @@ from quarry.llm.common import written
 
 DEPTH = 5
 FREQUENT = 65_536
-#: Bytes of text whose strings are held as numbers at once.
-PIECE = 4 << 20
+#: Bytes of text whose strings are held as numbers at once, and of texts that are handled together.
+PIECE = 1 << 20
+STEP = 4 << 20
 END = b"\n"  # as a token it cannot clash: words hold no white space
 
 
@@ -96,6 +99,19 @@ def merged(a: tuple, b: tuple) -> tuple:
     return codes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def steps(batch: pa.RecordBatch, column: int):
+    """Slices of a batch whose texts have about STEP bytes in all; a longer text stands alone."""
+    sizes = pc.binary_length(batch.column(column).cast(pa.binary())).fill_null(0).to_pylist()
+    at = size = 0
+    for k, n in enumerate(sizes):
+        if k > at and size + n > STEP:
+            yield batch.slice(at, k - at)
+            at, size = k, 0
+        size += n
+    if at < len(sizes):
+        yield batch.slice(at)
+
+
 def tokens_of(text: bytes) -> list[bytes]:
     return [*text.split(), END]
 
@@ -105,34 +121,40 @@ def count_training(docs: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
 
     def run(batches):
         tokens: Counter = Counter()
-        seen = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        held: list[tuple] = []
 
         def rows(token, gram, n):
             return pa.RecordBatch.from_arrays([pa.array(token, pa.binary()), pa.array(gram, pa.int64()), pa.array(n, pa.int64())], ["token", "gram", "n"])
 
         def out_tokens():
-            items = list(tokens.items())
-            for at in range(0, len(items), 50_000):
-                part = items[at : at + 50_000]
+            items = iter(tokens.items())
+            while part := list(islice(items, 20_000)):
                 yield rows([t for t, _ in part], [None] * len(part), [n for _, n in part])
             tokens.clear()
 
-        def out_grams():
-            for at in range(0, len(seen[0]), 100_000):
-                part = seen[0][at : at + 100_000].view(np.int64)
-                yield rows([None] * len(part), part, seen[1][at : at + 100_000])
+        def merge_held():
+            held[:] = [merged(tuple(np.concatenate(x) for x in zip(*held, strict=True)), (np.zeros(0, np.uint64), np.zeros(0, np.int64)))] if held else []
 
-        for b in batches:
+        def out_grams():
+            merge_held()
+            for codes, counts in held:
+                for at in range(0, len(codes), 50_000):
+                    part = codes[at : at + 50_000].view(np.int64)
+                    yield rows([None] * len(part), part, counts[at : at + 50_000])
+            held.clear()
+
+        for b in (s for b in batches for s in steps(b, 1)):
             texts = [(x.as_py() or b"").lower() for h, x in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True) if not h]
             for t in texts:
                 tokens.update(tokens_of(t))
-                if len(tokens) > 500_000:
-                    yield from out_tokens()
+            if len(tokens) > 300_000:
+                yield from out_tokens()
             for codes, _, _ in grams(texts, depth):
-                seen = merged(seen, np.unique(codes, return_counts=True))
-                if len(seen[0]) > 4_000_000:
+                held.append(np.unique(codes, return_counts=True))
+            if sum(len(x[0]) for x in held) > 2_500_000:
+                merge_held()
+                if len(held[0][0]) > 1_500_000:
                     yield from out_grams()
-                    seen = (seen[0][:0], seen[1][:0])
         yield from out_tokens()
         yield from out_grams()
 
@@ -363,7 +385,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, block_grams: int = 2_00
 
         known, number = often.value, TaskContext.get().partitionId() << 40
         log = math.log10
-        for b in batches:
+        for b in (s for b in batches for s in steps(b, 2)):
             texts = [(x.as_py() or b"").lower() for x in b.column(2).cast(pa.binary())]
             score = np.zeros(len(texts))
             for block in blocks:
@@ -377,19 +399,25 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, block_grams: int = 2_00
                     else:
                         values = model.log10(codes)
                     np.add.at(score, which, np.add.reduceat(values, np.r_[0, np.cumsum(sizes)[:-1]]))
-            n_tokens, n_known, base, rare = [], [], [], []
+            n_tokens, n_known, base = [], [], []
+            rare, rare_n, ends = [], [], [0]
             for t in texts:
                 counts = Counter(tokens_of(t))
                 have = counts.keys() & known.keys()
                 n_tokens.append(sum(counts.values()))
                 n_known.append(sum(counts[x] for x in have))
                 base.append(math.fsum(counts[x] * log((known[x] + 1) / smooth) for x in have))
-                rare.append([{"token": x, "n": n} for x, n in counts.items() if x not in known])
+                new = counts.keys() - have
+                rare += new
+                rare_n += map(counts.__getitem__, new)
+                ends.append(len(rare))
             ids = np.arange(number, number + len(texts), dtype=np.int64)
             number += len(texts)
             longs = lambda x: pa.array(x, pa.int64())
+            rows_of = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), longs(rare_n)], fields=list(pairs))
+            rare_of = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows_of)
             yield pa.RecordBatch.from_arrays(
-                [longs(ids), b.column(0), b.column(1), longs(n_tokens), longs(n_known), pa.array(base, pa.float64()), pa.array(score), longs([len(t) for t in texts]), pa.array(rare, pa.list_(pairs))],
+                [longs(ids), b.column(0), b.column(1), longs(n_tokens), longs(n_known), pa.array(base, pa.float64()), pa.array(score), longs([len(t) for t in texts]), rare_of],
                 ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes", "rare"],
             )
 
