@@ -36,11 +36,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.common import in_small_batches
+
 LONG_WORD = 256
 ID_BITS = 24
 ID_MASK = (1 << ID_BITS) - 1
 NO_RANK = 1 << 60
-CACHE = 1_000_000
+CACHE = 600_000
 #: Characters on which Python's str.split cuts but the vocabulary's pattern does not see white space.
 _ODD = "\x1c\x1d\x1e\x1f"
 
@@ -250,7 +252,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_text: bool =
                 cols += [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat), pa.array([d for _, d in rows], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(cols)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def bpe_stage(docs: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import in_small_batches, written
 
 DEPTH = 5
 FREQUENT = 65_536
@@ -99,17 +99,20 @@ def merged(a: tuple, b: tuple) -> tuple:
     return codes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def steps(batch: pa.RecordBatch, column: int):
-    """Slices of a batch whose texts have about STEP bytes in all; a longer text stands alone."""
-    sizes = pc.binary_length(batch.column(column).cast(pa.binary())).fill_null(0).to_pylist()
-    at = size = 0
-    for k, n in enumerate(sizes):
-        if k > at and size + n > STEP:
-            yield batch.slice(at, k - at)
-            at, size = k, 0
-        size += n
-    if at < len(sizes):
-        yield batch.slice(at)
+def steps(batches, column: int, most: int = STEP):
+    """The rows of batches in batches whose texts have about ``most`` bytes in all; a longer text stands alone."""
+    held, size = [], 0
+    for batch in batches:
+        lengths = pc.binary_length(batch.column(column).cast(pa.binary())).fill_null(0).to_pylist()
+        at = 0
+        for k, n in enumerate(lengths):
+            if size and size + n > most:
+                yield pa.concat_batches([*held, batch.slice(at, k - at)])
+                held, size, at = [], 0, k
+            size += n
+        held.append(batch.slice(at))
+    if held:
+        yield pa.concat_batches(held)
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -143,7 +146,7 @@ def count_training(docs: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
                     yield rows([None] * len(part), part, counts[at : at + 50_000])
             held.clear()
 
-        for b in (s for b in batches for s in steps(b, 1)):
+        for b in steps(batches, 1):
             texts = [(x.as_py() or b"").lower() for h, x in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True) if not h]
             for t in texts:
                 tokens.update(tokens_of(t))
@@ -368,7 +371,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, block_grams: int = 2_00
     import uuid
 
     spark = docs.sparkSession
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held"), "text")
+    rows = in_small_batches(docs.select("doc_id", held_out(F.col("doc_id")).alias("held"), "text"))
     token_counts, gram_counts = count_training(rows, depth)
     size = token_counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, smooth = size.n, size.n + size.v + 1
@@ -385,7 +388,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, block_grams: int = 2_00
 
         known, number = often.value, TaskContext.get().partitionId() << 40
         log = math.log10
-        for b in (s for b in batches for s in steps(b, 2)):
+        for b in steps(batches, 2, STEP if len(blocks) == 1 else 16 * STEP):  # blocks are changed once a step
             texts = [(x.as_py() or b"").lower() for x in b.column(2).cast(pa.binary())]
             score = np.zeros(len(texts))
             for block in blocks:

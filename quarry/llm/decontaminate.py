@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import in_small_batches
+
 _WORDS = bytes(
     ord(chr(c).lower()) if chr(c).isascii() and chr(c).isalpha() else c if c >= 0x80 or chr(c).isdigit() else 0x20
     for c in range(256)
@@ -170,7 +172,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
                 ["doc_id", "n_words", "n_hit", "item_ids", "hit_spans"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA.format(kind=kind))
+    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(run, SCHEMA.format(kind=kind))
 
 
 def contaminated(min_percent: int = 5):

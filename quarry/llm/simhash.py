@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import LOWER, UPPER, written
+from quarry.llm.common import LOWER, UPPER, in_small_batches, written
 from quarry.llm.components import components
 
 SEGMENTS, BITS = 16, 4
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def _count_in(j: int) -> Column:

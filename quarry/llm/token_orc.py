@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import RankArrayBPE, byte_symbols, coder, read_spec
-from quarry.llm.common import fresh_path, written
+from quarry.llm.common import fresh_path, in_small_batches, written
 
 END_ID = 2
 ORC_OPTIONS = {
@@ -88,7 +88,7 @@ def encode_ids(docs: DataFrame, path: str | None, end_id: int) -> DataFrame:
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids], ["part", "doc_id", "ids"])
 
-    return docs.select("part", "doc_id", "text").mapInArrow(run, f"part int, doc_id {kind}, ids array<int>")
+    return in_small_batches(docs.select("part", "doc_id", "text")).mapInArrow(run, f"part int, doc_id {kind}, ids array<int>")
 
 
 def write_ids(docs: DataFrame, out: str, path: str | None = None, end_id: int = END_ID, ranges: int | None = None) -> None:

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fresh_path, written
+from quarry.llm.common import fresh_path, in_small_batches, written
 
 #: Of the WARC-in-Zstandard format: the skippable frame that holds a dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -199,7 +199,7 @@ def write_archives(pages: DataFrame, out: str) -> DataFrame:
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["path", "records", "raw_bytes", "bytes"])
 
-    return written(with_references(pages).mapInArrow(run, "path string, records long, raw_bytes long, bytes long"), "manifest")
+    return written(in_small_batches(with_references(pages)).mapInArrow(run, "path string, records long, raw_bytes long, bytes long"), "manifest")
 
 
 READ_SCHEMA = "page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}"
