@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def last_events(events: DataFrame, keys: list[str], ts: str, order: str, millis: int) -> DataFrame:
     """keys, bucket, last id and count of the events of each key in buckets of ``millis``; partial sums, no sort."""
-    bucket = F.floor(F.unix_millis(F.col(ts).cast("timestamp")) / millis).cast("bigint").alias("bucket")
+    bucket = F.floor((F.unix_micros(F.col(ts).cast("timestamp")) / 1000) / millis).cast("bigint").alias("bucket")
     return events.groupBy(*keys, bucket).agg(F.max_by(order, F.struct(ts, order)).alias("last_id"), F.count("*").alias("n"))
 
 
