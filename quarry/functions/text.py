@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 WORD_CUT = r"[^\p{L}\p{N}]+"
 MAX_CHUNK = 2000
+HOLDS = r"[^\x20\x09-\x0D]"
 
 
 def tokenize(text: Column) -> Column:
@@ -59,11 +60,11 @@ def chunk_lines(text: Column, most: int = MAX_CHUNK) -> Column:
     zero = F.struct(F.array().cast(out_type).alias("out"), F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit("").alias("buf"))
 
     def closed(a):
-        one = F.struct(a["first"].alias("start_line"), a["last"].alias("end_line"), F.rtrim(a["buf"]).alias("chunk"))
-        return F.when(F.trim(a["buf"]) == "", a["out"]).otherwise(F.array_append(a["out"], one))
+        one = F.struct(a["first"].alias("start_line"), a["last"].alias("end_line"), F.regexp_replace(a["buf"], r"[\x20\x09-\x0D]+$", "").alias("chunk"))
+        return F.when(~a["buf"].rlike(HOLDS), a["out"]).otherwise(F.array_append(a["out"], one))
 
     def step(a, x):
-        blank = F.trim(a["buf"]) == ""
+        blank = ~a["buf"].rlike(HOLDS)
         fits = F.octet_length(a["buf"]) + F.octet_length(x["s"]) + 1 <= most
         begin = F.struct(closed(a).alias("out"), x["line"].alias("first"), x["line"].alias("last"), x["s"].alias("buf"))
         grow = F.struct(a["out"].alias("out"), a["first"].alias("first"), x["line"].alias("last"), F.concat(a["buf"], F.lit("\n"), x["s"]).alias("buf"))

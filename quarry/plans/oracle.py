@@ -225,9 +225,9 @@ SQL["chunk_lines"] = r"""
 with recursive l as (select doc_id, i, string_split(coalesce(text, ''), chr(10))[i] as line from (select doc_id, text, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as i from documents)),
 p as (select doc_id, i, substr(line, k * 2000 + 1, 2000) as s, row_number() over (partition by doc_id order by i, k) as r from (select doc_id, i, line, unnest(range(0, (greatest(length(line), 1) - 1) // 2000 + 1)) as k from l)),
 f as (select doc_id, 0::bigint as r, 0::bigint as first, 0::bigint as last, '' as buf, []::struct(a bigint, b bigint, c varchar)[] as out from (select distinct doc_id from p) union all
- select p.doc_id, p.r, case when go then f.first else p.i end, p.i, case when go then buf || chr(10) || f.s else f.s end, case when go or trim(buf, ' ') = '' then out else list_append(out, {'a': f.first, 'b': f.last, 'c': rtrim(buf, ' ')}) end
- from (select f.*, p.i, p.s, p.r as pr, trim(buf, ' ') <> '' and strlen(buf) + strlen(p.s) + 1 <= 2000 as go from f join p on p.doc_id = f.doc_id and p.r = f.r + 1) f join p on p.doc_id = f.doc_id and p.r = f.pr),
-e as (select doc_id, case when trim(buf, ' ') = '' then out else list_append(out, {'a': first, 'b': last, 'c': rtrim(buf, ' ')}) end as out from f qualify row_number() over (partition by doc_id order by r desc) = 1)
+ select p.doc_id, p.r, case when go then f.first else p.i end, p.i, case when go then buf || chr(10) || f.s else f.s end, case when go or not regexp_matches(buf, '[^\x20\x09-\x0D]') then out else list_append(out, {'a': f.first, 'b': f.last, 'c': regexp_replace(buf, '[\x20\x09-\x0D]+$', '')}) end
+ from (select f.*, p.i, p.s, p.r as pr, regexp_matches(buf, '[^\x20\x09-\x0D]') and strlen(buf) + strlen(p.s) + 1 <= 2000 as go from f join p on p.doc_id = f.doc_id and p.r = f.r + 1) f join p on p.doc_id = f.doc_id and p.r = f.pr),
+e as (select doc_id, case when not regexp_matches(buf, '[^\x20\x09-\x0D]') then out else list_append(out, {'a': first, 'b': last, 'c': regexp_replace(buf, '[\x20\x09-\x0D]+$', '')}) end as out from f qualify row_number() over (partition by doc_id order by r desc) = 1)
 select doc_id, i - 1 as chunk_index, out[i].a as start_line, out[i].b as end_line, md5(out[i].c) as chunk from (select doc_id, out, unnest(range(1, len(out) + 1)) as i from e)
 """
 SQL["rename_positions"] = r"""
