@@ -101,20 +101,21 @@ class RankArrayBPE:
                 self.after[self.vocab[a]] = {}
             self.after[self.vocab[a]][self.vocab[b]] = rank << ID_BITS | self.vocab[a + b]
         self.settled: set[str] = set()
-        self.words_seen: dict[str, list[int]] = {}
+        self.words_seen: dict[str, bytes] = {}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         self.words = regex.compile(next(s["pattern"]["Regex"] for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split"))
         self.names = {i: s for s, i in {**self.vocab, **self.special}.items()}
         self.spaced = {i: f"{s} " for i, s in self.names.items()}
-        self.ids_of = _Memo(lambda piece: array("I", self.piece_ids(piece)).tobytes())
+        self.ids_of = _Memo(self.piece_bytes)
         self.names_of = _Memo(lambda piece: "".join(map(self.spaced.__getitem__, array("I", self.ids_of[piece]))))
         self.spec, self.library = json.dumps(spec), None
 
-    def word_ids(self, word: str) -> list[int]:
+    def word_bytes(self, word: str) -> bytes:
+        """Ids of a word as little-endian unsigned 32-bit integers; words are remembered."""
         known = self.words_seen.get(word)
         if known is None:
-            known = self.merge(word.encode("utf-8"))
+            known = array("I", self.merge(word.encode("utf-8"))).tobytes()
             if len(self.words_seen) >= CACHE // 4:
                 self.words_seen.clear()
             if len(word) <= 64:
@@ -163,18 +164,17 @@ class RankArrayBPE:
                     heapq.heappush(heap, (m, x, parts[x], parts[y]))
         return [p for p, ok in zip(parts, alive, strict=True) if ok]
 
-    def piece_ids(self, piece: str) -> list[int]:
-        """Ids of a text without special strings."""
+    def piece_bytes(self, piece: str) -> bytes:
+        """Ids of a text without special strings, as little-endian unsigned 32-bit integers."""
         if piece.isascii():
             text = piece.lower()
             if text.isalpha():
-                return self.word_ids(text)
+                return self.word_bytes(text)
         elif not self.settled.issuperset(piece) and not self._settle(piece):
-            return self._newer_ids(piece)
+            return b"".join(map(self.word_bytes, self._newer_words(piece)))
         else:
             text = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-        words = self.words.findall(text)
-        return self.word_ids(words[0]) if len(words) == 1 else [i for w in words for i in self.word_ids(w)]
+        return b"".join(map(self.word_bytes, self.words.findall(text)))
 
     def _settle(self, piece: str) -> bool:
         """Whether Python's own Unicode version gives all characters a meaning; libraries with other versions may differ on the rest."""
@@ -182,7 +182,7 @@ class RankArrayBPE:
         self.settled |= known
         return known.issuperset(piece)
 
-    def _newer_ids(self, piece: str) -> list[int]:
+    def _newer_words(self, piece: str) -> list[str]:
         """Where character tables may disagree, the library cuts the words; the merges stay ours."""
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -190,7 +190,7 @@ class RankArrayBPE:
             whole = Tokenizer.from_str(self.spec)
             self.library = whole.normalizer, pre_tokenizers.Split(_pattern(json.loads(self.spec)), "removed", invert=True)
         normalizer, split = self.library
-        return [i for w, _ in split.pre_tokenize_str(normalizer.normalize_str(piece)) for i in self.word_ids(w)]
+        return [w for w, _ in split.pre_tokenize_str(normalizer.normalize_str(piece))]
 
     def _plain(self, text: str, out: list, names: list | None) -> None:
         pieces = [text] if any(c in text for c in _ODD) else text.split()
