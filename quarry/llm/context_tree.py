@@ -42,6 +42,9 @@ from pyspark.sql import functions as F
 from quarry.llm.common import in_small_batches, written
 
 DEPTH = 5
+#: At most; the strings' codes have to leave 31 bits beside a slot's number.
+DEEPEST = 5
+SLOT_BITS = 22
 FREQUENT = 65_536
 #: Bytes of text whose strings are held as numbers at once, and of texts that are handled together.
 PIECE = 1 << 20
@@ -154,9 +157,9 @@ def count_training(docs: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
                 yield from out_tokens()
             for codes, _, _ in grams(texts, depth):
                 held.append(np.unique(codes, return_counts=True))
-            if sum(len(x[0]) for x in held) > 2_500_000:
+            if sum(len(x[0]) for x in held) > 1_500_000:
                 merge_held()
-                if len(held[0][0]) > 1_500_000:
+                if len(held[0][0]) > 1_000_000:
                     yield from out_grams()
         yield from out_tokens()
         yield from out_grams()
@@ -216,26 +219,38 @@ class Tree:
 
     def __init__(self, levels: list[tuple]):
         self.levels = levels
-        size = 1 << 21
-        self.known, self.value, self.shift = np.full(size, -1, np.int64).view(np.uint64), np.zeros(size), np.uint64(64 - 21)
-
-    def _slots(self, codes):
-        return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        # Codes seen lately and their values, 64 bits each: a tag, then the value as a 32-bit float. The tag is
+        # what the slot leaves of the scrambled code (exact, as scrambling is one-to-one) and whether the entry
+        # stands in its own slot or, that being taken, in the slot beside it.
+        self.width = 8 * len(levels)
+        self.rest = max(0, self.width - SLOT_BITS)
+        self.table = np.zeros(1 << (self.width - self.rest), np.uint64)
+
+    def _place(self, codes):
+        mixed = (codes * np.uint64(0x9E3779B97F4A7C15)) & np.uint64((1 << self.width) - 1)
+        tag = ((mixed & np.uint64((1 << self.rest) - 1)) << np.uint64(1)) + np.uint64(2)
+        return (mixed >> np.uint64(self.rest)).view(np.int64), tag
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
         """log10 chance of the last byte of each code after the others; codes seen lately are looked up."""
-        slots = self._slots(codes)
-        out = self.value[slots]
-        miss = np.flatnonzero(self.known[slots] != codes)
+        slot, tag = self._place(codes)
+        entry = self.table[slot]
+        out = entry.astype(np.uint32).view(np.float32)
+        miss = np.flatnonzero((entry >> np.uint64(32)) != tag)
+        if len(miss):
+            beside = self.table[slot[miss] ^ 1]
+            out[miss] = beside.astype(np.uint32).view(np.float32)
+            miss = miss[(beside >> np.uint64(32)) != tag[miss] + np.uint64(1)]
         if len(miss):
             fresh, at = np.unique(codes[miss], return_inverse=True)
-            worth = self.compute(fresh)
+            worth = self.compute(fresh).astype(np.float32)
             out[miss] = worth[at]
-            slots = self._slots(fresh)
-            self.known[slots] = fresh
-            stays = self.known[slots] == fresh  # of two codes in one slot one stays, with its own value
-            self.value[slots[stays]] = worth[stays]
-        return out
+            slot, tag = self._place(fresh)
+            free = self.table[slot] == 0
+            place = np.where(free, slot, slot ^ 1)
+            tag = np.where(free, tag, tag + np.uint64(1))
+            self.table[place] = (tag << np.uint64(32)) | worth.view(np.uint32)  # of two codes for one place the last stays
+        return out.astype(np.float64)
 
     def compute(self, codes: np.ndarray) -> np.ndarray:
         byte = codes & np.uint64(255)
@@ -370,6 +385,8 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, block_grams: int = 2_00
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes and bits_per_byte of every row of docs (doc_id, text)."""
     import uuid
 
+    if not 2 <= depth <= DEEPEST:
+        raise ValueError(f"depth has to be from 2 to {DEEPEST}")
     spark = docs.sparkSession
     rows = in_small_batches(docs.select("doc_id", held_out(F.col("doc_id")).alias("held"), "text"))
     token_counts, gram_counts = count_training(rows, depth)
