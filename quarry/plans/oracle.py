@@ -236,3 +236,10 @@ c as (select doc_id, i, s, unnest(range(1, length(s) - 2)) as k from l where s l
 select doc_id, i::bigint as line, k::bigint as column, (case when regexp_matches(s, '^\s*(//|#|\*|--)') or regexp_matches(s, '["'']') then 3000 else 6000 end)::bigint as confidence
 from c where substr(s, k, 4) = 'heed' and not regexp_matches(substr(s, k + 4, 1), '[A-Za-z0-9_]') and (k = 1 or not regexp_matches(substr(s, k - 1, 1), '[A-Za-z0-9_]'))
 """
+SQL["extract_symbols"] = "select 'Function' as kind, name, count(*) as n, min(l)::bigint as first_line from (select 'size_' || p_size as name, 2 as l from part union all select 'other_' || p_size, 4 from part) group by name"
+_EXT = "['rs', 'py', 'ts'][p_partkey % 3 + 1]"
+SQL["extract_calls"] = f"select 'src/f' || p_partkey || '.' || {_EXT} as path, 'size_' || p_size as caller, 'other_' || p_size as callee, 8500::bigint as confidence from part"
+SQL["extract_routes"] = "select 'src/f' || p_partkey || '.ts' as path, 5::bigint as line, 'express' as framework, 'GET' as method, '/parts/' || p_partkey as route from part where p_partkey % 3 = 2"
+SQL["extract_clients"] = "select '/sizes/' || p_size as url, count(*) as n from part group by p_size"
+SQL["extract_data_access"] = "select 'sql' as technology, 'read' as operation, 'brand_' || p_size as name, count(*) as n from part group by p_size"
+SQL["scope_glob"] = "select 'src/f' || p_partkey || '.rs' as path from part where p_partkey % 3 = 0 and p_partkey::varchar like '1%'"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import keys as K
 from quarry.functions import text as X
 from quarry.functions import vector as V
-from quarry.operators import compaction, domain, git, impact, matching, rename, search
+from quarry.operators import compaction, domain, extract, git, impact, matching, rename, search
 from quarry.operators import graph as G
 from quarry.plans import adapters as A
 from quarry.plans.adapters import table
@@ -418,7 +418,44 @@ def stream_debounce_last_event(spark: SparkSession, d: str) -> DataFrame:
     return debounce.last_events(table(spark, d, "events"), ["user_id"], "ts", "event_id", 500)
 
 
+# extraction
+
+
+def code_files(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as source files of three languages; functions call that of the next size."""
+    p = table(spark, d, "part")
+    ext = F.element_at(F.array(F.lit("rs"), F.lit("py"), F.lit("ts")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    head = F.element_at(F.array(F.lit("pub fn"), F.lit("def"), F.lit("export function")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    body = F.concat(F.lit("\n"), head, F.lit(" size_"), "p_size", F.lit("()\n  other_"), "p_size", F.lit("()\n"), head, F.lit(" other_"), "p_size", F.lit("()\n  app.get('/parts/"), "p_partkey", F.lit("')\n  fetch('/sizes/"), "p_size", F.lit("')\n  SELECT x FROM brand_"), "p_size", F.lit("\n"))
+    return p.select(F.concat(F.lit("src/f"), "p_partkey", F.lit("."), ext).alias("path"), body.alias("content"))
+
+
+def extract_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return extract.symbols(code_files(spark, d)).groupBy("kind", "name").agg(F.count("*").alias("n"), F.min("line").cast("bigint").alias("first_line"))
+
+
+def extract_calls(spark: SparkSession, d: str) -> DataFrame:
+    files = code_files(spark, d)
+    return extract.call_edges(files, extract.symbols(files))
+
+
+def extract_routes(spark: SparkSession, d: str) -> DataFrame:
+    return extract.routes(code_files(spark, d)).select("path", F.col("line").cast("bigint").alias("line"), "framework", "method", "route")
+
+
+def extract_clients(spark: SparkSession, d: str) -> DataFrame:
+    return extract.http_clients(code_files(spark, d)).groupBy("url").agg(F.count("*").alias("n"))
+
+
+def extract_data_access(spark: SparkSession, d: str) -> DataFrame:
+    return extract.data_access(code_files(spark, d)).groupBy("technology", "operation", "name").agg(F.count("*").alias("n"))
+
+
+def scope_glob(spark: SparkSession, d: str) -> DataFrame:
+    return code_files(spark, d).filter(extract.scope_predicate("glob:src/**/f1*.rs")).select("path")
+
+
 def queries() -> dict:
     import types
 
-    return {k: v for k, v in globals().items() if isinstance(v, types.FunctionType) and v.__module__ == __name__ and k not in ("queries", "r6", "vec_query")}
+    return {k: v for k, v in globals().items() if isinstance(v, types.FunctionType) and v.__module__ == __name__ and k not in ("queries", "r6", "vec_query", "code_files")}
