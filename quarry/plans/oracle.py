@@ -243,3 +243,20 @@ SQL["extract_routes"] = "select 'src/f' || p_partkey || '.ts' as path, 5::bigint
 SQL["extract_clients"] = "select '/sizes/' || p_size as url, count(*) as n from part group by p_size"
 SQL["extract_data_access"] = "select 'sql' as technology, 'read' as operation, 'brand_' || p_size as name, count(*) as n from part group by p_size"
 SQL["scope_glob"] = "select 'src/f' || p_partkey || '.rs' as path from part where p_partkey % 3 = 0 and p_partkey::varchar like '1%'"
+_AG = f"{G3}, m as (select src, a.n_regionkey as p, case when dst <> 3 then dst end as dst, b.n_regionkey as q, confidence from g3 join nation a on a.n_nationkey = src join nation b on b.n_nationkey = dst), an as (select node, min(project) as project from (select src as node, p as project from m union all select dst, q from m where dst is not null) group by node)"
+SQL["arch_nodes_edges"] = f"with {_AG} select case when dst is null then 'unresolved' else 'trade' end as kind, count(*) as n, count(distinct src) as n_src from m group by 1 union all select 'project_' || project, count(*), min(node)::bigint from an group by project"
+SQL["arch_bounded"] = f"with {_AG}, k as (select node from an order by project, node limit 15) select dst, src, 'trade' as kind, confidence from m where src in (select node from k) and dst in (select node from k) order by confidence desc, src, dst limit 12"
+SQL["arch_neighborhood"] = f"with recursive {G3}, u as (select src, dst from g3 union select dst, src from g3), walk as (select 1 as node, 0 as distance union select dst, distance + 1 from walk join u on src = node where distance < 2) select node, min(distance)::bigint as distance from walk group by node"
+SQL["arch_most_connected"] = f"with {G3} select node, count(*) as degree from (select src as node from g3 union all select dst from g3) group by node order by degree desc, node limit 10"
+SQL["arch_confidence"] = f"with {G2} select case when confidence >= 8000 then 'high' when confidence >= 5000 then 'medium' when confidence >= 1 then 'low' else 'unknown' end as level, count(*) as n from g2 group by 1"
+SQL["arch_isolated"] = f"with {G3}, x as (select a.n_regionkey as p, b.n_regionkey as q from g3 join nation a on a.n_nationkey = src join nation b on b.n_nationkey = dst where confidence = 9000 and a.n_regionkey <> b.n_regionkey) select distinct n_regionkey as project from nation where n_regionkey not in (select p from x) and n_regionkey not in (select q from x)"
+SQL["path_confidence"] = f"with {G2} select src as path, min(confidence) as least, floor(avg(confidence))::bigint as mean from g2 group by src"
+SQL["cross_pack"] = """
+with recursive d as (select lang as pack, source as file, doc_id as id, n_chars % 97 as score, n_chars as chars, row_number() over (partition by lang, source order by n_chars % 97 desc, doc_id) as n from documents),
+t as (select *, row_number() over (partition by pack order by score desc, id) as r0 from d where n = 1),
+o as (select *, row_number() over (partition by pack order by round(greatest(score, 1) / chars, 9) desc, score desc, id) as r from t where r0 <= 12 and chars <= 10000),
+f as (select pack, 0::bigint as r, 0::bigint as used, []::bigint[] as ids from (select distinct pack from o) union all
+  select o.pack, o.r, case when used + chars <= 10000 then used + chars else used end, case when used + chars <= 10000 then list_append(ids, id) else ids end from f join o on o.pack = f.pack and o.r = f.r + 1)
+select pack, len(ids)::bigint as n_items, used as tokens, coalesce(list_aggregate(list_sort(ids), 'string_agg', ','), '') as ids from f qualify row_number() over (partition by pack order by r desc) = 1
+"""
+SQL["counts_cube"] = "select source, lang, count(*) as n from documents group by cube (source, lang)"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import keys as K
 from quarry.functions import text as X
 from quarry.functions import vector as V
-from quarry.operators import compaction, domain, extract, git, impact, matching, rename, search
+from quarry.operators import archgraph, compaction, domain, extract, git, impact, matching, rename, search
 from quarry.operators import graph as G
 from quarry.plans import adapters as A
 from quarry.plans.adapters import table
@@ -313,6 +313,54 @@ def project_impact_rollup(spark: SparkSession, d: str) -> DataFrame:
     return n.join(hit, "node", "left").groupBy("project").agg(F.count("score").alias("n_paths"), F.coalesce(F.max("score"), F.lit(0)).alias("best"), F.countDistinct(F.when(F.col("score").isNotNull(), F.col("node"))).alias("n_nodes"))
 
 
+def trade_graph(spark: SparkSession, d: str):
+    region = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    e = A.trade_edges(spark, d).join(region.select(F.col("n_nationkey").alias("src"), F.col("n_regionkey").alias("p")), "src").join(region.select(F.col("n_nationkey").alias("dst"), F.col("n_regionkey").alias("q")), "dst")
+    rows = e.select(F.col("src").alias("left_id"), F.col("p").alias("left_project"), F.when(F.col("dst") != 3, F.col("dst")).alias("right_id"), F.col("q").alias("right_project"), F.lit("trade").alias("kind"), "confidence")
+    return archgraph.build(rows)
+
+
+def arch_nodes_edges(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = trade_graph(spark, d)
+    return edges.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("src").alias("n_src")).unionByName(nodes.groupBy(F.concat(F.lit("project_"), "project").alias("kind")).agg(F.count("*").alias("n"), F.min("node").cast("bigint").alias("n_src")))
+
+
+def arch_bounded(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = trade_graph(spark, d)
+    return archgraph.bounded(nodes, edges, 15, 12)[1]
+
+
+def arch_neighborhood(spark: SparkSession, d: str) -> DataFrame:
+    return archgraph.around(A.trade_edges(spark, d), A.nations(spark, d).filter("node = 1"), 2).select("node", F.col("distance").cast("bigint").alias("distance"))
+
+
+def arch_most_connected(spark: SparkSession, d: str) -> DataFrame:
+    return archgraph.most_connected(A.trade_edges(spark, d))
+
+
+def arch_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return archgraph.histogram(A.supply_edges(spark, d))
+
+
+def arch_isolated(spark: SparkSession, d: str) -> DataFrame:
+    nodes = table(spark, d, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("project"))
+    return archgraph.isolated(nodes.select("project").distinct(), nodes, A.trade_edges(spark, d).filter("confidence = 9000"))
+
+
+def path_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return archgraph.confidence_summary(A.supply_edges(spark, d).select(F.col("src").alias("path"), "confidence"))
+
+
+def cross_pack(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("lang").alias("pack"), F.col("source").alias("file"), F.col("doc_id").alias("id"), (F.col("n_chars") % 97).alias("score"), F.col("n_chars").alias("chars"))
+    return archgraph.cross_pack(docs, 10_000, 12)
+
+
+def counts_cube(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by source, language and both, in one pass."""
+    return table(spark, d, "documents").cube("source", "lang").agg(F.count("*").alias("n"))
+
+
 # git
 
 
@@ -458,4 +506,4 @@ def scope_glob(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     import types
 
-    return {k: v for k, v in globals().items() if isinstance(v, types.FunctionType) and v.__module__ == __name__ and k not in ("queries", "r6", "vec_query", "code_files")}
+    return {k: v for k, v in globals().items() if isinstance(v, types.FunctionType) and v.__module__ == __name__ and k not in ("queries", "r6", "vec_query", "code_files", "trade_graph")}
