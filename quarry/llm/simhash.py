@@ -34,7 +34,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import LOWER, UPPER, in_small_batches, written
@@ -136,12 +136,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 def dedup_stage(docs: DataFrame) -> DataFrame:
     """One document of each group: the row of the least doc_id; columns of docs.
 
-    Rows that repeat that id count as copies and one of them stays. Groups without
+    Rows that repeat that id count as copies and the first by text stays. Groups without
     any id keep one row for each fingerprint.
     """
     groups = near_duplicates(docs)
     keep = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    named = docs.join(keep, "doc_id", "left_semi").withColumn("_rank", rank).filter("_rank = 1")
     bare = docs.filter("doc_id is null").dropDuplicates(["text"])
     nameless = groups.filter("component_id is null").select("fp").distinct()
     if nameless.isEmpty():
