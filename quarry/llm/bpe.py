@@ -13,8 +13,8 @@ word pattern, and each word's bytes get an end-of-word mark. Tokens are joined
 by spaces when decoded, as the file names no decoder.
 
 Scale: documents are encoded row by row where they lie, with nothing shuffled;
-a worker remembers the codes of the pieces between white space in a table of
-at most ``CACHE`` entries, which is emptied when full. The vocabulary file is
+a worker remembers the codes of the pieces between white space in tables of
+at most twice ``CACHE`` entries. The vocabulary file is
 read on the driver and sent as it is (its size is fixed).
 
 Edge cases: null and empty texts have no tokens and decode to the empty string;
@@ -31,6 +31,7 @@ import os
 import unicodedata
 from array import array
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +43,7 @@ LONG_WORD = 256
 ID_BITS = 24
 ID_MASK = (1 << ID_BITS) - 1
 NO_RANK = 1 << 60
-CACHE = 600_000
+CACHE = 150_000
 #: Characters on which Python's str.split cuts but the vocabulary's pattern does not see white space.
 _ODD = "\x1c\x1d\x1e\x1f"
 
@@ -67,15 +68,21 @@ def _pattern(spec: dict):
 
 
 class _Memo(dict):
-    """What make gives for a piece; short pieces are remembered, CACHE of them at most."""
+    """What make gives for a piece. Short pieces are remembered in two generations of at most ``most`` entries.
 
-    def __init__(self, make):
+    When the younger one is full it becomes the older one, and what is used again comes back from there.
+    """
+
+    def __init__(self, make, most: int = CACHE):
         super().__init__()
-        self.make = make
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, piece: str):
-        out = self.make(piece)
-        if len(self) >= CACHE:
+        out = self.old.get(piece)
+        if out is None:
+            out = self.make(piece)
+        if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
         if len(piece) <= 64:
             self[piece] = out
@@ -101,7 +108,7 @@ class RankArrayBPE:
                 self.after[self.vocab[a]] = {}
             self.after[self.vocab[a]][self.vocab[b]] = rank << ID_BITS | self.vocab[a + b]
         self.settled: set[str] = set()
-        self.words_seen: dict[str, bytes] = {}
+        self.words_seen = _Memo(self.word_bytes, CACHE // 2)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         self.words = regex.compile(next(s["pattern"]["Regex"] for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split"))
@@ -112,15 +119,8 @@ class RankArrayBPE:
         self.spec, self.library = json.dumps(spec), None
 
     def word_bytes(self, word: str) -> bytes:
-        """Ids of a word as little-endian unsigned 32-bit integers; words are remembered."""
-        known = self.words_seen.get(word)
-        if known is None:
-            known = array("I", self.merge(word.encode("utf-8"))).tobytes()
-            if len(self.words_seen) >= CACHE // 4:
-                self.words_seen.clear()
-            if len(word) <= 64:
-                self.words_seen[word] = known
-        return known
+        """Ids of a word as little-endian unsigned 32-bit integers."""
+        return array("I", self.merge(word.encode("utf-8"))).tobytes()
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of a word's bytes."""
@@ -169,12 +169,12 @@ class RankArrayBPE:
         if piece.isascii():
             text = piece.lower()
             if text.isalpha():
-                return self.word_bytes(text)
+                return self.words_seen[text]
         elif not self.settled.issuperset(piece) and not self._settle(piece):
-            return b"".join(map(self.word_bytes, self._newer_words(piece)))
+            return b"".join(map(self.words_seen.__getitem__, self._newer_words(piece)))
         else:
             text = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-        return b"".join(map(self.word_bytes, self.words.findall(text)))
+        return b"".join(map(self.words_seen.__getitem__, self.words.findall(text)))
 
     def _settle(self, piece: str) -> bool:
         """Whether Python's own Unicode version gives all characters a meaning; libraries with other versions may differ on the rest."""
@@ -248,7 +248,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_text: bool =
                 offsets = [0]
                 for i, _ in rows:
                     offsets.append(offsets[-1] + len(i) // 4)
-                flat = pa.array(memoryview(b"".join(i for i, _ in rows)).cast("i").tolist(), pa.int32())
+                flat = pa.array(np.frombuffer(b"".join(i for i, _ in rows), np.int32))
                 cols += [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat), pa.array([d for _, d in rows], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(cols)])
 

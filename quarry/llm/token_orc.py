@@ -52,6 +52,7 @@ class LibraryCoder(RankArrayBPE):
         super().__init__(spec)
         self.model = Tokenizer.from_str(spec).model
         self.symbols = byte_symbols()
+        self.ids_of.most *= 2  # no decoded texts are kept here
 
     def merge(self, data: bytes) -> list[int]:
         return [t.id for t in self.model.tokenize("".join(map(self.symbols.__getitem__, data)))]
