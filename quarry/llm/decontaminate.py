@@ -24,7 +24,7 @@ documents are searched alike. Extra columns of documents are not carried by
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections import defaultdict
 
 import pyarrow as pa
@@ -141,8 +141,8 @@ SCHEMA = "doc_id {kind}, n_words long, n_hit long, item_ids array<string>, hit_s
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = 1_000_000) -> DataFrame:
     """doc_id, n_words, n_hit, item_ids (sorted as strings) and hit_spans (word ranges) of every row of docs (doc_id, text)."""
     sc = docs.sparkSession.sparkContext
-    key = id(docs)
-    handles = [_Handle(sc.broadcast(block), (key, k, hashlib.md5(repr(block[:3]).encode()).hexdigest())) for k, block in enumerate(item_blocks(benchmark, block_words))]
+    run_id = uuid.uuid4().hex
+    handles = [_Handle(sc.broadcast(block), (run_id, k)) for k, block in enumerate(item_blocks(benchmark, block_words))]
     kind = docs.schema["doc_id"].dataType.simpleString()
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
