@@ -47,23 +47,51 @@ def stable_hash(parts: list[str]) -> str:
     return f"{fnv64([p.encode() for p in parts]):016x}"
 
 
+INPUT_BYTES = 2000
+
+
+def cut_input(text: str, most: int = INPUT_BYTES) -> str:
+    """text, or where it is longer, what stands before the last character that starts within ``most`` bytes."""
+    data = text.encode("utf-8")
+    if len(data) <= most:
+        return text
+    while data[most] & 0xC0 == 0x80:
+        most -= 1
+    return data[:most].decode("utf-8")
+
+
+def identifier_tokens(text: str) -> list[str]:
+    """Letter and digit runs, cut before a capital after a small letter, lower-cased."""
+    words, before = [""], ""
+    for c in text:
+        if not c.isalnum() or (before.islower() and c.isupper()):
+            words.append("")
+        if c.isalnum():
+            words[-1] += c.lower()
+        before = c
+    return [w for w in words if w]
+
+
 def embed_tokens(tokens: list[str], dimension: int = DIMENSION) -> np.ndarray:
-    """Signed hash counts of tokens (1) and neighbouring pairs (0.5), scaled to length 1."""
+    """Signed hash counts of tokens (1) and neighbouring pairs (0.5), scaled to length 1.
+
+    The lowest bit of a hash is its sign and, with the rest, its place.
+    """
     out = np.zeros(dimension)
     pairs = [f"{a}::{b}" for a, b in zip(tokens, tokens[1:], strict=False)]
-    for words, weight in ((tokens, 1.0), (pairs, 0.5)):
+    for seed, words, weight in ((b"token", tokens, 1.0), (b"bigram", pairs, 0.5)):
         for w in words:
-            h = fnv64([w.encode()])
+            h = fnv64([seed, w.encode("utf-8")])
             out[h % dimension] += weight if h & 1 == 0 else -weight
     size = np.sqrt((out * out).sum())
     return out / size if size else out
 
 
 def hash_embedding(dimension: int = DIMENSION):
-    """A vectorised function from an array of tokens to its embedding."""
+    """A vectorised function from a text to its embedding; a null text is an empty one."""
 
     @F.pandas_udf("array<double>")
-    def embed(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda t: embed_tokens(list(t) if t is not None else [], dimension).tolist())
+    def embed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: embed_tokens(identifier_tokens(cut_input(t or "")), dimension).tolist())
 
     return embed

@@ -51,7 +51,7 @@ def chunk_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
     """Not in SQL: signed hash counts; the tests hold it against hand-computed values."""
-    t = table(spark, d, "benchmark").select("item_id", V.hash_embedding()(X.tokenize(F.col("text"))).alias("v"))
+    t = table(spark, d, "benchmark").select("item_id", V.hash_embedding()("text").alias("v"))
     return t.select("item_id", F.size("v").alias("dimension"), r6(V.norm(F.col("v"))).alias("norm"), F.transform("v", r6).alias("embedding"))
 
 

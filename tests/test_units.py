@@ -34,7 +34,11 @@ def test_embedding(spark):
     v = V.embed_tokens(["a", "b"])
     assert abs(np.sqrt((v * v).sum()) - 1) < 1e-12 and (v != 0).sum() == 3
     assert not V.embed_tokens([]).any()
-    df = spark.createDataFrame([(["a", "b"],)], "t array<string>").select(V.hash_embedding()("t").alias("v"))
+    assert V.identifier_tokens("parseHTTPRequest snake_case Élan") == ["parse", "httprequest", "snake", "case", "élan"]
+    assert V.cut_input("é" * 1001) == "é" * 1000 and V.cut_input("x" * 1999 + "é") == "x" * 1999 and V.cut_input("x" * 2000) == "x" * 2000
+    h = V.fnv64([b"token", b"a"])
+    assert np.sign(V.embed_tokens(["a"])[h % 384]) == (1 if h % 2 == 0 else -1)
+    df = spark.createDataFrame([("a b",)], "t string").select(V.hash_embedding()("t").alias("v"))
     assert np.allclose(df.first().v, v)
 
 
