@@ -16,10 +16,11 @@ def settled(df: DataFrame) -> DataFrame:
     """df with its lineage cut in the folder of spark.checkpoint.dir; one of our own only where none is set."""
     spark: SparkSession = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        if not _OWN:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="quarry-checkpoint-"))
             atexit.register(shutil.rmtree, _OWN[0], True)
-        spark.sparkContext.setCheckpointDir(f"file://{_OWN[0]}")
+        spark.sparkContext.setCheckpointDir(named or f"file://{_OWN[0]}")
     return df.checkpoint()
 
 
