@@ -328,10 +328,10 @@ def subtrees(gram_counts: DataFrame, depth: int, parts: int) -> DataFrame:
 
 
 def build(gram_counts: DataFrame, depth: int, block_grams: int, parts: int = 24):
-    """Broadcast blocks: a list of (first pair, pair after the last, broadcast levels from 2 on), and the broadcast levels 0 and 1.
+    """Broadcast blocks: a list of (first pair, pair after the last, list of broadcast levels from 2 on), and the broadcast levels 0 and 1.
 
     The levels from 2 on are made on the executors; what the driver holds is one
-    block's finished nodes, and 65,536 nodes of the level above.
+    level of a block's finished nodes, and 65,536 nodes of the level above.
     """
     sc = gram_counts.sparkSession.sparkContext
     pair = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
@@ -343,11 +343,12 @@ def build(gram_counts: DataFrame, depth: int, block_grams: int, parts: int = 24)
             rows = nodes.filter(F.col("d") == d).select("key", F.col("a").cast("float"), F.col("b").cast("float")).toArrow()
             keys = rows.column(0).to_numpy().view(np.uint64)
             order = np.argsort(keys)
-            levels.append((keys[order], rows.column(1).to_numpy()[order], rows.column(2).to_numpy()[order]))
+            level_of = (keys[order], rows.column(1).to_numpy()[order], rows.column(2).to_numpy()[order])
             del rows, keys, order
-        shared = sc.broadcast(levels)
-        del levels
-        blocks.append((lo, hi, shared))
+            levels.append(sc.broadcast(level_of))  # goes to a file at once: the driver holds one level at a time
+            del level_of
+            pa.default_memory_pool().release_unused()
+        blocks.append((lo, hi, levels))
         tops.append(nodes.filter("d = 1").groupBy("key").agg(F.sum("a"), F.sum("b"), F.sum("c")).toArrow())
     columns = [np.concatenate([t.column(k).to_numpy() for t in tops]) for k in range(4)]
     unique, at = np.unique(columns[0].view(np.uint64), return_inverse=True)
@@ -371,14 +372,14 @@ def tree(block, top) -> Tree:
 
 
 class _Named:
-    """A broadcast with a name that a worker can compare."""
+    """The broadcast levels of a block, with a name that a worker can compare."""
 
-    def __init__(self, broadcast, name):
+    def __init__(self, broadcast: list, name):
         self.broadcast, self.id = broadcast, name
 
     @property
     def value(self):
-        return self.broadcast.value
+        return [b.value for b in self.broadcast]
 
 
 def score_documents(docs: DataFrame, depth: int = DEPTH, block_grams: int = 2_000_000) -> DataFrame:
