@@ -30,6 +30,7 @@ chance 1/2. Columns other than doc_id and text are not read.
 from __future__ import annotations
 
 import math
+import tempfile
 from collections import Counter
 from itertools import islice
 
@@ -359,6 +360,16 @@ def build(gram_counts: DataFrame, depth: int, block_grams: int, parts: int = 24)
     return blocks, sc.broadcast([top[:3], one_level[:3]])
 
 
+def mapped(array: np.ndarray) -> np.ndarray:
+    """array in a file of the task's own folder that has no name any more, mapped for reading: it takes no memory of its own."""
+    if not len(array):
+        return array
+    with tempfile.TemporaryFile() as f:
+        array.tofile(f)
+        f.flush()
+        return np.memmap(f, array.dtype, "r", shape=array.shape)
+
+
 _TREES: dict = {}
 
 
@@ -379,7 +390,12 @@ class _Named:
 
     @property
     def value(self):
-        return [b.value for b in self.broadcast]
+        out = []
+        for b in self.broadcast:
+            out.append(tuple(map(mapped, b.value)))
+            if hasattr(b, "_value"):
+                del b._value  # the worker's copy; it can be loaded again
+        return out
 
 
 def score_documents(docs: DataFrame, depth: int = DEPTH, block_grams: int = 2_000_000) -> DataFrame:
