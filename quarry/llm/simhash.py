@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import LOWER, UPPER, in_small_batches, written
 from quarry.llm.components import components
+from quarry.llm.near_copies import near_copies, sets_of
 
 SEGMENTS, BITS = 16, 4
 _LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -134,20 +135,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def dedup_stage(docs: DataFrame) -> DataFrame:
-    """One document of each group: the row of the least doc_id; columns of docs.
+    """One document of each group of texts linked by a five-word Jaccard similarity of 0.8 or more: the row of the least doc_id; columns of docs.
 
     Rows that repeat that id count as copies and the first by text stays. Groups without
-    any id keep one row for each fingerprint.
+    any id keep one row.
     """
-    groups = near_duplicates(docs)
-    keep = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    groups = written(near_copies(docs), "groups")
+    keep = groups.filter("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     named = docs.join(keep, "doc_id", "left_semi").withColumn("_rank", rank).filter("_rank = 1")
-    bare = docs.filter("doc_id is null").dropDuplicates(["text"])
-    nameless = groups.filter("component_id is null").select("fp").distinct()
+    nameless = groups.filter("component_id is null and set = root").select("set")
     if nameless.isEmpty():
         return named.select(*docs.columns)
-    marked = bare.withColumn("_h", F.xxhash64("text"))
-    fps = fingerprints(marked.select(F.col("_h").alias("doc_id"), "text")).join(nameless, "fp", "left_semi")
-    first = fps.groupBy("fp").agg(F.min("doc_id").alias("_h")).select("_h")
+    marked = docs.filter("doc_id is null").dropDuplicates(["text"]).withColumn("_h", F.xxhash64("text"))
+    sets = sets_of(marked.select(F.col("_h").alias("doc_id"), "text")).join(nameless, "set", "left_semi")
+    first = sets.groupBy("set").agg(F.min("doc_id").alias("_h")).select("_h")
     return named.select(*docs.columns).unionByName(marked.join(first, "_h", "left_semi").select(*docs.columns))
