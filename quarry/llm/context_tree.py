@@ -200,11 +200,20 @@ def bit_counts(codes: np.ndarray, counts: np.ndarray, d: int) -> tuple:
 
 
 def level(keys, n0, n1, below, own_weight_only: bool) -> tuple:
-    """(keys, chance of a one, own weight, ln weighted probability); below: sums over children, nan where none."""
+    """(keys, log odds of a one, log odds of the own weight, ln weighted probability); below: sums over children, nan where none.
+
+    Log odds keep chances and weights near 0 and 1 apart from them, in 32 bits too.
+    """
     own = kt_log(n0, n1)
     weighted = own if own_weight_only else np.logaddexp(own, below) - math.log(2)
-    weight = np.ones(len(keys)) if own_weight_only else np.exp(own - math.log(2) - weighted)
-    return keys, (n1 + 0.5) / (n0 + n1 + 1), weight, weighted
+    weight = np.full(len(keys), np.inf) if own_weight_only else own - below
+    return keys, np.log(n1 + 0.5) - np.log(n0 + 0.5), weight, weighted
+
+
+def chance_of(odds: np.ndarray) -> np.ndarray:
+    """The chance that has these log odds; that of the opposite is chance_of(-odds)."""
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-odds.astype(np.float64)))
 
 
 def child_sums(parent: np.ndarray, child: np.ndarray, value: np.ndarray, d: int) -> np.ndarray:
@@ -257,9 +266,10 @@ class Tree:
         total = np.zeros(len(codes))
         for k in range(8):
             node = np.uint64(1 << k) | (byte >> np.uint64(8 - k))
-            chance, rest = np.zeros(len(codes)), np.ones(len(codes))
+            sign = np.where((byte >> np.uint64(7 - k)) & np.uint64(1) == 1, 1.0, -1.0)
+            chance, rest = np.zeros(len(codes)), np.ones(len(codes))  # of the bit that is there
             last = np.full(len(codes), 0.5)  # the estimate at the deepest node so far
-            weight = np.zeros(len(codes))
+            weight = np.full(len(codes), -np.inf)
             alive = np.arange(len(codes))
             for d, (keys, one, own) in enumerate(self.levels):
                 if not len(keys) or not len(alive):
@@ -270,12 +280,10 @@ class Tree:
                 there = keys[at] == want
                 alive, at = alive[there], at[there]
                 # The node above has a child here, so it only keeps its own weight.
-                chance[alive] += rest[alive] * weight[alive] * last[alive]
-                rest[alive] *= 1 - weight[alive]
-                last[alive], weight[alive] = one[at], own[at]
-            chance += rest * last
-            bit = (byte >> np.uint64(7 - k)) & np.uint64(1)
-            total += np.log10(np.where(bit == 1, chance, 1 - chance))
+                chance[alive] += rest[alive] * chance_of(weight[alive]) * last[alive]
+                rest[alive] *= chance_of(-weight[alive])
+                last[alive], weight[alive] = chance_of(sign[alive] * one[at]), own[at]
+            total += np.log10(chance + rest * last)
         return total
 
 
@@ -298,7 +306,7 @@ def block_bounds(gram_counts: DataFrame, block_grams: int) -> list[tuple[int, in
 
 
 def subtree(codes: np.ndarray, counts: np.ndarray, depth: int):
-    """Yields (d, keys, chance of a one, own weight, 0) for d from depth to 2, then (1, keys, n0, n1, sums over children)."""
+    """Yields (d, keys, log odds of a one and of the own weight, 0) for d from depth to 2, then (1, keys, n0, n1, sums over children)."""
     below = None
     for d in range(depth, 1, -1):
         keys, n0, n1 = bit_counts(codes, counts, d)
