@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.operators import git
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,3 +39,9 @@ def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     steps = table(spark, sf_dir, "events").select(F.lag("event_type").over(w).alias("src"), F.col("event_type").alias("dst"))
     return steps.filter("src is not null").groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+def numstat_counts(li: DataFrame) -> DataFrame:
+    """Lines changed by order, of line items as numstat lines."""
+    text = F.concat_ws("\t", F.when(F.col("l_linenumber") == 1, "-").otherwise(F.col("l_linenumber").cast("string")), F.when(F.col("l_linenumber") == 1, "-").otherwise(F.lit("2")), F.col("l_orderkey").cast("string"))
+    return git.merge_counts(git.parse_numstat(li.select(text.alias("line")), "line"))

@@ -188,6 +188,7 @@ with r as (select o_custkey % 11 <> 0 as a, o_orderpriority <> '1-URGENT' as b,
 select case when a then 'unknown' when b then 'unsafe' when c then 'stale' when d then 'dirty' else 'fresh' end as status, count(*) as n, sum(a::int + b::int + c::int + d::int)::bigint as n_reasons from r group by 1
 """
 SQL["numstat_merge"] = "select l_orderkey::varchar as path, sum(case when l_linenumber > 1 then l_linenumber end)::bigint as added, sum(case when l_linenumber > 1 then 2 end)::bigint as deleted from lineitem where l_orderkey <= 1000 group by l_orderkey"
+SQL["numstat_merge_all"] = "select l_orderkey::varchar as path, sum(case when l_linenumber > 1 then l_linenumber end)::bigint as added, sum(case when l_linenumber > 1 then 2 end)::bigint as deleted from lineitem group by l_orderkey"
 SQL["compact_log_summary"] = r"""
 with d as (select doc_id, coalesce(text, '') as t, string_split(coalesce(text, ''), chr(10)) as ls from documents),
 h as (select *, list_filter(ls, lambda x: regexp_matches(x, '(?i)\b(error|failed|failure|panic|warning|exception)\b'))[1:40] as hit from d),

@@ -384,9 +384,12 @@ def freshness_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def numstat_merge(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").filter("l_orderkey <= 1000")
-    text = F.concat_ws("\t", F.when(F.col("l_linenumber") == 1, "-").otherwise(F.col("l_linenumber").cast("string")), F.when(F.col("l_linenumber") == 1, "-").otherwise(F.lit("2")), F.col("l_orderkey").cast("string"))
-    return git.merge_counts(git.parse_numstat(li.select(text.alias("line")), "line"))
+    """The orders that the given SQL takes; numstat_merge_all takes every one."""
+    return A.numstat_counts(table(spark, d, "lineitem").filter("l_orderkey <= 1000"))
+
+
+def numstat_merge_all(spark: SparkSession, d: str) -> DataFrame:
+    return A.numstat_counts(table(spark, d, "lineitem"))
 
 
 # compaction and rename
