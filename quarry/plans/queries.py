@@ -50,9 +50,10 @@ def chunk_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
-    """Not in SQL: signed hash counts; the tests hold it against hand-computed values."""
-    t = table(spark, d, "benchmark").select("item_id", V.hash_embedding()("text").alias("v"))
-    return t.select("item_id", F.size("v").alias("dimension"), r6(V.norm(F.col("v"))).alias("norm"), F.transform("v", r6).alias("embedding"))
+    """Of every chunk of every document. Not in SQL: signed hash counts; the tests hold it against hand-computed values."""
+    chunks = table(spark, d, "documents").select("doc_id", F.posexplode(X.chunk_lines(F.col("text"))).alias("chunk_index", "c"))
+    t = chunks.select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), V.hash_embedding()("c.chunk").alias("v"))
+    return t.select("doc_id", "chunk_index", F.size("v").alias("dimension"), r6(V.norm(F.col("v"))).alias("norm"), F.transform("v", r6).alias("embedding"))
 
 
 def secret_redaction(spark: SparkSession, d: str) -> DataFrame:
