@@ -4,18 +4,22 @@ A word's symbols lie side by side: an array of part boundaries and, beside it,
 the rank of each adjacent pair. The array is scanned for the least rank (the
 first of equal ones), the boundary between the two parts is deleted and the
 ranks of the two neighbouring pairs are looked up anew, until no pair has a
-rank. Words over ``LONG_WORD`` symbols, where repeated scans would be
-quadratic, take the same merges in the same order from a heap.
+rank. The words of a batch that are as long as one another are one matrix, a
+row each, so that every step is taken for all of them at once. Words over
+``LONG_WORD`` symbols, where repeated scans would be quadratic, take the same
+merges in the same order from a heap.
 
 The vocabulary file's own rules are followed: special strings are cut out of
 the raw text, the rest is brought to NFC and lower-cased, cut by the file's
 word pattern, and each word's bytes get an end-of-word mark. Tokens are joined
 by spaces when decoded, as the file names no decoder.
 
-Scale: documents are encoded row by row where they lie, with nothing shuffled;
-a worker remembers the codes of the pieces between white space in tables of
-at most twice ``CACHE`` entries. The vocabulary file is
-read on the driver and sent as it is (its size is fixed).
+Scale: documents are encoded row by row where they lie, with nothing shuffled.
+Texts are handled in steps of about ``STEP`` bytes (a longer text stands
+alone): cut at white space, each distinct piece coded once, and the codes
+spread to their places by index. A worker remembers the codes of pieces and of
+words in tables of at most twice ``CACHE`` entries. The vocabulary file is read
+on the driver and sent as it is (its size is fixed).
 
 Edge cases: null and empty texts have no tokens and decode to the empty string;
 very long texts are encoded whole, a piece without white space too. Repeated
@@ -27,25 +31,22 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import os
 import unicodedata
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from quarry.llm.common import in_small_batches
+from quarry.llm.common import STEP, steps
 
-LONG_WORD = 256
+LONG_WORD = 64
 ID_BITS = 24
 ID_MASK = (1 << ID_BITS) - 1
 NO_RANK = 1 << 60
 CACHE = 150_000
-#: Characters on which Python's str.split cuts but the vocabulary's pattern does not see white space.
-_ODD = "\x1c\x1d\x1e\x1f"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -67,26 +68,26 @@ def _pattern(spec: dict):
     return Regex(next(s["pattern"]["Regex"] for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split"))
 
 
-class _Memo(dict):
-    """What make gives for a piece. Short pieces are remembered in two generations of at most ``most`` entries.
+class Memory(dict):
+    """Entries in two generations of at most ``most`` each: when the younger one is full it becomes the older one."""
 
-    When the younger one is full it becomes the older one, and what is used again comes back from there.
-    """
-
-    def __init__(self, make, most: int = CACHE):
+    def __init__(self, most: int = CACHE):
         super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.most, self.old = most, {}
+
+    def find(self, key: str):
+        """The value of a key, or None; what is used again comes back from the older generation."""
+        out = self.get(key)
+        if out is None and (out := self.old.get(key)) is not None:
+            self.put(key, out)
+        return out
 
-    def __missing__(self, piece: str):
-        out = self.old.get(piece)
-        if out is None:
-            out = self.make(piece)
+    def put(self, key: str, value) -> None:
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
-        if len(piece) <= 64:
-            self[piece] = out
-        return out
+        if len(key) <= 64:
+            self[key] = value
 
 
 class RankArrayBPE:
@@ -97,58 +98,90 @@ class RankArrayBPE:
         self.vocab: dict[str, int] = model["vocab"]
         suffix = model["end_of_word_suffix"]
         symbols = byte_symbols()
-        self.first = [self.vocab.get(s) for s in symbols]
-        self.last = [self.vocab.get(s + suffix) for s in symbols]
-        # after[a][b]: the rank of the pair (a, b), counted from 1, above the id that it merges to.
-        none: dict[int, int] = {}
-        self.after: list[dict[int, int]] = [none] * (max(self.vocab.values()) + 1)
-        for rank, pair in enumerate(model["merges"], 1):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            if self.after[self.vocab[a]] is none:
-                self.after[self.vocab[a]] = {}
-            self.after[self.vocab[a]][self.vocab[b]] = rank << ID_BITS | self.vocab[a + b]
+        self.first = np.array([self.vocab.get(s, -1) for s in symbols], np.int64)
+        self.last = np.array([self.vocab.get(s + suffix, -1) for s in symbols], np.int64)
+        self.size = max(self.vocab.values()) + 1
+        # The rank of each pair, counted from 1, above the id that it merges to; in the order of the pairs.
+        pairs = [p if isinstance(p, list) else p.split(" ") for p in model["merges"]]
+        left, right, whole = (np.array([self.vocab[x] for x in xs], np.int64) for xs in zip(*((a, b, a + b) for a, b in pairs), strict=True))
+        keys, worth = left * self.size + right, np.arange(1, len(pairs) + 1, dtype=np.int64) << ID_BITS | whole
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.worth = keys[order], worth[order]
         self.settled: set[str] = set()
-        self.words_seen = _Memo(self.word_bytes, CACHE // 2)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         self.words = regex.compile(next(s["pattern"]["Regex"] for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split"))
         self.names = {i: s for s, i in {**self.vocab, **self.special}.items()}
         self.spaced = {i: f"{s} " for i, s in self.names.items()}
-        self.ids_of = _Memo(self.piece_bytes)
-        self.names_of = _Memo(lambda piece: "".join(map(self.spaced.__getitem__, array("I", self.ids_of[piece]))))
+        self.words_seen, self.pieces_seen = Memory(), Memory()
         self.spec, self.library = json.dumps(spec), None
 
-    def word_bytes(self, word: str) -> bytes:
-        """Ids of a word as little-endian unsigned 32-bit integers."""
-        return array("I", self.merge(word.encode("utf-8"))).tobytes()
-
-    def merge(self, data: bytes) -> list[int]:
-        """Ids of a word's bytes."""
-        ids = [self.first[b] for b in data[:-1]] + [self.last[data[-1]]]
-        if None in ids:
-            ids = [i for i in ids if i is not None]
-        return self._scan(ids) if len(ids) <= LONG_WORD else self._heap(ids)
-
-    def _scan(self, parts: list[int]) -> list[int]:
-        after = self.after
-        ranks = [after[a].get(b, NO_RANK) for a, b in zip(parts, parts[1:], strict=False)]
-        while ranks:
-            best = min(ranks)
-            if best == NO_RANK:
-                break
-            at = ranks.index(best)
-            parts[at] = best & ID_MASK
-            del parts[at + 1], ranks[at]
-            if at:
-                ranks[at - 1] = after[parts[at - 1]].get(parts[at], NO_RANK)
-            if at < len(ranks):
-                ranks[at] = after[parts[at]].get(parts[at + 1], NO_RANK)
-        return parts
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank and merged id of each pair; NO_RANK for none."""
+        wanted = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.worth[at], NO_RANK)
+
+    def merge_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word (not empty), as little-endian unsigned 32-bit integers."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        data, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes)
+        ids = self.first[data]
+        ids[ends - 1] = self.last[data[ends - 1]]
+        if (known := ids >= 0).all():
+            starts = ends - sizes
+        else:
+            before = np.concatenate([[0], np.cumsum(known)])
+            starts, sizes = before[ends - sizes], before[ends] - before[ends - sizes]
+            ids = ids[known]
+        out = [b""] * len(words)
+        for n in np.unique(sizes).tolist():
+            rows = np.flatnonzero(sizes == n)
+            if n > LONG_WORD:
+                for r in rows.tolist():
+                    out[r] = array("I", self._heap(ids[starts[r] : starts[r] + n].tolist())).tobytes()
+            elif n:
+                self._scan(ids[starts[rows][:, None] + np.arange(n)], rows, out)
+        return out
+
+    def _scan(self, parts: np.ndarray, rows: np.ndarray, out: list) -> None:
+        """Merge words of one length, a row of parts each; row k goes to out[rows[k]]."""
+
+        def put(done, at):
+            raw, width = done.astype("<u4").tobytes(), 4 * done.shape[1]
+            for k, r in enumerate(at.tolist()):
+                out[r] = raw[k * width : (k + 1) * width]
+
+        ranks = self.ranks(parts[:, :-1], parts[:, 1:])
+        while ranks.shape[1]:
+            at = ranks.argmin(1)
+            best = ranks[np.arange(len(at)), at]
+            more = best != NO_RANK
+            if not more.all():
+                put(parts[~more], rows[~more])
+                parts, ranks, rows, at, best = parts[more], ranks[more], rows[more], at[more], best[more]
+            if not len(rows):
+                return
+            n, width = parts.shape
+            every = np.arange(n)
+            parts[every, at] = best & ID_MASK
+            stay = np.ones((n, width), bool)
+            stay[every, at + 1] = False
+            parts = parts[stay].reshape(n, width - 1)
+            stay = np.ones((n, width - 1), bool)
+            stay[every, at] = False
+            ranks = ranks[stay].reshape(n, width - 2)
+            for side in (at - 1, at):
+                k = np.flatnonzero((side >= 0) & (side < width - 2))
+                x = side[k]
+                ranks[k, x] = self.ranks(parts[k, x], parts[k, x + 1])
+        put(parts, rows)
 
     def _heap(self, parts: list[int]) -> list[int]:
-        n, after_of = len(parts), self.after
+        n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m, i, parts[i], parts[i + 1]) for i in range(n - 1) if (m := after_of[parts[i]].get(parts[i + 1]))]
+        ranks = self.ranks(np.array(parts[:-1]), np.array(parts[1:])).tolist()
+        heap = [(m, i, parts[i], parts[i + 1]) for i, m in enumerate(ranks) if m != NO_RANK]
         heapq.heapify(heap)
         alive = [True] * n
         while heap:
@@ -159,22 +192,20 @@ class RankArrayBPE:
             parts[i], alive[j], after[i] = m & ID_MASK, False, after[j]
             if after[j] < n:
                 before[after[j]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (m := after_of[parts[x]].get(parts[y])):
+            near = [(x, y) for x, y in ((before[i], i), (i, after[i])) if x >= 0 and y < n]
+            for (x, y), m in zip(near, self.ranks(np.array([parts[x] for x, _ in near]), np.array([parts[y] for _, y in near])).tolist() if near else (), strict=True):
+                if m != NO_RANK:
                     heapq.heappush(heap, (m, x, parts[x], parts[y]))
         return [p for p, ok in zip(parts, alive, strict=True) if ok]
 
-    def piece_bytes(self, piece: str) -> bytes:
-        """Ids of a text without special strings, as little-endian unsigned 32-bit integers."""
+    def words_of(self, piece: str) -> list[str]:
+        """The words of a text without special strings, as the vocabulary has them."""
         if piece.isascii():
             text = piece.lower()
-            if text.isalpha():
-                return self.words_seen[text]
-        elif not self.settled.issuperset(piece) and not self._settle(piece):
-            return b"".join(map(self.words_seen.__getitem__, self._newer_words(piece)))
-        else:
-            text = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-        return b"".join(map(self.words_seen.__getitem__, self.words.findall(text)))
+            return [text] if text.isalpha() else self.words.findall(text)
+        if not self.settled.issuperset(piece) and not self._settle(piece):
+            return self._newer_words(piece)
+        return self.words.findall(unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower())
 
     def _settle(self, piece: str) -> bool:
         """Whether Python's own Unicode version gives all characters a meaning; libraries with other versions may differ on the rest."""
@@ -192,25 +223,66 @@ class RankArrayBPE:
         normalizer, split = self.library
         return [w for w, _ in split.pre_tokenize_str(normalizer.normalize_str(piece))]
 
-    def _plain(self, text: str, out: list, names: list | None) -> None:
-        pieces = [text] if any(c in text for c in _ODD) else text.split()
-        out.append(b"".join(map(self.ids_of.__getitem__, pieces)))
-        if names is not None:
-            names.append("".join(map(self.names_of.__getitem__, pieces)))
-
-    def encode(self, text: str, decoded: bool = True) -> tuple[bytes, str]:
-        """The ids as little-endian unsigned 32-bit integers, and the decoded text (empty if not wanted)."""
-        out: list[bytes] = []
-        names: list[str] | None = [] if decoded else None
-        at = 0
-        for m in self.cut.finditer(text) if "<|" in text else ():
-            self._plain(text[at : m.start()], out, names)
-            out.append(array("I", [self.special[m[0]]]).tobytes())
-            if names is not None:
-                names.append(m[0] + " ")
+    def code_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece; the words that are not known are merged together."""
+        out = list(map(self.pieces_seen.find, pieces))
+        new = [k for k, x in enumerate(out) if x is None]
+        words = [self.words_of(pieces[k]) for k in new]
+        ids = {w: self.words_seen.find(w) for w in set().union(*words)}
+        unknown = [w for w, x in ids.items() if x is None]
+        for w, x in zip(unknown, self.merge_words([w.encode("utf-8") for w in unknown]) if unknown else (), strict=True):
+            ids[w] = x
+            self.words_seen.put(w, x)
+        for k, ws in zip(new, words, strict=True):
+            out[k] = b"".join(map(ids.__getitem__, ws))
+            self.pieces_seen.put(pieces[k], out[k])
+        return out
+
+    def _plain(self, texts: pa.Array, decoded: bool):
+        """Of texts without special strings: the ids of all, the number of each text's, and the decoded texts."""
+        lists = pc.ascii_split_whitespace(texts)
+        told = lists.flatten().dictionary_encode()
+        pieces = told.dictionary.to_pylist()
+        codes = self.code_pieces(pieces)
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        known, starts = np.frombuffer(b"".join(codes), "<u4"), np.cumsum(sizes) - sizes
+        which = told.indices.to_numpy()
+        length = sizes[which]
+        ends = np.cumsum(length)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = known[np.repeat(starts[which] - (ends - length), length) + np.arange(total)]
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])]
+        names = None
+        if decoded:
+            spaced = self.spaced.__getitem__
+            of_piece = pa.array(["".join(map(spaced, array("I", c))) for c in codes], pa.string())
+            names = pc.utf8_rtrim(pc.binary_join(pa.ListArray.from_arrays(lists.offsets, of_piece.take(told.indices)), ""), " ")
+        return ids, np.diff(bounds), names
+
+    def _special(self, text: str) -> bytes:
+        """The ids of a text with special strings."""
+        out, at = [], 0
+        for m in self.cut.finditer(text):
+            out += [self._plain(pa.array([text[at : m.start()]]), False)[0].tobytes(), array("I", [self.special[m[0]]]).tobytes()]
             at = m.end()
-        self._plain(text[at:] if at else text, out, names)
-        return b"".join(out), "".join(names)[:-1] if names else ""
+        return b"".join([*out, self._plain(pa.array([text[at:]]), False)[0].tobytes()])
+
+    def encode(self, texts: pa.Array, decoded: bool = True):
+        """The ids of all texts (null: empty), the number of each text's, and the decoded texts (None if not wanted)."""
+        texts = texts.cast(pa.string()).fill_null("")
+        marks = [k for k in np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)).tolist() if self.cut.search(texts[k].as_py())]
+        parts, at = [], 0
+        for k in [*marks, len(texts)]:
+            if k > at:
+                parts.append(self._plain(texts.slice(at, k - at), decoded))
+            if k < len(texts):
+                ids = np.frombuffer(self._special(texts[k].as_py()), "<u4")
+                parts.append((ids, np.array([len(ids)]), pa.array([self.decode(ids.tolist())], pa.string()) if decoded else None))
+            at = k + 1
+        if not parts:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64), pa.array([], pa.string()) if decoded else None
+        ids, sizes, names = zip(*parts, strict=True)
+        return np.concatenate(ids), np.concatenate(sizes), pa.concat_arrays(names) if decoded else None
 
     def decode(self, ids) -> str:
         return " ".join(self.names[i] for i in ids if i in self.names)
@@ -241,20 +313,20 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_text: bool =
     def run(batches):
         code = coder(spec)
         digest = lambda x: hashlib.sha256(x).hexdigest()
-        for b in batches:
-            rows = [code.encode(x or "") for x in b.column(1).to_pylist()]
-            cols = [b.column(0), pa.array([len(i) // 4 for i, _ in rows], pa.int64()), pa.array([digest(i) for i, _ in rows]), pa.array([digest(d.encode("utf-8")) for _, d in rows])]
+        for b in steps(batches, 1, STEP):
+            ids, sizes, decoded = code.encode(b.column(1))
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B") if len(ids) else b""
+            ids_of = pa.array([digest(raw[4 * x : 4 * y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())
+            text_of = pa.array([digest(x.as_buffer() or b"") for x in decoded.cast(pa.binary())], pa.string())
+            cols = [b.column(0), pa.array(sizes, pa.int64()), ids_of, text_of]
             if with_text:
-                offsets = [0]
-                for i, _ in rows:
-                    offsets.append(offsets[-1] + len(i) // 4)
-                flat = pa.array(np.frombuffer(b"".join(i for i, _ in rows), np.int32))
-                cols += [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat), pa.array([d for _, d in rows], pa.string())]
+                cols += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32))), decoded]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(cols)])
 
-    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def bpe_stage(docs: DataFrame) -> DataFrame:
     """Each document with its token ids and the text that they decode to."""
-    return encode_documents(docs, with_text=True).withColumnRenamed("decoded", "text").select(F.col("doc_id"), "n_tokens", "ids", "ids_sha256", "decoded_sha256", "text")
+    return encode_documents(docs, with_text=True).withColumnRenamed("decoded", "text").select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256", "text")

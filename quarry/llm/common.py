@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,16 +55,24 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows that the JVM hands to a Python worker at once; the default of 10,000 takes hundreds of MB where texts are long.
-BATCH_ROWS = 1000
+#: Bytes of texts that a Python worker handles together; a longer text stands alone.
+STEP = 4 << 20
 
 
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """df, with the session set to hand rows to Python in batches of BATCH_ROWS at most."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df
+def steps(batches, column: int, most: int = STEP):
+    """The rows of Arrow batches in batches whose texts, in that column, have about ``most`` bytes in all."""
+    held, size = [], 0
+    for batch in batches:
+        lengths = pc.binary_length(batch.column(column).cast(pa.binary())).fill_null(0).to_pylist()
+        at = 0
+        for k, n in enumerate(lengths):
+            if size and size + n > most:
+                yield pa.concat_batches([*held, batch.slice(at, k - at)])
+                held, size, at = [], 0, k
+            size += n
+        held.append(batch.slice(at))
+    if held:
+        yield pa.concat_batches(held)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -76,7 +85,3 @@ def let(value: Column, body) -> Column:
     A lambda variable is read, never recomputed, whatever the optimizer inlines.
     """
     return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def project_path() -> str:
-    return os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

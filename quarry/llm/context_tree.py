@@ -6,20 +6,25 @@ Every node keeps a Krichevsky-Trofimov estimate of its zeros and ones; a node's
 weighted probability is half its own estimate's and half the product of those
 of its children (the contexts one byte longer), which mixes all context trees
 up to that depth. After training, the chance of a bit is the mixture, by the
-posterior weights along the path, of the estimates at all depths; a context
-that training never saw ends the path. The sum over bits is the text's log10
-probability; code length per byte follows from it.
+posterior weights along the path, of the estimates at all depths; an empty node
+(a context that training never saw) gives either bit the chance 1/2, as its
+estimate does. The sum over bits is the text's log10 probability; code length
+per byte follows from it.
 
 Beside it stands a plain unigram score of tokens with add-one smoothing.
 
-Scale: training is one pass that counts distinct byte strings and tokens per
-task and sums them in a shuffle, so a very frequent word is a row a task. The
-tree is built in blocks of at most ``block_grams`` strings (by the last two
-context bytes, of which one pair alone is at most 256**(depth-1) strings) and
-broadcast block by block; tasks take the blocks in turn. The unigram counts of
-frequent tokens, those with at least 1/``FREQUENT`` of all, are broadcast:
-there are at most ``FREQUENT`` of them whatever the input. The rest are joined
-by token. Both need no cap, and no row is dropped.
+Scale: a byte with its context is a string of depth + 1 bytes. One pass counts
+the distinct strings and tokens of the training texts per task and sums them in
+a shuffle, so a very frequent one is a row a task; strings of other texts come
+along with count 0. The strings are dealt out by the last two bytes of context,
+so each task has whole subtrees of levels 2 and deeper; what a pair of bytes can
+hold is bounded by 256**(depth - 1) strings whatever the input. Only the nodes
+of levels 0 and 1 (at most 65,536) go to the driver and to all tasks. There each
+distinct string is scored once. Strings and tokens that make up at least
+1/``FREQUENT_GRAMS`` and 1/``FREQUENT`` of all are looked up where the texts lie:
+there are at most so many of them whatever the input, so their broadcast is
+bounded. The others of each text are joined by string and by token, where no
+key can have more than that share of all rows. No row is dropped.
 
 Edge cases: null and empty texts score 0 and have one token, the end. A null
 doc_id is never held out. Repeated rows are scored alike, as each row has a
@@ -30,25 +35,26 @@ chance 1/2. Columns other than doc_id and text are not read.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import in_small_batches, written
+from quarry.llm.common import steps, written
 
 DEPTH = 5
-#: At most; the strings' codes have to leave 31 bits beside a slot's number.
-DEEPEST = 5
-SLOT_BITS = 22
+#: At most: a string with its context is a number of 64 bits.
+DEEPEST = 7
 FREQUENT = 65_536
-#: Bytes of text whose strings are held as numbers at once, and of texts that are handled together.
+FREQUENT_GRAMS = 1 << 22
+#: Bytes of text whose strings are held as numbers at once.
 PIECE = 1 << 20
-STEP = 4 << 20
+#: Strings whose subtrees are built at once; a pair of context bytes stands together.
+SUBTREE = 400_000
 END = b"\n"  # as a token it cannot clash: words hold no white space
 
 
@@ -93,70 +99,53 @@ def grams(texts, depth: int):
         yield codes()
 
 
-def merged(a: tuple, b: tuple) -> tuple:
-    """Two (sorted codes, counts) as one."""
-    codes = np.concatenate([a[0], b[0]])
-    order = np.argsort(codes, kind="stable")
-    codes, counts = codes[order], np.concatenate([a[1], b[1]])[order]
-    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
-    return codes[first], np.add.reduceat(counts, first) if len(first) else counts
-
-
-def steps(batches, column: int, most: int = STEP):
-    """The rows of batches in batches whose texts have about ``most`` bytes in all; a longer text stands alone."""
-    held, size = [], 0
-    for batch in batches:
-        lengths = pc.binary_length(batch.column(column).cast(pa.binary())).fill_null(0).to_pylist()
-        at = 0
-        for k, n in enumerate(lengths):
-            if size and size + n > most:
-                yield pa.concat_batches([*held, batch.slice(at, k - at)])
-                held, size, at = [], 0, k
-            size += n
-        held.append(batch.slice(at))
-    if held:
-        yield pa.concat_batches(held)
-
-
 def tokens_of(text: bytes) -> list[bytes]:
     return [*text.split(), END]
 
 
-def count_training(docs: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-    """(token, n) and (gram, n) over the rows of docs (held, text) that are not held out."""
+def count_strings(docs: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """(token, n) of the training rows of docs (held, text), and (gram, n, m): times in training rows, and in all rows."""
 
     def run(batches):
         tokens: Counter = Counter()
         held: list[tuple] = []
 
-        def rows(token, gram, n):
-            return pa.RecordBatch.from_arrays([pa.array(token, pa.binary()), pa.array(gram, pa.int64()), pa.array(n, pa.int64())], ["token", "gram", "n"])
+        def rows(token, gram, n, m):
+            longs = lambda x: pa.array(x, pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(token, pa.binary()), longs(gram), longs(n), longs(m)], ["token", "gram", "n", "m"])
 
         def out_tokens():
             items = iter(tokens.items())
             while part := list(islice(items, 20_000)):
-                yield rows([t for t, _ in part], [None] * len(part), [n for _, n in part])
+                yield rows([t for t, _ in part], [None] * len(part), [n for _, n in part], [0] * len(part))
             tokens.clear()
 
         def merge_held():
-            held[:] = [merged(tuple(np.concatenate(x) for x in zip(*held, strict=True)), (np.zeros(0, np.uint64), np.zeros(0, np.int64)))] if held else []
+            codes, n, m = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(codes, kind="stable")
+            first = starts_of(codes[order])
+            held[:] = [(codes[order][first], np.add.reduceat(n[order], first), np.add.reduceat(m[order], first))]
 
         def out_grams():
-            merge_held()
-            for codes, counts in held:
+            if held:
+                merge_held()
+                codes, n, m = held.pop()
                 for at in range(0, len(codes), 50_000):
-                    part = codes[at : at + 50_000].view(np.int64)
-                    yield rows([None] * len(part), part, counts[at : at + 50_000])
-            held.clear()
+                    cut = slice(at, at + 50_000)
+                    yield rows([None] * len(codes[cut]), codes[cut].view(np.int64), n[cut], m[cut])
 
         for b in steps(batches, 1):
-            texts = [(x.as_py() or b"").lower() for h, x in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True) if not h]
-            for t in texts:
-                tokens.update(tokens_of(t))
+            out = np.array(b.column(0).to_pylist(), bool)
+            texts = [(x.as_py() or b"").lower() for x in b.column(1).cast(pa.binary())]
+            for t, h in zip(texts, out.tolist(), strict=True):
+                if not h:
+                    tokens.update(tokens_of(t))
             if len(tokens) > 300_000:
                 yield from out_tokens()
-            for codes, _, _ in grams(texts, depth):
-                held.append(np.unique(codes, return_counts=True))
+            for scored in (False, True):
+                for codes, _, _ in grams([t for t, h in zip(texts, out.tolist(), strict=True) if h == scored], depth):
+                    codes, m = np.unique(codes, return_counts=True)
+                    held.append((codes, m * (not scored), m))
             if sum(len(x[0]) for x in held) > 1_500_000:
                 merge_held()
                 if len(held[0][0]) > 1_000_000:
@@ -164,9 +153,14 @@ def count_training(docs: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
         yield from out_tokens()
         yield from out_grams()
 
-    counted = docs.select("held", "text").mapInArrow(run, "token binary, gram long, n long")
-    summed = written(counted.groupBy("token", "gram").agg(F.sum("n").alias("n")), "training-counts")
-    return summed.filter("token is not null").select("token", "n"), summed.filter("gram is not null").select("gram", "n")
+    counted = docs.select("held", "text").mapInArrow(run, "token binary, gram long, n long, m long")
+    summed = written(counted.groupBy("token", "gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "training-counts")
+    return summed.filter("token is not null").select("token", "n"), summed.filter("gram is not null").select("gram", "n", "m")
+
+
+def starts_of(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -184,14 +178,17 @@ def kt_log(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 
 def bit_counts(codes: np.ndarray, counts: np.ndarray, d: int) -> tuple:
-    """(keys, n0, n1) of the nodes at depth d: key is the context's d bytes, then the path of bits as a heap index."""
+    """(keys, n0, n1) of the nodes at depth d, by key: the context's d bytes, then the path of bits as a heap index."""
     short = codes & np.uint64((1 << 8 * (d + 1)) - 1)
-    short, n = merged((short, counts), (short[:0], counts[:0]))
+    order = np.argsort(short, kind="stable")
+    short, counts = short[order], counts[order]
+    first = starts_of(short)
+    short, n = short[first], np.add.reduceat(counts, first) if len(first) else counts
     context, byte = short & ~np.uint64(255), short & np.uint64(255)
     parts = []
     for k in range(8):  # of one length of path, keys come sorted
         keys = context | np.uint64(1 << k) | (byte >> np.uint64(8 - k))
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        first = starts_of(keys)
         ones = n * ((byte >> np.uint64(7 - k)) & np.uint64(1)).astype(np.int64)
         parts.append((keys[first], np.add.reduceat(n, first), np.add.reduceat(ones, first)) if len(first) else (keys, n, n))
     keys, n, ones = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -199,21 +196,21 @@ def bit_counts(codes: np.ndarray, counts: np.ndarray, d: int) -> tuple:
     return keys[order], (n - ones)[order].astype(float), ones[order].astype(float)
 
 
-def level(keys, n0, n1, below, own_weight_only: bool) -> tuple:
-    """(keys, log odds of a one, log odds of the own weight, ln weighted probability); below: sums over children, nan where none.
+def level(keys, n0, n1, below) -> tuple:
+    """(keys, log odds of a one, log odds of the own weight, ln weighted probability); below: sums over children, None at the leaves.
 
-    Log odds keep chances and weights near 0 and 1 apart from them, in 32 bits too.
+    Log odds keep chances and weights near 0 and 1 apart from them.
     """
     own = kt_log(n0, n1)
-    weighted = own if own_weight_only else np.logaddexp(own, below) - math.log(2)
-    weight = np.full(len(keys), np.inf) if own_weight_only else own - below
+    weighted = own if below is None else np.logaddexp(own, below) - math.log(2)
+    weight = np.full(len(keys), np.inf) if below is None else own - below
     return keys, np.log(n1 + 0.5) - np.log(n0 + 0.5), weight, weighted
 
 
 def chance_of(odds: np.ndarray) -> np.ndarray:
     """The chance that has these log odds; that of the opposite is chance_of(-odds)."""
     with np.errstate(over="ignore"):
-        return 1 / (1 + np.exp(-odds.astype(np.float64)))
+        return 1 / (1 + np.exp(-odds))
 
 
 def child_sums(parent: np.ndarray, child: np.ndarray, value: np.ndarray, d: int) -> np.ndarray:
@@ -223,211 +220,183 @@ def child_sums(parent: np.ndarray, child: np.ndarray, value: np.ndarray, d: int)
     return np.bincount(np.searchsorted(parent, up), value, len(parent))
 
 
-class Tree:
-    """Levels 0 to depth of a block; levels 0 and 1 are shared by all blocks."""
-
-    def __init__(self, levels: list[tuple]):
-        self.levels = levels
-        # Codes seen lately and their values, 64 bits each: a tag, then the value as a 32-bit float. The tag is
-        # what the slot leaves of the scrambled code (exact, as scrambling is one-to-one) and whether the entry
-        # stands in its own slot or, that being taken, in the slot beside it.
-        self.width = 8 * len(levels)
-        self.rest = max(0, self.width - SLOT_BITS)
-        self.table = np.zeros(1 << (self.width - self.rest), np.uint64)
-
-    def _place(self, codes):
-        mixed = (codes * np.uint64(0x9E3779B97F4A7C15)) & np.uint64((1 << self.width) - 1)
-        tag = ((mixed & np.uint64((1 << self.rest) - 1)) << np.uint64(1)) + np.uint64(2)
-        return (mixed >> np.uint64(self.rest)).view(np.int64), tag
-
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 chance of the last byte of each code after the others; codes seen lately are looked up."""
-        slot, tag = self._place(codes)
-        entry = self.table[slot]
-        out = entry.astype(np.uint32).view(np.float32)
-        miss = np.flatnonzero((entry >> np.uint64(32)) != tag)
-        if len(miss):
-            beside = self.table[slot[miss] ^ 1]
-            out[miss] = beside.astype(np.uint32).view(np.float32)
-            miss = miss[(beside >> np.uint64(32)) != tag[miss] + np.uint64(1)]
-        if len(miss):
-            fresh, at = np.unique(codes[miss], return_inverse=True)
-            worth = self.compute(fresh).astype(np.float32)
-            out[miss] = worth[at]
-            slot, tag = self._place(fresh)
-            free = self.table[slot] == 0
-            place = np.where(free, slot, slot ^ 1)
-            tag = np.where(free, tag, tag + np.uint64(1))
-            self.table[place] = (tag << np.uint64(32)) | worth.view(np.uint32)  # of two codes for one place the last stays
-        return out.astype(np.float64)
-
-    def compute(self, codes: np.ndarray) -> np.ndarray:
-        byte = codes & np.uint64(255)
-        total = np.zeros(len(codes))
-        for k in range(8):
-            node = np.uint64(1 << k) | (byte >> np.uint64(8 - k))
-            sign = np.where((byte >> np.uint64(7 - k)) & np.uint64(1) == 1, 1.0, -1.0)
-            chance, rest = np.zeros(len(codes)), np.ones(len(codes))  # of the bit that is there
-            last = np.full(len(codes), 0.5)  # the estimate at the deepest node so far
-            weight = np.full(len(codes), -np.inf)
-            alive = np.arange(len(codes))
-            for d, (keys, one, own) in enumerate(self.levels):
-                if not len(keys) or not len(alive):
-                    break
-                context = (codes[alive] >> np.uint64(8)) & np.uint64((1 << 8 * d) - 1)
-                want = (context << np.uint64(8)) | node[alive]
-                at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-                there = keys[at] == want
-                alive, at = alive[there], at[there]
-                # The node above has a child here, so it only keeps its own weight.
-                chance[alive] += rest[alive] * chance_of(weight[alive]) * last[alive]
-                rest[alive] *= chance_of(-weight[alive])
-                last[alive], weight[alive] = chance_of(sign[alive] * one[at]), own[at]
-            total += np.log10(chance + rest * last)
-        return total
-
-
-def pair_of(codes: np.ndarray) -> np.ndarray:
-    """The last two context bytes."""
-    return ((codes >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64)
-
-
-def block_bounds(gram_counts: DataFrame, block_grams: int) -> list[tuple[int, int]]:
-    """Ranges of pairs of context bytes with at most block_grams strings each (or one pair); at most 65,536 rows are fetched."""
-    pair = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
-    sizes = sorted(gram_counts.groupBy(pair.alias("pair")).count().collect())
-    out, start, size = [], 0, 0
-    for pair_value, n in sizes:
-        if size and size + n > block_grams:
-            out.append((start, pair_value))
-            start, size = pair_value, 0
-        size += n
-    return [*out, (start, 1 << 16)]
-
-
-def subtree(codes: np.ndarray, counts: np.ndarray, depth: int):
-    """Yields (d, keys, log odds of a one and of the own weight, 0) for d from depth to 2, then (1, keys, n0, n1, sums over children)."""
-    below = None
+def subtree(codes: np.ndarray, counts: np.ndarray, depth: int) -> tuple[list[tuple], tuple]:
+    """The levels from 2 to depth over strings of whole pairs of context bytes; and what level 1 gets from them: (keys, n0, n1, sums over children)."""
+    levels, below = [], None
     for d in range(depth, 1, -1):
         keys, n0, n1 = bit_counts(codes, counts, d)
-        total = None if below is None else child_sums(keys, below[0], below[1], d)
-        keys, one, weight, weighted = level(keys, n0, n1, total, below is None)
-        yield d, keys, one, weight, np.zeros(len(keys))
-        below = (keys, weighted)
+        made = level(keys, n0, n1, None if below is None else child_sums(keys, *below, d))
+        levels.insert(0, made[:3])
+        below = made[0], made[3]
     keys, n0, n1 = bit_counts(codes, counts, 1)
-    yield 1, keys, n0, n1, child_sums(keys, *below, 1)
-
+    return levels, (keys, n0, n1, child_sums(keys, *below, 1))
 
-def subtrees(gram_counts: DataFrame, depth: int, parts: int) -> DataFrame:
-    """Rows of subtree() for all strings, in parts by the last two context bytes, each small enough for a task."""
-    names = ["d", "key", "a", "b", "c"]
-
-    def run(batches):
-        seen = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches]
-        if not seen:
-            return
-        codes, counts = merged(tuple(np.concatenate(x) for x in zip(*seen, strict=True)), (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-        for d, keys, *values in subtree(codes, counts, depth) if len(codes) else ():
-            for at in range(0, len(keys), 200_000):
-                cut = slice(at, at + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[cut]), d, np.int32)), pa.array(keys[cut].view(np.int64)), *(pa.array(v[cut]) for v in values)], names)
 
-    return gram_counts.repartition(parts, F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))).select("gram", "n").mapInArrow(run, "d int, key long, a double, b double, c double")
-
-
-def build(gram_counts: DataFrame, depth: int, block_grams: int, parts: int = 24):
-    """Broadcast blocks: a list of (first pair, pair after the last, list of broadcast levels from 2 on), and the broadcast levels 0 and 1.
-
-    The levels from 2 on are made on the executors; what the driver holds is one
-    level of a block's finished nodes, and 65,536 nodes of the level above.
-    """
-    sc = gram_counts.sparkSession.sparkContext
-    pair = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
-    blocks, tops = [], []
-    for lo, hi in block_bounds(gram_counts, block_grams):
-        nodes = written(subtrees(gram_counts.filter((pair >= lo) & (pair < hi)), depth, parts), "nodes")
-        levels = []
-        for d in range(2, depth + 1):
-            rows = nodes.filter(F.col("d") == d).select("key", F.col("a").cast("float"), F.col("b").cast("float")).toArrow()
-            keys = rows.column(0).to_numpy().view(np.uint64)
-            order = np.argsort(keys)
-            level_of = (keys[order], rows.column(1).to_numpy()[order], rows.column(2).to_numpy()[order])
-            del rows, keys, order
-            levels.append(sc.broadcast(level_of))  # goes to a file at once: the driver holds one level at a time
-            del level_of
-            pa.default_memory_pool().release_unused()
-        blocks.append((lo, hi, levels))
-        tops.append(nodes.filter("d = 1").groupBy("key").agg(F.sum("a"), F.sum("b"), F.sum("c")).toArrow())
-    columns = [np.concatenate([t.column(k).to_numpy() for t in tops]) for k in range(4)]
-    unique, at = np.unique(columns[0].view(np.uint64), return_inverse=True)
-    n0, n1, below = (np.bincount(at, columns[k], len(unique)) for k in (1, 2, 3))
-    one_level = level(unique, n0, n1, below, False)
+def top_levels(keys, n0, n1, below) -> list[tuple]:
+    """Levels 0 and 1 of what all subtrees give to level 1."""
+    unique, at = np.unique(keys, return_inverse=True)
+    n0, n1, below = (np.bincount(at, x, len(unique)) for x in (n0, n1, below))
+    one = level(unique, n0, n1, below)
     root, at = np.unique(unique & np.uint64(255), return_inverse=True)
-    top = level(root, np.bincount(at, n0, len(root)), np.bincount(at, n1, len(root)), np.bincount(at, one_level[3], len(root)), False)
-    return blocks, sc.broadcast([top[:3], one_level[:3]])
-
-
-_TREES: dict = {}
-
-
-def tree(block, top) -> Tree:
-    """The tree of a block; a worker keeps that of the last block, with the codes it knows."""
-    key = block[2].id
-    if key not in _TREES:
-        _TREES.clear()
-        _TREES[key] = Tree([*top.value, *block[2].value])
-    return _TREES[key]
+    top = level(root, np.bincount(at, n0, len(root)), np.bincount(at, n1, len(root)), np.bincount(at, one[3], len(root)))
+    return [top[:3], one[:3]]
 
 
-class _Named:
-    """The broadcast levels of a block, with a name that a worker can compare."""
-
-    def __init__(self, broadcast: list, name):
-        self.broadcast, self.id = broadcast, name
-
-    @property
-    def value(self):
-        return [b.value for b in self.broadcast]
-
-
-def score_documents(docs: DataFrame, depth: int = DEPTH, block_grams: int = 2_000_000) -> DataFrame:
+def log10_chance(levels: list[tuple], codes: np.ndarray) -> np.ndarray:
+    """log10 chance of the last byte of each string after the others."""
+    byte, total = codes & np.uint64(255), np.zeros(len(codes))
+    for k in range(8):
+        node = np.uint64(1 << k) | (byte >> np.uint64(8 - k))
+        sign = np.where((byte >> np.uint64(7 - k)) & np.uint64(1) == 1, 1.0, -1.0)
+        chance, rest = np.zeros(len(codes)), np.ones(len(codes))  # of the bit that is there; what deeper nodes weigh
+        alive = np.arange(len(codes))
+        for d, (keys, one, own) in enumerate(levels):
+            if not len(keys) or not len(alive):
+                break
+            context = (codes[alive] >> np.uint64(8)) & np.uint64((1 << 8 * d) - 1)
+            want = (context << np.uint64(8)) | node[alive]
+            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            there = keys[at] == want
+            alive, at = alive[there], at[there]
+            chance[alive] += rest[alive] * chance_of(own[at]) * chance_of(sign[alive] * one[at])
+            rest[alive] *= chance_of(-own[at])
+        total += np.log10(chance + 0.5 * rest)  # an empty node gives each bit 1/2; at the leaves nothing rests
+    return total
+
+
+def pair_of(gram: Column) -> Column:
+    """The last two context bytes."""
+    return F.shiftright(gram, 8).bitwiseAND(F.lit(0xFFFF))
+
+
+def whole_pairs(batches):
+    """(codes, n, m) of rows that come in the order of their pairs: about SUBTREE strings, and never a part of a pair."""
+    held: list[list[np.ndarray]] = [[], [], []]
+    size = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        codes = b.column(0).to_numpy().view(np.uint64)
+        pair = codes >> np.uint64(8) & np.uint64(0xFFFF)
+        cuts = starts_of(pair).tolist()
+        if held[0] and held[0][-1][-1] >> np.uint64(8) & np.uint64(0xFFFF) == pair[0]:
+            cuts = cuts[1:]
+        columns, at = (codes, b.column(1).to_numpy(), b.column(2).to_numpy()), 0
+        for cut in [*cuts, len(codes)]:
+            if size + cut - at >= SUBTREE or cut == len(codes):
+                for k, x in enumerate(columns):
+                    held[k].append(x[at:cut])
+                size, at = size + cut - at, cut
+                if size >= SUBTREE and cut < len(codes):
+                    yield tuple(map(np.concatenate, held))
+                    held, size = [[], [], []], 0
+    if size:
+        yield tuple(map(np.concatenate, held))
+
+
+def score_strings(counts: DataFrame, depth: int) -> DataFrame:
+    """gram, m and v: the log10 chance of each distinct string of counts (gram, n, m)."""
+    spark = counts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = counts.withColumn("pair", pair_of(F.col("gram"))).repartition(parts, "pair").sortWithinPartitions("pair").select("gram", "n", "m")
+
+    def trained(codes, n):
+        return codes[n > 0], n[n > 0]
+
+    def give(batches):
+        for codes, n, _ in whole_pairs(batches):
+            _, (keys, *values) = subtree(*trained(codes, n), depth)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, values)], ["key", "n0", "n1", "below"])
+
+    sums = dealt.mapInArrow(give, "key long, n0 double, n1 double, below double").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "below")))
+    rows = sums.toArrow()  # at most 65,536
+    top = spark.sparkContext.broadcast(top_levels(rows.column(0).to_numpy().view(np.uint64), *(rows.column(k).to_numpy() for k in (1, 2, 3))))
+
+    def score(batches):
+        for codes, n, m in whole_pairs(batches):
+            levels = [*top.value, *subtree(*trained(codes, n), depth)[0]]
+            for at in range(0, len(codes), 50_000):
+                cut = slice(at, at + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(codes[cut].view(np.int64)), pa.array(m[cut]), pa.array(log10_chance(levels, codes[cut]))], ["gram", "m", "v"])
+
+    return written(dealt.mapInArrow(score, "gram long, m long, v double"), "strings")
+
+
+class Lookup:
+    """Values of known codes, in a table with linear probing."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        bits = max(4, int(2 * len(codes)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.at = np.zeros(1 << bits, np.int32)  # the place among codes, from 1
+        self.codes, self.values = np.append(np.uint64(0), codes), np.append(0.0, values)
+        todo, slot = np.arange(1, len(codes) + 1, dtype=np.int32), self._slot(codes)
+        while len(todo):
+            free = self.at[slot] == 0
+            self.at[slot[free]] = todo[free]  # of several for one slot the last stays
+            left = self.at[slot] != todo
+            todo, slot = todo[left], (slot[left] + 1) & self.last
+
+    def _slot(self, codes):
+        return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each code, 0 for those that are not known, and which those are."""
+        slot = self._slot(codes)
+        at = self.at[slot]
+        wrong = np.flatnonzero((self.codes[at] != codes) & (at != 0))
+        while len(wrong):
+            slot[wrong] = (slot[wrong] + 1) & self.last
+            at[wrong] = self.at[slot[wrong]]
+            wrong = wrong[(self.codes[at[wrong]] != codes[wrong]) & (at[wrong] != 0)]
+        return self.values[at], at == 0
+
+
+_LOOKUPS: dict = {}
+
+
+def lookup(broadcast) -> Lookup:
+    """The table of a broadcast; a worker keeps the last one."""
+    key, codes, values = broadcast.value
+    if key not in _LOOKUPS:
+        _LOOKUPS.clear()
+        _LOOKUPS[key] = Lookup(codes, values)
+    return _LOOKUPS[key]
+
+
+def score_documents(docs: DataFrame, depth: int = DEPTH, frequent_grams: int = FREQUENT_GRAMS, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes and bits_per_byte of every row of docs (doc_id, text)."""
-    import uuid
-
     if not 2 <= depth <= DEEPEST:
         raise ValueError(f"depth has to be from 2 to {DEEPEST}")
-    spark = docs.sparkSession
-    rows = in_small_batches(docs.select("doc_id", held_out(F.col("doc_id")).alias("held"), "text"))
-    token_counts, gram_counts = count_training(rows, depth)
+    sc = docs.sparkSession.sparkContext
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held"), "text")
+    token_counts, gram_counts = count_strings(rows, depth)
     size = token_counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, smooth = size.n, size.n + size.v + 1
-    frequent = {bytes(r.token): r.n for r in token_counts.filter(F.col("n") * FREQUENT >= n_train).toLocalIterator()}
-    often = spark.sparkContext.broadcast(frequent)
-    blocks, top = build(gram_counts, depth, block_grams)
-    run_id = uuid.uuid4().hex
-    blocks = [(lo, hi, _Named(b, (run_id, k))) for k, (lo, hi, b) in enumerate(blocks)]
+    often = sc.broadcast({bytes(r.token): r.n for r in token_counts.filter(F.col("n") * frequent >= n_train).toLocalIterator()})
+    strings = score_strings(gram_counts, depth)
+    all_grams = strings.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first().m
+    top = strings.filter(F.col("m").cast("decimal(38,0)") * frequent_grams >= all_grams).select("gram", "v").toArrow()
+    table = sc.broadcast((uuid.uuid4().hex, top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()))
     kind = docs.schema["doc_id"].dataType.simpleString()
     pairs = pa.struct([("token", pa.binary()), ("n", pa.int64())])
 
     def run(batches):
         from pyspark import TaskContext
 
-        known, number = often.value, TaskContext.get().partitionId() << 40
+        known, model, number = often.value, lookup(table), TaskContext.get().partitionId() << 40
         log = math.log10
-        for b in steps(batches, 2, STEP if len(blocks) == 1 else 16 * STEP):  # blocks are changed once a step
+        for b in steps(batches, 2):
             texts = [(x.as_py() or b"").lower() for x in b.column(2).cast(pa.binary())]
-            score = np.zeros(len(texts))
-            for block in blocks:
-                model = tree(block, top)
-                for codes, which, sizes in grams(texts, depth):
-                    if len(blocks) > 1:
-                        pair = pair_of(codes)
-                        values = np.zeros(len(codes))
-                        mine = (pair >= block[0]) & (pair < block[1])
-                        values[mine] = model.log10(codes[mine])
-                    else:
-                        values = model.log10(codes)
-                    np.add.at(score, which, np.add.reduceat(values, np.r_[0, np.cumsum(sizes)[:-1]]))
+            score, rare_grams, rare_rows = np.zeros(len(texts)), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for codes, which, sizes in grams(texts, depth):
+                values, missing = model.find(codes)
+                first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                np.add.at(score, which, np.add.reduceat(values, first))
+                missing = np.flatnonzero(missing)
+                rare_grams.append(codes[missing])
+                rare_rows.append(which[np.searchsorted(first, missing, "right") - 1])
+            gram_ends = np.searchsorted(np.concatenate(rare_rows), np.arange(len(texts) + 1))
             n_tokens, n_known, base = [], [], []
             rare, rare_n, ends = [], [], [0]
             for t in texts:
@@ -445,19 +414,22 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, block_grams: int = 2_00
             longs = lambda x: pa.array(x, pa.int64())
             rows_of = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), longs(rare_n)], fields=list(pairs))
             rare_of = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows_of)
+            grams_of = pa.ListArray.from_arrays(pa.array(gram_ends, pa.int32()), pa.array(np.concatenate(rare_grams).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [longs(ids), b.column(0), b.column(1), longs(n_tokens), longs(n_known), pa.array(base, pa.float64()), pa.array(score), longs([len(t) for t in texts]), rare_of],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes", "rare"],
+                [longs(ids), b.column(0), b.column(1), longs(n_tokens), longs(n_known), pa.array(base, pa.float64()), pa.array(score), longs([len(t) for t in texts]), rare_of, grams_of],
+                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes", "rare", "grams"],
             )
 
-    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, rare array<struct<token:binary,n:long>>"
+    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, rare array<struct<token:binary,n:long>>, grams array<long>"
     scored = written(rows.mapInArrow(run, schema), "scored")
-    rare = scored.select("row", F.explode("rare").alias("x")).select("row", "x.token", F.col("x.n").alias("k"))
-    told = rare.join(token_counts, "token", "left").groupBy("row").agg(
+    tokens = scored.select("row", F.explode("rare").alias("x")).select("row", "x.token", F.col("x.n").alias("k")).join(token_counts, "token", "left")
+    by_token = tokens.groupBy("row").agg(
         F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("more_known"),
         F.sum(F.col("k") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(smooth)))).alias("more_base"),
     )
-    out = scored.drop("rare").join(told, "row", "left")
+    by_gram = scored.select("row", F.explode("grams").alias("gram")).join(strings.select("gram", "v"), "gram").groupBy("row").agg(F.sum("v").alias("more_score"))
+    out = scored.drop("rare", "grams").join(by_token, "row", "left").join(by_gram, "row", "left")
+    total = F.col("score") + F.coalesce("more_score", F.lit(0.0))
     return out.select(
         "doc_id",
         "held_out",
@@ -465,7 +437,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, block_grams: int = 2_00
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        total.alias("score"),
         "n_bytes",
-        F.when(F.col("n_bytes") > 0, -F.col("score") / F.lit(math.log10(2)) / F.col("n_bytes")).alias("bits_per_byte"),
+        F.when(F.col("n_bytes") > 0, -total / F.lit(math.log10(2)) / F.col("n_bytes")).alias("bits_per_byte"),
     )

@@ -11,8 +11,8 @@ Scale: documents are read once and never shuffled; each is searched as a whole
 where it lies. The test strings are the stated query set. They are read to the
 driver in blocks of at most ``block_words`` item words and broadcast block by
 block, so what one broadcast holds is bounded however large the benchmark is
-(one item is never cut; its words are its own bound). A task goes through the
-blocks one after another for each batch of documents.
+(one item is never cut; its words are its own bound). With several blocks, a
+task searches ``WIDE_STEP`` bytes of texts with one block before it loads the next.
 
 Edge cases: a null or empty text has no words: no hit, no items, not
 contaminated. A null benchmark text gives no string; equal items are all
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import in_small_batches
+from quarry.llm.common import STEP, steps
 
 _WORDS = bytes(
     ord(chr(c).lower()) if chr(c).isascii() and chr(c).isalpha() else c if c >= 0x80 or chr(c).isdigit() else 0x20
@@ -135,52 +135,75 @@ class _Handle:
         return self.broadcast.value
 
 
-SCHEMA = "doc_id {kind}, n_words long, n_hit long, item_ids array<string>, hit_spans array<struct<start:int,end:int>>"
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = 1_000_000) -> DataFrame:
-    """doc_id, n_words, n_hit, item_ids (sorted as strings) and hit_spans (word ranges) of every row of docs (doc_id, text)."""
-    sc = docs.sparkSession.sparkContext
-    run_id = uuid.uuid4().hex
-    handles = [_Handle(sc.broadcast(block), (run_id, k)) for k, block in enumerate(item_blocks(benchmark, block_words))]
+SCHEMA = "doc_id {kind}, n_words long, n_hit long, n_windows long, item_ids array<string>, hit_spans array<struct<start:int,end:int>>"
+#: Bytes of texts searched with one block before the next one is loaded, where there are several.
+WIDE_STEP = 64 << 20
+
+
+class Search:
+    """The benchmark's search tables, ready to be sent to the tasks."""
+
+    def __init__(self, benchmark: DataFrame, window: int, block_words: int):
+        sc, run_id = benchmark.sparkSession.sparkContext, uuid.uuid4().hex
+        self.window = window
+        self.handles = [_Handle(sc.broadcast(block), (run_id, k)) for k, block in enumerate(item_blocks(benchmark, block_words))]
+        self.step = STEP if len(self.handles) <= 1 else WIDE_STEP
+
+    def find(self, texts: pa.Array):
+        """For each text: number of words, merged hit ranges of words, number of hit windows of full size, item ids."""
+        words = [words_of(x.as_py()) for x in texts.cast(pa.binary())]
+        found: list[tuple[list, set]] = [([], set()) for _ in words]
+        for handle in self.handles:
+            search = _searcher(handle, self.window).search
+            for w, (spans, items) in zip(words, found, strict=True):
+                for start, end, ids in search(w):
+                    spans.append((start, end))
+                    items |= ids
+        for w, (spans, items) in zip(words, found, strict=True):
+            runs: list[list[int]] = []
+            for start, end in sorted(spans):
+                if runs and start <= runs[-1][1]:
+                    runs[-1][1] = max(end, runs[-1][1])
+                else:
+                    runs.append([start, end])
+            yield len(w), runs, sum(y - x >= self.window for x, y in spans), sorted(str(x) for x in items if x is not None)
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = 250_000) -> DataFrame:
+    """doc_id, n_words, n_hit, n_windows (hits of the full window), item_ids (sorted as strings) and hit_spans (word ranges) of every row of docs (doc_id, text)."""
+    search = Search(benchmark, window, block_words)
     kind = docs.schema["doc_id"].dataType.simpleString()
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches):
-        for b in batches:
-            texts = [words_of(x.as_py()) for x in b.column(1).cast(pa.binary())]
-            found: list[tuple[list, set]] = [([], set()) for _ in texts]
-            for handle in handles:
-                search = _searcher(handle, window).search
-                for words, (spans, items) in zip(texts, found, strict=True):
-                    for start, end, ids in search(words):
-                        spans.append((start, end))
-                        items |= ids
-            n_hit, ids, merged = [], [], []
-            for spans, items in found:
-                runs: list[list[int]] = []
-                for start, end in sorted(spans):
-                    if runs and start <= runs[-1][1]:
-                        runs[-1][1] = max(end, runs[-1][1])
-                    else:
-                        runs.append([start, end])
-                merged.append([{"start": x, "end": y} for x, y in runs])
-                n_hit.append(sum(y - x for x, y in runs))
-                ids.append(sorted(str(x) for x in items if x is not None))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(w) for w in texts], pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(merged, pa.list_(span))],
-                ["doc_id", "n_words", "n_hit", "item_ids", "hit_spans"],
-            )
-
-    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(run, SCHEMA.format(kind=kind))
+        longs = lambda x: pa.array(x, pa.int64())
+        for b in steps(batches, 1, search.step):
+            n_words, runs, full, ids = zip(*search.find(b.column(1)), strict=True) if b.num_rows else ((), (), (), ())
+            hit = [sum(y - x for x, y in r) for r in runs]
+            merged = [[{"start": x, "end": y} for x, y in r] for r in runs]
+            cols = [b.column(0), longs(n_words), longs(hit), longs(full), pa.array(ids, pa.list_(pa.string())), pa.array(merged, pa.list_(span))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_hit", "n_windows", "item_ids", "hit_spans"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA.format(kind=kind))
 
 
 def contaminated(min_percent: int = 5):
     return (F.col("n_hit") > 0) & (F.lit(100) * F.col("n_hit") >= F.lit(min_percent) * F.col("n_words"))
 
 
-def decontaminate_stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated; columns of docs. Judged row by row, so repeated ids do no harm."""
-    whole = F.struct(*docs.columns)
-    packed = docs.select(whole.alias("doc_id"), "text")
-    return find_contamination(packed, benchmark).filter(~contaminated()).select("doc_id.*")
+def decontaminate_stage(docs: DataFrame, benchmark: DataFrame, window: int = 13, min_percent: int = 5, block_words: int = 250_000) -> DataFrame:
+    """The documents without benchmark passages; all columns of docs, whatever their names.
+
+    A document goes if a full window of an item occurs in it, however long it
+    is, or if what it holds of items shorter than a window makes up
+    ``min_percent`` of its words (a few common words may be an item too).
+    Judged row by row, so repeated ids do no harm.
+    """
+    search, at = Search(benchmark, window, block_words), docs.columns.index("text")
+
+    def run(batches):
+        for b in steps(batches, at, search.step):
+            keep = [not full and (not runs or 100 * sum(y - x for x, y in runs) < min_percent * n) for n, runs, full, _ in search.find(b.column(at))]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

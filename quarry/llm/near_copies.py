@@ -1,20 +1,28 @@
-"""Near copies by exact Jaccard similarity of word-shingle sets, without a search radius that could miss any.
-
-A text's set holds the hashes of its distinct shingles. If two sets have the
-similarity s, they share at least s of the larger one, so that the first
-n - ceil(s * n) + 1 members of each, in one order of all shingles, have a member
-in common. Those prefixes are the only candidates needed and no pair at s or
-more is left out. Frequent shingles come last in the order, which keeps common
-lines out of the prefixes; they are told from a sample of the texts, and which
-ones are told changes the work and not the result.
-
-Equal sets collapse first. In a group with a shingle in common each set is
-compared with the least one, which joins large groups of copies in a linear
-number of pairs; only sets that are still apart are then compared with one
-another, if size and place of the shingle allow s. Of a pair the prefixes tell
-how much the sets can share at most, which leaves few pairs whose whole sets are
-needed. Every link is checked by the exact similarity of the two sets of 63-bit
-hashes.
+"""Near copies by exact Jaccard similarity of word-shingle sets, none of them missed.
+
+A text's set holds the hashes of its distinct shingles. Three steps link sets
+whose similarity is ``percent`` or more; every link is checked on the two sets.
+
+1. SimHash: the fingerprints of the sets' texts are linked by the
+   segment-popcount grid of ``simhash`` and each set is compared with the least
+   set of its fingerprint. At a similarity of 0.8 fingerprints may differ in ten
+   bits and more, which no grid of useful size covers, so this finds the closest
+   copies and leaves the rest to
+2. hubs: if two sets have the similarity s, they share at least s of the larger
+   one, so that the first n - ceil(s * n) + 1 members of each, in one order of
+   all shingles, have a member in common. In a group with such a member in
+   common each set is compared with the least one, which joins large groups of
+   copies in a linear number of pairs.
+3. Only sets that are still apart are then compared with one another, if size
+   and place of the shingle allow s.
+
+Frequent shingles come last in the order, which keeps common lines out of the
+prefixes; they are told from a sample of the texts, and which ones are told
+changes the work and not the result. Of a pair the prefixes tell how much the
+sets can share at most, which leaves few pairs whose whole sets are needed.
+
+Scale: equal sets collapse first (map-side minima), so copies cost nothing
+beyond their own row. What is shuffled is the prefixes, a fifth of the sets.
 
 Edge cases: null and empty texts have the same, empty set. A text shorter than
 a shingle has one shingle of all its words.
@@ -28,25 +36,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import LOWER, UPPER, in_small_batches, written
+from quarry.llm.common import steps, written
 from quarry.llm.components import components
+from quarry.llm.simhash import fingerprint_links, majority, shingle_hashes
 
-_LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: One text in so many tells the frequent shingles: at most MOST of them, in at least one of 2,000 sampled texts and 8 texts.
 SAMPLE, MOST, LEAST = 16, 65_536, 8
 
 
-def shingle_set(text: bytes | None, shingle: int, seed: int = 42) -> np.ndarray:
-    """The sorted distinct hashes of the shingles of a UTF-8 text."""
-    words = (text or b"").translate(_LOWERED).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < shingle:
-        grams = [b" ".join(words)]
-    else:
-        grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(g, seed) >> 1 for g in grams), np.uint64))
+def shingle_set(hashes: np.ndarray) -> np.ndarray:
+    """The sorted distinct hashes, of 63 bits."""
+    return np.unique(hashes >> np.uint64(1))
 
 
 def set_key(hashes: np.ndarray) -> bytes:
@@ -73,56 +73,56 @@ def frequent_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
     sample = docs.select("text").filter(F.xxhash64("text") % SAMPLE == 0)
 
     def run(batches):
-        for b in batches:
-            for x in b.column(0).cast(pa.binary()):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x.as_py(), shingle).view(np.int64))], ["key"])
+        for b in steps(batches, 0):
+            keys = [shingle_set(shingle_hashes(x.as_py(), shingle)) for x in b.column(0).cast(pa.binary())]
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64))], ["key"])
 
-    counts = in_small_batches(sample).mapInArrow(run, "key long").groupBy("key").count()
+    counts = sample.mapInArrow(run, "key long").groupBy("key").count()
     least = max(LEAST, sample.count() // 2000)
     rows = counts.filter(F.col("count") >= least).orderBy(F.desc("count"), "key").limit(MOST).collect()
     return np.sort(np.array([r.key for r in rows], np.int64).view(np.uint64))
 
 
 def text_sets(docs: DataFrame, shingle: int, percent: int, frequent) -> DataFrame:
-    """doc_id, text_hash, set (its key), n and prefix of every row of docs (doc_id, text).
+    """doc_id, k1, k2, set (its key), fp, n and prefix of every row of docs (doc_id, k1, k2, text).
 
     A prefix holds hashes in order, with the top bit set in those of frequent shingles.
     """
 
     def run(batches):
         last = frequent.value
-        for b in batches:
-            keys, sizes, prefixes = [], [], []
-            for x in b.column(2).cast(pa.binary()):
-                s = shingle_set(x.as_py(), shingle)
+        for b in steps(batches, 3):
+            keys, fps, sizes, prefixes = [], [], [], []
+            for x in b.column(3).cast(pa.binary()):
+                hashes = shingle_hashes(x.as_py(), shingle)
+                s = shingle_set(hashes)
                 n = len(s)
                 often = np.isin(s, last, assume_unique=True) if len(last) else np.zeros(n, bool)
                 keys.append(set_key(s))
+                fps.append(majority(hashes))
                 sizes.append(n)
                 ordered = np.sort(s | (often.astype(np.uint64) << np.uint64(63)))
                 prefixes.append(ordered[: n + (-percent * n) // 100 + 1].view(np.int64))
-            ends = np.r_[0, np.cumsum([len(p) for p in prefixes])].astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             values = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))],
-                ["doc_id", "text_hash", "set", "n", "prefix"],
-            )
+            cols = [*b.columns[:3], pa.array(keys, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["doc_id", "k1", "k2", "set", "fp", "n", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return in_small_batches(rows).mapInArrow(run, f"doc_id {kind}, text_hash long, set binary, n int, prefix array<long>")
+    return docs.select("doc_id", "k1", "k2", "text").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, set binary, fp long, n int, prefix array<long>")
 
 
 def members(docs: DataFrame, sets: DataFrame, shingle: int) -> DataFrame:
-    """set and hashes (its members) for each of sets (set, text_hash)."""
+    """set and hashes (its members) for each of sets (set, k1, k2), whose key names a row of docs that has it."""
 
     def run(batches):
-        for b in batches:
-            found = [shingle_set(x.as_py(), shingle) for x in b.column(0).cast(pa.binary())]
+        for b in steps(batches, 0):
+            found = [shingle_set(shingle_hashes(x.as_py(), shingle)) for x in b.column(0).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["set", "hashes"])
 
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(sets.select("text_hash").distinct(), "text_hash", "left_semi").select("text").distinct()
-    return in_small_batches(texts).mapInArrow(run, "set binary, hashes binary").join(sets.select("set"), "set", "left_semi").dropDuplicates(["set"])
+    texts = docs.join(sets.select("k1", "k2"), ["k1", "k2"], "left_semi").select("text")
+    return texts.mapInArrow(run, "set binary, hashes binary").dropDuplicates(["set"])
 
 
 def with_both(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
@@ -139,7 +139,7 @@ def kept_pairs(rows: DataFrame, fits) -> DataFrame:
             ok = [fits(*(x.as_py() if x.type == pa.binary() else x for x in row)) for row in zip(*b.columns[2:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    return in_small_batches(rows).mapInArrow(run, "u binary, v binary")
+    return rows.mapInArrow(run, "u binary, v binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -148,25 +148,39 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, p
     may = lambda a, b, m, n: may_be_similar(array(a), array(b), m.as_py(), n.as_py(), percent)
     pairs = written(kept_pairs(with_both(pairs, sets, "prefix", "n"), may), "pairs")
     named = pairs.select(F.explode(F.array("u", "v")).alias("set")).distinct()
-    held = written(members(docs, sets.join(named, "set", "left_semi").select("set", "text_hash"), shingle), "members")
+    held = written(members(docs, sets.join(named, "set", "left_semi"), shingle), "members")
     are = lambda a, b: similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent)
     return written(kept_pairs(with_both(pairs, held, "hashes"), are), "links")
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """set, root (the least set of its component) and component_id (the component's least doc_id) for each distinct set of docs (doc_id, text)."""
+    """set, root (the least set of its component) and least of each distinct set of docs (doc_id, k1, k2, text).
+
+    k1 and k2 together name a row; least is the first of the set's rows: null (whether it has no id), doc_id, k1, k2.
+    """
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle))
-    by_doc = text_sets(docs, shingle, percent, frequent)
-    sets = written(by_doc.groupBy("set").agg(F.min("doc_id").alias("least_id"), F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "sets")
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "k1", "k2")).alias("least")
+    by_set = text_sets(docs, shingle, percent, frequent).groupBy("set").agg(first_row, *(F.first(c).alias(c) for c in ("fp", "n", "prefix")))
+    sets = written(by_set.select("set", "least", "least.k1", "least.k2", "fp", "n", "prefix"), "sets")
+    sizes = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
+
+    # 1: sets whose fingerprints are equal or linked.
+    heads = written(sets.groupBy("fp").agg(F.min("set").alias("v")), "heads")
+    same = sets.join(heads, "fp").select(F.col("set").alias("u"), "v")
+    linked = fingerprint_links(heads.select("fp")).select(F.col("u").alias("fp"), F.col("v").alias("fp2"))
+    across = linked.join(heads.withColumnRenamed("v", "u"), "fp").join(heads.withColumnRenamed("fp", "fp2"), "fp2").select("u", "v")
+    by_print = same.unionByName(across).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+
+    # 2: sets with a prefix shingle in common, each with the least of them.
     cells = sets.select("set", "n", F.posexplode("prefix").alias("pos", "key"))
     shared = written(cells.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key"), "shared")
     met = written(cells.join(shared, "key", "left_semi"), "met")
-    sizes = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
     hubs = met.groupBy("key").agg(F.min(F.struct("set", "n")).alias("hub")).select("key", F.col("hub.set").alias("v"), F.col("hub.n").alias("m"))
-    tried = written(met.join(hubs, "key").filter((F.col("set") != F.col("v")) & sizes(F.col("n"), F.col("m"))).select(F.col("set").alias("u"), "v").distinct(), "pairs")
+    by_hub = met.join(hubs, "key").filter((F.col("set") != F.col("v")) & sizes(F.col("n"), F.col("m"))).select(F.col("set").alias("u"), "v")
+    tried = written(by_print.unionByName(by_hub).distinct(), "pairs")
     first = verified(tried, docs, sets, shingle, percent)
 
-    # Sets that have a shingle in common and are not connected yet.
+    # 3: sets that have a shingle in common and are not connected yet.
     roots = components(first)
     apart = met.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     open_keys = apart.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
@@ -178,13 +192,4 @@ def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     rest = a.join(b, (col("a.key") == col("b.key")) & may).select(col("a.set").alias("u"), col("b.set").alias("v")).distinct()
     rest = written(rest.join(tried, ["u", "v"], "left_anti"), "pairs")
     roots = components(first.unionByName(verified(rest, docs, sets, shingle, percent)))
-
-    classes = sets.join(roots.withColumnRenamed("node", "set"), "set", "left").select("set", "least_id", F.coalesce("root", "set").alias("root"))
-    least = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return classes.join(least, "root").select("set", "root", "component_id")
-
-
-def sets_of(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id and set of every row of docs (doc_id, text)."""
-    none = docs.sparkSession.sparkContext.broadcast(np.zeros(0, np.uint64))
-    return text_sets(docs, shingle, 100, none).select("doc_id", "set")
+    return sets.join(roots.withColumnRenamed("node", "set"), "set", "left").select("set", F.coalesce("root", "set").alias("root"), "least")

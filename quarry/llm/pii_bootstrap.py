@@ -184,12 +184,13 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def pii_stage(docs: DataFrame) -> DataFrame:
-    """docs with every span masked; the input's columns, n_chars brought up to date."""
-    spans = extract(docs).select("doc_id", "key", "spans").dropDuplicates(["doc_id", "key"])
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    near = keyed.alias("d").join(spans.alias("s"), F.expr("d.doc_id <=> s.doc_id and d._key = s.key"))
-    text = masked(F.col("d.text"), F.col("s.spans"))
-    out = near.select(*((text if c == "text" else F.col(f"d.`{c}`")).alias(c) for c in docs.columns))
+    """docs with every span masked; the input's columns, whatever their names, n_chars brought up to date."""
+    spans = extract(docs).groupBy("doc_id", "key").agg(F.first("spans").alias("spans"))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+    near = keyed.alias("d").join(spans.alias("s"), F.expr("d.doc_id <=> s.doc_id and d.key = s.key"))
+    text = F.when(F.col("row.text").isNotNull(), masked(F.col("row.text"), F.col("spans")))
+    out = near.select("row", text.alias("new_text"))
+    row = F.col("row").withField("text", F.col("new_text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out
+        row = row.withField("n_chars", F.length("new_text").cast(docs.schema["n_chars"].dataType))
+    return out.select(row.alias("row")).select("row.*")

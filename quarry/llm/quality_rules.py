@@ -118,8 +118,10 @@ def clean_documents(
 
 
 def quality_stage(docs: DataFrame) -> DataFrame:
-    """Keep the documents that pass, with their failing lines removed; the input's columns."""
-    out = clean_documents(docs).filter("kept").withColumn("text", F.col("clean_text"))
+    """Keep the documents that pass, with their failing lines removed; the input's columns, whatever their names."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    kept = clean_documents(rows).filter("kept")
+    row = F.col("row").withField("text", F.col("clean_text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        row = row.withField("n_chars", F.length("clean_text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(row.alias("row")).select("row.*")

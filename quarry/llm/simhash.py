@@ -34,12 +34,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import LOWER, UPPER, in_small_batches, written
+from quarry.llm.common import LOWER, UPPER, steps, written
 from quarry.llm.components import components
-from quarry.llm.near_copies import near_copies, sets_of
 
 SEGMENTS, BITS = 16, 4
 _LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -47,17 +46,21 @@ _LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _BLOCK = 1 << 16
 
 
-def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
-    """SimHash of a UTF-8 text, as an unsigned integer."""
+def shingle_hashes(text: bytes | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """The 64-bit hash of every shingle of a UTF-8 text, repeats included; of all words where they are fewer."""
     words = (text or b"").translate(_LOWERED).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) < shingle:
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(g, seed) for g in grams), np.uint64)
+    return np.fromiter((digest(g, seed) for g in grams), np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as an unsigned integer; 0 of none."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _BLOCK):
         bits = np.unpackbits(hashes[at : at + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -65,17 +68,22 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
+    """SimHash of a UTF-8 text, as an unsigned integer."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of every row."""
 
     def run(batches):
-        for b in batches:
+        for b in steps(batches, 1):
             texts = b.column(1).cast(pa.binary())
             fps = np.fromiter((fingerprint(x.as_py(), shingle) for x in texts), np.uint64, len(texts)).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def _count_in(j: int) -> Column:
@@ -106,7 +114,7 @@ def grid_cells(fps: DataFrame) -> DataFrame:
     return out.select("fp", "x.cell", "x.seg", "x.step")
 
 
-def links(fps: DataFrame) -> DataFrame:
+def fingerprint_links(fps: DataFrame) -> DataFrame:
     """u, v: links that connect exactly the distinct fingerprints at two bits or less."""
     cells = grid_cells(fps)
     shared = cells.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a < b").select("cell")
@@ -122,32 +130,44 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= 2).select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct()
 
 
+def with_classes(by_doc: DataFrame, classes: DataFrame) -> DataFrame:
+    """by_doc with the component_id of classes (fp, n rows of it, component_id), by fp.
+
+    The fingerprints that more rows have than a partition's even share are fewer
+    than the partitions; their classes are broadcast. So no task gets more of
+    one fingerprint than that share.
+    """
+    spark = by_doc.sparkSession
+    share = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot = classes.filter(F.col("n") > share).select("fp", F.struct("component_id").alias("_class"))
+    marked = by_doc.join(F.broadcast(hot), "fp", "left")
+    rest = marked.filter("_class is null").drop("_class").join(classes.filter(F.col("n") <= share).select("fp", "component_id"), "fp")
+    return marked.filter("_class is not null").select("doc_id", "fp", "_class.component_id").unionByName(rest.select("doc_id", "fp", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fp, fingerprint (hexadecimal) and component_id of every row of docs (doc_id, text)."""
     by_doc = written(fingerprints(docs, shingle), "fingerprints")
-    fps = written(by_doc.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    roots = components(links(fps))
+    fps = written(by_doc.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "distinct")
+    roots = components(fingerprint_links(fps.select("fp")))
     in_component = fps.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = in_component.groupBy("root").agg(F.min("least_id").alias("_id"))
     linked = in_component.join(least, "root").select("fp", "_id")
-    classes = fps.join(linked, "fp", "left").select("fp", F.coalesce("_id", "least_id").alias("component_id"))
-    return by_doc.join(classes, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    classes = written(fps.join(linked, "fp", "left").select("fp", "n", F.coalesce("_id", "least_id").alias("component_id")), "classes")
+    return with_classes(by_doc, classes).select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def dedup_stage(docs: DataFrame) -> DataFrame:
-    """One document of each group of texts linked by a five-word Jaccard similarity of 0.8 or more: the row of the least doc_id; columns of docs.
+def dedup_stage(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group of texts linked by a five-word Jaccard similarity of 0.8 or more; all columns of docs, whatever their names.
 
-    Rows that repeat that id count as copies and the first by text stays. Groups without
-    any id keep one row.
+    The row of the least doc_id stays (rows without an id come last); of rows
+    that share that id and text, the least. Rows with one id and other texts are
+    different documents.
     """
-    groups = written(near_copies(docs), "groups")
-    keep = groups.filter("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = docs.join(keep, "doc_id", "left_semi").withColumn("_rank", rank).filter("_rank = 1")
-    nameless = groups.filter("component_id is null and set = root").select("set")
-    if nameless.isEmpty():
-        return named.select(*docs.columns)
-    marked = docs.filter("doc_id is null").dropDuplicates(["text"]).withColumn("_h", F.xxhash64("text"))
-    sets = sets_of(marked.select(F.col("_h").alias("doc_id"), "text")).join(nameless, "set", "left_semi")
-    first = sets.groupBy("set").agg(F.min("doc_id").alias("_h")).select("_h")
-    return named.select(*docs.columns).unionByName(marked.join(first, "_h", "left_semi").select(*docs.columns))
+    from quarry.llm.near_copies import near_copies
+
+    names = [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit("k2"), "doc_id").alias("k2")]
+    groups = near_copies(docs.select("doc_id", "text", *names), shingle, percent)
+    keep = groups.groupBy("root").agg(F.min("least").alias("least")).select("least.k1", "least.k2")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *names)
+    return rows.join(written(keep, "kept"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min("row").alias("row")).select("row.*")

@@ -23,6 +23,7 @@ makes an empty file set and an empty result. Extra columns are not read.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import RankArrayBPE, byte_symbols, coder, read_spec
-from quarry.llm.common import fresh_path, in_small_batches, written
+from quarry.llm.common import STEP, fresh_path, steps, written
 
 END_ID = 2
 ORC_OPTIONS = {
@@ -52,10 +53,10 @@ class LibraryCoder(RankArrayBPE):
         super().__init__(spec)
         self.model = Tokenizer.from_str(spec).model
         self.symbols = byte_symbols()
-        self.ids_of.most *= 2  # no decoded texts are kept here
 
-    def merge(self, data: bytes) -> list[int]:
-        return [t.id for t in self.model.tokenize("".join(map(self.symbols.__getitem__, data)))]
+    def merge_words(self, words: list[bytes]) -> list[bytes]:
+        symbols, tokens = self.symbols.__getitem__, self.model.tokenize
+        return [array("I", [t.id for t in tokens("".join(map(symbols, w)))]).tobytes() for w in words]
 
 
 def with_range(docs: DataFrame, ranges: int) -> DataFrame:
@@ -82,14 +83,17 @@ def encode_ids(docs: DataFrame, path: str | None, end_id: int) -> DataFrame:
 
     def run(batches):
         code = coder(spec, LibraryCoder)
-        for b in batches:
-            rows = [code.encode(x or "", False)[0] + end for x in b.column(2).to_pylist()]
-            offsets = np.cumsum([0] + [len(r) // 4 for r in rows], dtype=np.int32)
-            flat = pa.array(np.frombuffer(b"".join(rows), np.int32))
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids], ["part", "doc_id", "ids"])
+        for b in steps(batches, 2, STEP):
+            ids, sizes, _ = code.encode(b.column(2), False)
+            ends = np.cumsum(sizes + 1)  # an end id after each document
+            flat = np.full(len(ids) + len(sizes), end_id, np.int32)
+            inner = np.ones(len(flat), bool)
+            inner[ends - 1] = False
+            flat[inner] = ids.view(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["part", "doc_id", "ids"])
 
-    return in_small_batches(docs.select("part", "doc_id", "text")).mapInArrow(run, f"part int, doc_id {kind}, ids array<int>")
+    return docs.select("part", "doc_id", "text").mapInArrow(run, f"part int, doc_id {kind}, ids array<int>")
 
 
 def write_ids(docs: DataFrame, out: str, path: str | None = None, end_id: int = END_ID, ranges: int | None = None) -> None:
@@ -112,7 +116,7 @@ def summarize_ids(files: DataFrame) -> DataFrame:
         for b in batches:
             ids = b.column(2)
             flat, offsets = ids.flatten(), np.asarray(pc.cumulative_sum(pc.list_value_length(ids)))
-            data = memoryview(np.ascontiguousarray(flat.to_numpy(zero_copy_only=False), dtype="<u4")).cast("B")
+            data = memoryview(np.ascontiguousarray(flat.to_numpy(zero_copy_only=False)).view("<u4")).cast("B") if len(flat) else b""
             ends = [0, *offsets.tolist()]
             sums = [zlib.crc32(data[4 * x : 4 * y]) for x, y in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pc.cast(pc.list_value_length(ids), pa.int64()), pa.array(sums, pa.int64())], ["part", "doc_id", "n_tokens", "ids_crc32"])

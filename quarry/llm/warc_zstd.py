@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fresh_path, in_small_batches, written
+from quarry.llm.common import fresh_path, steps, written
 
 #: Of the WARC-in-Zstandard format: the skippable frame that holds a dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -184,7 +184,7 @@ def write_archives(pages: DataFrame, out: str) -> DataFrame:
         task = TaskContext.get()
         name = f"{out}/pages-{task.partitionId():06d}-{task.taskAttemptId()}"
         writer, done, n = None, [], 0
-        for b in batches:
+        for b in steps(batches, 2):
             for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if writer is None:
                     writer = ArchiveWriter(f"{name}-{n:04d}.warc.zst")
@@ -199,7 +199,7 @@ def write_archives(pages: DataFrame, out: str) -> DataFrame:
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["path", "records", "raw_bytes", "bytes"])
 
-    return written(in_small_batches(with_references(pages)).mapInArrow(run, "path string, records long, raw_bytes long, bytes long"), "manifest")
+    return written(with_references(pages).mapInArrow(run, "path string, records long, raw_bytes long, bytes long"), "manifest")
 
 
 READ_SCHEMA = "page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}"

@@ -6,17 +6,13 @@ import numpy as np
 
 
 def test_rare_byte_after_a_frequent_context():
-    from quarry.llm.context_tree import Tree, level, subtree
+    from quarry.llm.context_tree import log10_chance, subtree, top_levels
 
     # One byte alone ever followed this context, 100 million times; every other byte is scored by the root-to-leaf mixture.
     n, depth = 10**8, 2
-    code = int.from_bytes(b"the", "big")
-    codes, counts = np.array([code], np.uint64), np.array([n], np.int64)
-    *deep, (_, keys, n0, n1, below) = subtree(codes, counts, depth)
-    one = level(keys, n0, n1, below, False)
-    top = level(keys & np.uint64(255), n0, n1, one[3], False)
-    levels = [top[:3], one[:3], *((k, a.astype(np.float32), b.astype(np.float32)) for _, k, a, b, _ in reversed(deep))]
-    rare = Tree(levels).compute(np.array([int.from_bytes(b"th" + bytes([ord("e") ^ 1]), "big")], np.uint64))[0]
+    levels, given = subtree(np.array([int.from_bytes(b"the", "big")], np.uint64), np.array([n], np.int64), depth)
+    levels = [*top_levels(*given), *levels]
+    rare = log10_chance(levels, np.array([int.from_bytes(b"th" + bytes([ord("e") ^ 1]), "big")], np.uint64))[0]
     # All levels have the same counts, so the mixture is the estimate itself: seven bits as ever, the last never seen.
     seen = math.log10((n + 0.5) / (n + 1))
     assert math.isclose(rare, 7 * seen + math.log10(0.5 / (n + 1)), rel_tol=1e-6)

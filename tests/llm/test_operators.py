@@ -1,6 +1,7 @@
 """The ten operators against brute force, on the smallest tables and on small fixtures of odd cases."""
 
 import collections
+import functools
 import hashlib
 import itertools
 import math
@@ -9,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from helpers import database, same
@@ -232,12 +234,12 @@ def test_bpe_words(library):
     letters = "abcé ßΣσς'sIİ<|endoftext|>\n\t\x1c\x85 ñ1２①éá中👍🏽,.!#\u0558\u1c89"
     texts = ["".join(random.choice(letters) for _ in range(random.randint(0, 40))) for _ in range(3000)]
     texts += ["<|endoftext|>a<|startoftext|>", "a" * 5000, "thing" * 400, "ab" * 1000 + "é" * 500, "can't WE'LL it's"] + [f"x{chr(c)}y" for c in range(0x80, 0x3000)]
-    for t in texts:
-        ids = library.encode(t, add_special_tokens=False).ids
-        for c in coders:
-            data, decoded = c.encode(t)
-            assert np.frombuffer(data, np.uint32).tolist() == ids
-            assert decoded == library.decode(ids, skip_special_tokens=False) == c.decode(ids)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for c in coders:
+        ids, sizes, decoded = c.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+        assert decoded.to_pylist() == [library.decode(x, skip_special_tokens=False) for x in want] == list(map(c.decode, want))
+        assert c.encode(pa.array([], pa.string()))[0].tolist() == [] and c.encode(pa.array([None, ""]))[1].tolist() == [0, 0]
 
 
 def test_bpe_and_orc_queries(spark, data, docs, library):
@@ -331,13 +333,13 @@ def test_language_model(spark, data, docs):
     assert -sum(r.score for r in out) / math.log10(2) / sum(len(text[r.doc_id].encode()) for r in out) < 3.5  # bits a byte
 
 
-def test_context_tree_against_recursion(spark):
-    """Scores equal those of a plain, recursive context tree over the same counts."""
-    from quarry.llm.context_tree import score_documents
+@pytest.mark.parametrize("depth", [2, 5, 7])
+def test_context_tree_against_recursion(spark, depth):
+    """Scores equal those of a plain, recursive context tree over the same counts, whose empty nodes give each bit 1/2."""
+    from quarry.llm.context_tree import DEPTH, score_documents
 
     random.seed(6)
     texts = [(i, "".join(random.choice("ab ") for _ in range(random.randint(1, 40)))) for i in range(40)]
-    depth = 2
     nodes = collections.defaultdict(lambda: [0, 0])
     for i, t in texts:
         if zlib.crc32(str(i).encode()) % 7 == 2:
@@ -350,6 +352,7 @@ def test_context_tree_against_recursion(spark):
     lg = math.lgamma
     pe = lambda n: lg(n[0] + 0.5) + lg(n[1] + 0.5) - math.log(math.pi) - lg(sum(n) + 1)
 
+    @functools.cache
     def pw(context, path):
         own = pe(nodes[context, path])
         if len(context) == depth:
@@ -358,22 +361,21 @@ def test_context_tree_against_recursion(spark):
         return np.logaddexp(own, below) - math.log(2)
 
     def chance(past, path):
-        p, rest, last = 0.0, 1.0, 0.5
-        weight = 0.0
+        p, rest = 0.0, 1.0
         for d in range(depth + 1):
             context = past[len(past) - d :]
             if (context, path) not in nodes:
-                break
-            p += rest * weight * last
-            rest *= 1 - weight
+                return p + rest * 0.5
             n = nodes[context, path]
-            last = (n[1] + 0.5) / (sum(n) + 1)
             weight = math.exp(pe(n) - math.log(2) - pw(context, path)) if d < depth else 1.0
-        return p + rest * last
+            p += rest * weight * (n[1] + 0.5) / (sum(n) + 1)
+            rest *= 1 - weight
+        return p
 
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    for block in (10**6, 5):
-        got = {r.doc_id: r.score for r in score_documents(df, depth=depth, block_grams=block).collect()}
+    assert DEPTH == 5
+    for share in (10**6, 50):
+        got = {r.doc_id: r.score for r in score_documents(df, depth=depth, frequent_grams=share, frequent=share).collect()}
         for i, t in texts[:8]:
             b = b"\0" * depth + t.encode()
             want = 0.0
@@ -427,7 +429,7 @@ def test_simhash(spark, data, docs):
 
 def test_links_connect_what_brute_force_connects(spark):
     from quarry.llm.components import components
-    from quarry.llm.simhash import links
+    from quarry.llm.simhash import fingerprint_links
 
     random.seed(8)
     values = {0, 2**64 - 1}
@@ -439,7 +441,7 @@ def test_links_connect_what_brute_force_connects(spark):
                 v ^= 1 << b
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(v),) for v in values], "fp long")
-    got = {r.node % 2**64: r.root for r in components(links(df)).collect()}
+    got = {r.node % 2**64: r.root for r in components(fingerprint_links(df)).collect()}
     want = roots(values)
     groups = collections.defaultdict(set)
     for v in values:
