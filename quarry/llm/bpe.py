@@ -15,11 +15,11 @@ word pattern, and each word's bytes get an end-of-word mark. Tokens are joined
 by spaces when decoded, as the file names no decoder.
 
 Scale: documents are encoded row by row where they lie, with nothing shuffled.
-Texts are handled in steps of about ``STEP`` bytes (a longer text stands
-alone): cut at white space, each distinct piece coded once, and the codes
-spread to their places by index. A worker remembers the codes of pieces and of
-words in tables of at most twice ``CACHE`` entries. The vocabulary file is read
-on the driver and sent as it is (its size is fixed).
+Texts are handled in steps of about ``WIDE_STEP`` bytes (a longer text stands
+alone): cut at white space, each distinct piece cut into words once, each
+distinct word merged once, and the codes spread to their places by index.
+A worker remembers ``KNOWN`` words at most. The vocabulary file is read on the driver
+and sent as it is (its size is fixed).
 
 Edge cases: null and empty texts have no tokens and decode to the empty string;
 very long texts are encoded whole, a piece without white space too. Repeated
@@ -40,13 +40,17 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm.common import STEP, steps
+from quarry.llm.common import steps
 
 LONG_WORD = 64
 ID_BITS = 24
 ID_MASK = (1 << ID_BITS) - 1
 NO_RANK = 1 << 60
-CACHE = 150_000
+WIDE_STEP = 8 << 20
+#: Words that a worker remembers at most.
+KNOWN = 400_000
+#: White space beyond ASCII.
+_SPACES = str.maketrans(dict.fromkeys("\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000", " "))
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -68,26 +72,12 @@ def _pattern(spec: dict):
     return Regex(next(s["pattern"]["Regex"] for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split"))
 
 
-class Memory(dict):
-    """Entries in two generations of at most ``most`` each: when the younger one is full it becomes the older one."""
-
-    def __init__(self, most: int = CACHE):
-        super().__init__()
-        self.most, self.old = most, {}
-
-    def find(self, key: str):
-        """The value of a key, or None; what is used again comes back from the older generation."""
-        out = self.get(key)
-        if out is None and (out := self.old.get(key)) is not None:
-            self.put(key, out)
-        return out
-
-    def put(self, key: str, value) -> None:
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        if len(key) <= 64:
-            self[key] = value
+def spread(codes: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids (32 bits each) of codes[k] for each k of which, one after another, and how many each has."""
+    sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+    known, starts, length = np.frombuffer(b"".join(codes), "<u4"), np.cumsum(sizes) - sizes, sizes[which]
+    ends = np.cumsum(length)
+    return known[np.repeat(starts[which] - (ends - length), length) + np.arange(length.sum())], length
 
 
 class RankArrayBPE:
@@ -108,12 +98,13 @@ class RankArrayBPE:
         order = np.argsort(keys, kind="stable")
         self.keys, self.worth = keys[order], worth[order]
         self.settled: set[str] = set()
+        self.odd: set[str] = set()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
-        self.words = regex.compile(next(s["pattern"]["Regex"] for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split"))
+        self.word = "(" + next(s["pattern"]["Regex"] for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split") + ")"
         self.names = {i: s for s, i in {**self.vocab, **self.special}.items()}
         self.spaced = {i: f"{s} " for i, s in self.names.items()}
-        self.words_seen, self.pieces_seen = Memory(), Memory()
+        self.known = {"": b""}
         self.spec, self.library = json.dumps(spec), None
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -198,22 +189,16 @@ class RankArrayBPE:
                     heapq.heappush(heap, (m, x, parts[x], parts[y]))
         return [p for p, ok in zip(parts, alive, strict=True) if ok]
 
-    def words_of(self, piece: str) -> list[str]:
-        """The words of a text without special strings, as the vocabulary has them."""
-        if piece.isascii():
-            text = piece.lower()
-            return [text] if text.isalpha() else self.words.findall(text)
-        if not self.settled.issuperset(piece) and not self._settle(piece):
-            return self._newer_words(piece)
-        return self.words.findall(unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower())
-
-    def _settle(self, piece: str) -> bool:
-        """Whether Python's own Unicode version gives all characters a meaning; libraries with other versions may differ on the rest."""
-        known = {c for c in piece if unicodedata.category(c) != "Cn"}
-        self.settled |= known
-        return known.issuperset(piece)
-
-    def _newer_words(self, piece: str) -> list[str]:
+    def _settle(self, text: str) -> None:
+        """Tell characters whose meaning is certain from odd ones: newer than Python's tables, or of another class in the pattern engine's."""
+        new = [c for c in set(text) - self.settled - self.odd if not c.isascii()]
+        classes = [unicodedata.category(c) for c in new]
+        is_letter, is_number = (pc.match_substring_regex(pa.array(new, pa.string()), rf"^\p{{{x}}}$").to_pylist() for x in "LN")
+        sure = {c for c, k, a, b in zip(new, classes, is_letter, is_number, strict=True) if k != "Cn" and a == (k[0] == "L") and b == (k[0] == "N")}
+        self.settled |= sure
+        self.odd |= set(new) - sure
+
+    def _odd_words(self, piece: str) -> list[str]:
         """Where character tables may disagree, the library cuts the words; the merges stay ours."""
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -223,40 +208,56 @@ class RankArrayBPE:
         normalizer, split = self.library
         return [w for w, _ in split.pre_tokenize_str(normalizer.normalize_str(piece))]
 
-    def code_pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece; the words that are not known are merged together."""
-        out = list(map(self.pieces_seen.find, pieces))
-        new = [k for k, x in enumerate(out) if x is None]
-        words = [self.words_of(pieces[k]) for k in new]
-        ids = {w: self.words_seen.find(w) for w in set().union(*words)}
-        unknown = [w for w, x in ids.items() if x is None]
-        for w, x in zip(unknown, self.merge_words([w.encode("utf-8") for w in unknown]) if unknown else (), strict=True):
-            ids[w] = x
-            self.words_seen.put(w, x)
-        for k, ws in zip(new, words, strict=True):
-            out[k] = b"".join(map(ids.__getitem__, ws))
-            self.pieces_seen.put(pieces[k], out[k])
-        return out
+    def words_of(self, pieces: list[str]) -> pa.ListArray:
+        """The words of texts without special strings, as the vocabulary has them, and empty ones."""
+        far = [k for k, p in enumerate(pieces) if not p.isascii()]
+        texts = [p.lower() for p in pieces]
+        self._settle("".join(map(pieces.__getitem__, far)))
+        for k in far:
+            texts[k] = unicodedata.normalize("NFC", pieces[k]).replace("Σ", "σ").lower().translate(_SPACES)
+        whole = pa.array(texts, pa.string())
+        mixed = pa.array([not t.isalpha() for t in texts], pa.bool_())
+        words = pc.ascii_split_whitespace(pc.replace_with_mask(whole, mixed, pc.replace_substring_regex(whole.filter(mixed), self.word, r"\1 ")))
+        if self.odd and (odd := [k for k in far if not self.odd.isdisjoint(pieces[k])]):
+            lists = words.to_pylist()
+            for k in odd:
+                lists[k] = self._odd_words(pieces[k])
+            words = pa.array(lists, pa.list_(pa.string()))
+        return words
+
+    def code_pieces(self, pieces: list[str], decoded: bool):
+        """The ids of all pieces, the number of each piece's, and each piece's names with spaces after them."""
+        lists = self.words_of(pieces)
+        told = lists.flatten().dictionary_encode()
+        words = told.dictionary.to_pylist()
+        codes = list(map(self.known.get, words))
+        new = [w for w, c in zip(words, codes, strict=True) if c is None]
+        if new:
+            merged = dict(zip(new, self.merge_words([w.encode("utf-8") for w in new]), strict=True))
+            codes = [merged[w] if c is None else c for w, c in zip(words, codes, strict=True)]
+            if len(self.known) + len(new) > KNOWN:
+                self.known = {"": b""}
+            self.known |= merged if len(new) < KNOWN else {}
+        ids, sizes = spread(codes, told.indices.to_numpy())
+        sizes = np.diff(np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])])
+        if not decoded:
+            return ids, sizes, None
+        spaced = self.spaced.__getitem__
+        of_word = pa.array(["".join(map(spaced, array("I", c))) for c in codes], pa.string())
+        return ids, sizes, pc.binary_join(pa.ListArray.from_arrays(lists.offsets, of_word.take(told.indices)), "")
 
     def _plain(self, texts: pa.Array, decoded: bool):
         """Of texts without special strings: the ids of all, the number of each text's, and the decoded texts."""
         lists = pc.ascii_split_whitespace(texts)
         told = lists.flatten().dictionary_encode()
-        pieces = told.dictionary.to_pylist()
-        codes = self.code_pieces(pieces)
-        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
-        known, starts = np.frombuffer(b"".join(codes), "<u4"), np.cumsum(sizes) - sizes
+        known, sizes, names = self.code_pieces(told.dictionary.to_pylist(), decoded)
         which = told.indices.to_numpy()
-        length = sizes[which]
+        starts, length = np.cumsum(sizes) - sizes, sizes[which]
         ends = np.cumsum(length)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = known[np.repeat(starts[which] - (ends - length), length) + np.arange(total)]
+        ids = known[np.repeat(starts[which] - (ends - length), length) + np.arange(length.sum())]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])]
-        names = None
         if decoded:
-            spaced = self.spaced.__getitem__
-            of_piece = pa.array(["".join(map(spaced, array("I", c))) for c in codes], pa.string())
-            names = pc.utf8_rtrim(pc.binary_join(pa.ListArray.from_arrays(lists.offsets, of_piece.take(told.indices)), ""), " ")
+            names = pc.utf8_rtrim(pc.binary_join(pa.ListArray.from_arrays(lists.offsets, names.take(told.indices)), ""), " ")
         return ids, np.diff(bounds), names
 
     def _special(self, text: str) -> bytes:
@@ -313,7 +314,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_text: bool =
     def run(batches):
         code = coder(spec)
         digest = lambda x: hashlib.sha256(x).hexdigest()
-        for b in steps(batches, 1, STEP):
+        for b in steps(batches, 1, WIDE_STEP):
             ids, sizes, decoded = code.encode(b.column(1))
             ends = np.concatenate([[0], np.cumsum(sizes)])
             raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B") if len(ids) else b""

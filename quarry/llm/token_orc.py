@@ -31,8 +31,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.bpe import RankArrayBPE, byte_symbols, coder, read_spec
-from quarry.llm.common import STEP, fresh_path, steps, written
+from quarry.llm.bpe import WIDE_STEP, RankArrayBPE, byte_symbols, coder, read_spec
+from quarry.llm.common import fresh_path, steps, written
 
 END_ID = 2
 ORC_OPTIONS = {
@@ -45,7 +45,7 @@ ORC_OPTIONS = {
 
 
 class LibraryCoder(RankArrayBPE):
-    """Codes each distinct word by the library's own model; words are cut and remembered as in the parent."""
+    """Codes each distinct word by the library's own model; words are cut as in the parent."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -83,7 +83,7 @@ def encode_ids(docs: DataFrame, path: str | None, end_id: int) -> DataFrame:
 
     def run(batches):
         code = coder(spec, LibraryCoder)
-        for b in steps(batches, 2, STEP):
+        for b in steps(batches, 2, WIDE_STEP):
             ids, sizes, _ = code.encode(b.column(2), False)
             ends = np.cumsum(sizes + 1)  # an end id after each document
             flat = np.full(len(ids) + len(sizes), end_id, np.int32)
