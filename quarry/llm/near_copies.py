@@ -11,10 +11,15 @@ whose similarity is ``percent`` or more; every link is checked on the two sets.
 2. hubs: if two sets have the similarity s, they share at least s of the larger
    one, so that the first n - ceil(s * n) + 1 members of each, in one order of
    all shingles, have a member in common. In a group with such a member in
-   common each set is compared with the least one, which joins large groups of
-   copies in a linear number of pairs.
-3. Only sets that are still apart are then compared with one another, if size
-   and place of the shingle allow s.
+   common each set is compared with one, its hub: the set whose members most
+   other sets have too. While many pairs of the groups are still apart, other
+   hubs follow. This joins large groups of copies in a linear number of pairs.
+3. Only sets that are still apart are then compared with one another.
+
+A pair is made only if the sizes, the place of the shared member and a sketch
+allow s. The sketch has a bit for each of 512 classes of hashes: whether the set
+has an odd number of them. Two sketches never differ in more bits than the sets
+in members, so no pair at s or more is left out.
 
 Frequent shingles come last in the order, which keeps common lines out of the
 prefixes; they are told from a sample of the texts, and which ones are told
@@ -42,6 +47,9 @@ from quarry.llm.simhash import fingerprint_links, majority, shingle_hashes
 
 #: One text in so many tells the frequent shingles: at most MOST of them, in at least one of 2,000 sampled texts and 8 texts.
 SAMPLE, MOST, LEAST = 16, 65_536, 8
+#: Rounds of hubs at most, and how many pairs for each set and shingle end them; the exact step follows in any case.
+ROUNDS, MANY = 3, 8
+SKETCH = [f"b{k}" for k in range(8)]
 
 
 def shingle_set(hashes: np.ndarray) -> np.ndarray:
@@ -49,6 +57,12 @@ def shingle_set(hashes: np.ndarray) -> np.ndarray:
     return np.unique(hashes >> np.uint64(1))
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """For each of 512 classes of hashes, whether their number is odd: 64 bits in each of 8 integers."""
+    odd = np.bincount((hashes >> np.uint64(40)).astype(np.int64) & 511, minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def set_key(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
@@ -93,7 +107,7 @@ def text_sets(docs: DataFrame, shingle: int, percent: int, frequent) -> DataFram
     def run(batches):
         last = frequent.value
         for b in steps(batches, 3):
-            keys, fps, sizes, prefixes = [], [], [], []
+            keys, fps, sizes, prefixes, sketches = [], [], [], [], []
             for x in b.column(3).cast(pa.binary()):
                 hashes = shingle_hashes(x.as_py(), shingle)
                 s = shingle_set(hashes)
@@ -104,13 +118,15 @@ def text_sets(docs: DataFrame, shingle: int, percent: int, frequent) -> DataFram
                 sizes.append(n)
                 ordered = np.sort(s | (often.astype(np.uint64) << np.uint64(63)))
                 prefixes.append(ordered[: n + (-percent * n) // 100 + 1].view(np.int64))
+                sketches.append(sketch(s))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             values = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
+            told = np.array(sketches, np.int64).reshape(-1, len(SKETCH))
             cols = [*b.columns[:3], pa.array(keys, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["doc_id", "k1", "k2", "set", "fp", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), *(pa.array(x) for x in told.T.copy())], ["doc_id", "k1", "k2", "set", "fp", "n", "prefix", *SKETCH])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "k1", "k2", "text").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, set binary, fp long, n int, prefix array<long>")
+    return docs.select("doc_id", "k1", "k2", "text").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, set binary, fp long, n int, prefix array<long>" + "".join(f", {c} long" for c in SKETCH))
 
 
 def members(docs: DataFrame, sets: DataFrame, shingle: int) -> DataFrame:
@@ -160,9 +176,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     """
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle))
     first_row = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "k1", "k2")).alias("least")
-    by_set = text_sets(docs, shingle, percent, frequent).groupBy("set").agg(first_row, *(F.first(c).alias(c) for c in ("fp", "n", "prefix")))
-    sets = written(by_set.select("set", "least", "least.k1", "least.k2", "fp", "n", "prefix"), "sets")
-    sizes = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
+    by_set = text_sets(docs, shingle, percent, frequent).groupBy("set").agg(first_row, *(F.first(c).alias(c) for c in ("fp", "n", "prefix", *SKETCH)))
+    sets = written(by_set.select("set", "least", "least.k1", "least.k2", "fp", "n", "prefix", *SKETCH), "sets")
 
     # 1: sets whose fingerprints are equal or linked.
     heads = written(sets.groupBy("fp").agg(F.min("set").alias("v")), "heads")
@@ -171,25 +186,38 @@ def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     across = linked.join(heads.withColumnRenamed("v", "u"), "fp").join(heads.withColumnRenamed("fp", "fp2"), "fp2").select("u", "v")
     by_print = same.unionByName(across).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
-    # 2: sets with a prefix shingle in common, each with the least of them.
-    cells = sets.select("set", "n", F.posexplode("prefix").alias("pos", "key"))
-    shared = written(cells.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key"), "shared")
-    met = written(cells.join(shared, "key", "left_semi"), "met")
-    hubs = met.groupBy("key").agg(F.min(F.struct("set", "n")).alias("hub")).select("key", F.col("hub.set").alias("v"), F.col("hub.n").alias("m"))
-    by_hub = met.join(hubs, "key").filter((F.col("set") != F.col("v")) & sizes(F.col("n"), F.col("m"))).select(F.col("set").alias("u"), "v")
-    tried = written(by_print.unionByName(by_hub).distinct(), "pairs")
-    first = verified(tried, docs, sets, shingle, percent)
-
-    # 3: sets that have a shingle in common and are not connected yet.
-    roots = components(first)
-    apart = met.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    open_keys = apart.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
-    apart = written(apart.join(open_keys, "key", "left_semi"), "apart")
-    a, b = apart.alias("a"), apart.alias("b")
+    # 2: sets with a prefix shingle in common, each with the hub of that shingle; again with other hubs while too many are apart.
+    cells = sets.select("set", "n", F.posexplode("prefix").alias("pos", "key"), *SKETCH)
+    shared = written(cells.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1"), "shared")
+    met = written(cells.join(shared, "key"), "met")
     col = F.col
     most = F.least("a.pos", "b.pos") + F.least(col("a.n") - col("a.pos"), col("b.n") - col("b.pos"))
-    may = (col("a.set") > col("b.set")) & (col("a.root") != col("b.root")) & sizes(col("a.n"), col("b.n")) & (most * (100 + percent) >= (col("a.n") + col("b.n")) * percent)
-    rest = a.join(b, (col("a.key") == col("b.key")) & may).select(col("a.set").alias("u"), col("b.set").alias("v")).distinct()
+    sizes = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
+    apart_at_least = sum((F.bit_count(col(f"a.{c}").bitwiseXOR(col(f"b.{c}"))) for c in SKETCH), F.lit(0))
+    alike = apart_at_least * (100 + percent) <= (col("a.n") + col("b.n")) * (100 - percent)
+    may = (col("a.set") != col("b.set")) & (col("a.root") != col("b.root")) & sizes & (most * (100 + percent) >= (col("a.n") + col("b.n")) * percent) & alike
+    pair = (F.greatest("a.set", "b.set").alias("u"), F.least("a.set", "b.set").alias("v"))
+    tried = links = None
+    apart = met.withColumn("root", col("set")).join(met.groupBy("set").agg((-F.avg("k")).alias("order")), "set")
+    for k in range(ROUNDS):
+        order = F.xxhash64("set", F.lit(k)) if k else col("order")
+        hubs = apart.groupBy("key").agg(F.min(F.struct(order.alias("order"), "set", "n", "pos", "root", *SKETCH)).alias("hub")).select("key", "hub.*")
+        pairs = apart.alias("a").join(hubs.alias("b"), (col("a.key") == col("b.key")) & may).select(*pair)
+        pairs = (pairs if k else pairs.unionByName(by_print)).distinct()
+        pairs = written(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        found = verified(pairs, docs, sets, shingle, percent)
+        tried, links = (pairs, found) if tried is None else (tried.unionByName(pairs), links.unionByName(found))
+        roots = components(links)
+        apart = met.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+        groups = written(apart.groupBy("key", "root").agg(F.count("*").alias("c")), "groups")
+        open_keys = groups.groupBy("key").agg(F.sum("c").alias("c"), F.count("*").alias("r"), F.sum(col("c") * col("c")).alias("c2")).filter("r > 1")
+        left = open_keys.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("rows"), F.coalesce(F.sum((col("c") * col("c") - col("c2")) / 2), F.lit(0)).alias("pairs")).first()
+        apart = written(apart.join(open_keys.select("key"), "key", "left_semi"), "apart")
+        if left["pairs"] <= MANY * left["rows"]:
+            break
+
+    # 3: sets that have a shingle in common and are not connected yet.
+    rest = apart.alias("a").join(apart.alias("b"), (col("a.key") == col("b.key")) & (col("a.set") > col("b.set")) & may).select(*pair).distinct()
     rest = written(rest.join(tried, ["u", "v"], "left_anti"), "pairs")
-    roots = components(first.unionByName(verified(rest, docs, sets, shingle, percent)))
+    roots = components(links.unionByName(verified(rest, docs, sets, shingle, percent)))
     return sets.join(roots.withColumnRenamed("node", "set"), "set", "left").select("set", F.coalesce("root", "set").alias("root"), "least")
