@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quarry.llm.url_reputation import SUFFIXES
+
 SQL: dict[str, str] = {}
 
 SQL["op6_quality_rules"] = r"""
@@ -30,42 +32,41 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and share <= 0.5 as kept from b
 """
 
-_STRENGTH = """case when g < 2 or m <= 0 or m >= 1 or (s - m*(1-m)*(g-1)) <= 0 or n - n2/n - (g-1) <= 0 then 1000.0
-  else least(1000.0, greatest(1.0, 1 / ((s - m*(1-m)*(g-1)) / (m*(1-m)*(n - n2/n - (g-1)))) - 1)) end"""
+_SUFFIXES = ", ".join(f"'{x}'" for x in SUFFIXES)
 
 
-def _level(level: str, prior: str) -> str:
+def _level(key: str, before: str, after: str) -> str:
+    """Counts of a level, the strength of its prior, and the posterior rates of the labelled and of all sites."""
     return f"""
-k_{level} as (select {_STRENGTH} as k from (select count(*) g, sum(n)::double n, sum(n::double*n) n2, any_value(mean) m,
-   sum(n * (bad/n - mean) * (bad/n - mean)) s from c_{level}, total)),
-p_{level} as (select h.*, (coalesce(c.bad, 0) + k * {prior}) as a_{level}, (coalesce(c.n, 0) - coalesce(c.bad, 0) + k * (1 - {prior})) as b_{level},
-   (coalesce(c.bad, 0) + k * {prior}) / (coalesce(c.n, 0) + k) as r_{level}
-   from {{src}} h left join c_{level} c on c.{level} = h.{level} cross join k_{level} cross join total)"""
+c_{after} as (select {key}, sum(n) as cn, sum(bad) as cbad, any_value(mean) as cmean from k_{before} group by {key}),
+s_{after} as (select case when g < 2 or free = 0 or (off - g) / free <= 0 then 1000.0 else least(1000.0, greatest(1.0, free / (off - g) - 1)) end as k
+  from (select count(*) as g, sum(cn - 1)::double as free, sum(cn * (cbad / cn - cmean) * (cbad / cn - cmean) / (cmean * (1 - cmean))) as off
+        from c_{after} where cmean > 0 and cmean < 1)),
+k_{after} as (select t.* exclude (mean), (cbad + k * mean) / (cn + k) as mean from k_{before} t join c_{after} using ({key}) cross join s_{after}),
+p_{after} as (select t.* exclude (mean, a, b), coalesce(cbad, 0) + k * mean as a, coalesce(cn, 0) - coalesce(cbad, 0) + k * (1 - mean) as b,
+  (coalesce(cbad, 0) + k * mean) / (coalesce(cn, 0) + k) as mean from p_{before} t left join c_{after} using ({key}) cross join s_{after})"""
 
 
-SQL["op1_url_reputation"] = r"""
+SQL["op1_url_reputation"] = rf"""
 with p as (select page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
     coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
+q as (select *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') as site from p),
+named as (select site, case when two in ({_SUFFIXES}) then two else labels[-1] end as suffix,
+    case when two in ({_SUFFIXES}) then list_aggregate(labels[-3:], 'string_agg', '.') else two end as domain
+  from (select distinct site, string_split(site, '.') as labels, list_aggregate(string_split(site, '.')[-2:], 'string_agg', '.') as two from q)),
 marks as (select doc_id, max(case when quality = 0 or toxic = 1 then 1 else 0 end) as bad from labels where doc_id is not null group by doc_id),
-c_host as (select host, count(*) as n, sum(bad) as bad from p join marks on doc_id = page_id group by host),
-c_domain as (select list_aggregate(string_split(host, '.')[-2:], 'string_agg', '.') as domain, sum(n) as n, sum(bad) as bad from c_host group by 1),
-c_suffix as (select string_split(domain, '.')[-1] as suffix, sum(n) as n, sum(bad) as bad from c_domain group by 1),
-total as (select (coalesce(sum(bad), 0) + 0.5::double) / (coalesce(sum(n), 0) + 1) as mean from c_suffix),
-hosts as (select distinct host, list_aggregate(string_split(host, '.')[-2:], 'string_agg', '.') as domain, string_split(host, '.')[-1] as suffix from p),
-""" + ",".join(
-    [
-        _level("suffix", "mean").format(src="hosts"),
-        _level("domain", "r_suffix").format(src="p_suffix"),
-        _level("host", "r_domain").format(src="p_domain"),
-    ]
-) + r"""
-, bound as (select host, r_host - 1.645 * sqrt(a_host * b_host / ((a_host + b_host) * (a_host + b_host) * (a_host + b_host + 1))) as low from p_host),
-fit as (select p.*, low,
+counts as (select site, count(*) as n, sum(bad) as bad from q join marks on doc_id = page_id group by site),
+total as (select (coalesce(sum(bad), 0) + 0.5::double) / (coalesce(sum(n), 0) + 1) as mean from counts),
+k_all as (select counts.*, suffix, domain, mean from counts join named using (site) cross join total),
+p_all as (select named.*, mean, 0.0::double as a, 0.0::double as b from named cross join total),
+""" + ",".join([_level("suffix", "all", "suffix"), _level("domain", "suffix", "domain"), _level("site", "domain", "site")]) + r"""
+, bound as (select site, mean - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) as low from p_site),
+fit as (select q.*, low,
    case when (host = 'example.com' or host like '%.example.com') and starts_with(path, '/de/') then 'example.com/de/'
         when (host = 'example.net' or host like '%.example.net') and starts_with(path, '/en/') then 'example.net/en/'
         when (host = 'org' or host like '%.org') and starts_with(path, '/fr/') then 'org/fr/'
         when (host = 'net' or host like '%.net') and starts_with(path, '/') then 'net/' end as rule
-   from p left join bound using (host))
+   from q left join bound using (site))
 select page_id, host, path, rule,
   case rule when 'example.com/de/' then 'block' when 'net/' then 'block' when 'example.net/en/' then 'allow' when 'org/fr/' then 'allow'
   else case when low > 0.3 then 'block' else 'allow' end end as verdict from fit

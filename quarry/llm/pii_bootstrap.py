@@ -1,19 +1,23 @@
 """Personal data by bootstrapped contextual extraction, with built-in column functions only.
 
 Four kinds of identifiers (email, ip, card, phone) are found by pattern and
-check; they are the seeds. Every seed, and every other token with a digit or
-an "@" in it, is a candidate: an instance (its text) under a lexical pattern
-(the two words before it, lower-cased, digits as 0). Patterns and instances make
-a bipartite graph that is scored in turns, per kind:
+check; they are the seeds. Every seed, every other token with a digit or an "@"
+in it and every run of digit groups joined by the kinds' own separators is a
+candidate: an instance (its text) under a lexical pattern (the two words before
+it, however far, lower-cased, digits as 0). Candidates shorter than the shortest
+identifier of any kind, ``min_token`` characters, are none. Patterns and
+instances make a bipartite graph that is scored in turns, per kind:
 
 * a pattern's confidence is the mean score of its distinct instances, with one
   instance of score 0 added, so that a pattern seen once is never trusted;
 * an instance's score is 1 for a seed of the kind, 0 for a seed of another
   kind, and else the mean confidence of its patterns.
 
-After ``rounds`` turns, patterns of at least ``min_support`` distinct seed
-instances and ``min_confidence`` reveal the candidates under them that no seed
-covers: new spans of that kind. Seeds always stay.
+An instance that reaches ``min_confidence`` counts as a seed in the next turn, so
+patterns may come to be trusted by what others found. After ``rounds`` turns,
+patterns of at least ``min_support`` such instances and ``min_confidence`` reveal
+the candidates under them that no seed covers: new spans of that kind. Seeds
+always stay.
 
 Patterns are written with possessive runs and look-behinds, so no text, however
 long or odd, makes them back-track or recurse.
@@ -44,9 +48,10 @@ PATTERNS = {
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]?)"
 IP_PARTS = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
+GROUPS = r"(?<![A-Za-z0-9@._%+/-])\+?+\(?+[0-9]++\)?+(?:[\x20.-]?+\(?+[0-9]++\)?+)++(?![A-Za-z@])"
 TOKEN = r"(?<![A-Za-z0-9@._%+/-])(?=[A-Za-z._%+/-]*+[0-9@])[A-Za-z0-9@._%+/-]++"
-#: Characters before a candidate in which its two context words are sought.
-CONTEXT = 64
+#: Characters before a candidate in which its two context words are sought first; more are taken where they are not there.
+NEAR, FAR = 64, 4096
 
 
 def luhn(digits: Column) -> Column:
@@ -105,10 +110,15 @@ def base_spans(text: Column) -> Column:
 
 def context_of(text: Column, start: Column) -> Column:
     """The last two words before start, lower-cased, digits as 0."""
-    first = F.greatest(start - CONTEXT, F.lit(0))
-    before = F.substring(text, first + 1, start - first)
-    words = F.filter(F.split(F.lower(before), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return let(words, lambda w: F.regexp_replace(F.array_join(F.slice(w, F.greatest(F.size(w) - 1, F.lit(1)), F.lit(2)), " "), "[0-9]", "0"))
+    last_two = lambda w: F.regexp_replace(F.array_join(F.slice(w, F.greatest(F.size(w) - 1, F.lit(1)), F.lit(2)), " "), "[0-9]", "0")
+
+    def within(most: int | None, beyond):
+        first = F.greatest(start - most, F.lit(0)) if most else F.lit(0)
+        words = F.filter(F.split(F.lower(F.substring(text, first + 1, start - first)), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+        # The first word may be cut, so two whole ones need a third before them.
+        return let(words, lambda w: F.when((first == 0) | (F.size(w) > 2), last_two(w)).otherwise(beyond()) if most else last_two(w))
+
+    return within(NEAR, lambda: within(FAR, lambda: within(None, None)))
 
 
 def scan(docs: DataFrame, min_token: int) -> DataFrame:
@@ -116,7 +126,7 @@ def scan(docs: DataFrame, min_token: int) -> DataFrame:
     t = F.col("t")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     rows = rows.select("doc_id", F.xxhash64("t").alias("key"), "t", base_spans(t).alias("base"))
-    other = found(t, TOKEN, lambda m: F.length(m) >= min_token, F.lit(None).cast("string"))
+    other = found(t, f"{GROUPS}|{TOKEN}", lambda m: F.length(m) >= min_token, F.lit(None).cast("string"))
     apart = lambda x, y: (x["end"] <= y["start"]) | (x["start"] >= y["end"])
     rows = rows.withColumn("other", F.filter(other, lambda x: F.forall("base", lambda y: apart(x, y))))
     seen = F.transform(
@@ -132,21 +142,21 @@ def score(edges: DataFrame, rounds: int, min_support: int, min_confidence: float
     mine = [F.when(F.col("kind") == k, 1.0).when(F.col("kind").isNotNull(), 0.0) for k in KINDS]
     known = edges.select("pattern", "instance", "kind", *(m.alias(f"s_{k}") for m, k in zip(mine, KINDS, strict=True)))
     mean = [(F.sum(F.coalesce(f"s_{k}", F.lit(0.0))) / (F.count("*") + 1)).alias(f"c_{k}") for k in KINDS]
-    support = [F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).alias(f"n_{k}") for k in KINDS]
+    support = [F.sum(F.when(F.coalesce(f"s_{k}", F.lit(0.0)) >= min_confidence, 1).otherwise(0)).alias(f"n_{k}") for k in KINDS]
     patterns = known.groupBy("pattern").agg(*mean, *support)
     for _ in range(rounds - 1):
         links = known.join(patterns.select("pattern", *(f"c_{k}" for k in KINDS)), "pattern")
         told = links.filter("kind is null").groupBy("instance").agg(*(F.avg(f"c_{k}").alias(f"t_{k}") for k in KINDS))
         scored = known.join(told, "instance", "left")
-        scored = scored.select("pattern", *(F.coalesce(f"s_{k}", f"t_{k}", F.lit(0.0)).alias(f"s_{k}") for k in KINDS))
-        fresh = scored.groupBy("pattern").agg(*((F.sum(f"s_{k}") / (F.count("*") + 1)).alias(f"c_{k}") for k in KINDS))
-        patterns = written(patterns.select("pattern", *(f"n_{k}" for k in KINDS)).join(fresh, "pattern"), "patterns")
+        sure = lambda k: F.when(F.col(f"t_{k}") >= min_confidence, 1.0).otherwise(F.col(f"t_{k}"))
+        scored = scored.select("pattern", *(F.coalesce(f"s_{k}", sure(k), F.lit(0.0)).alias(f"s_{k}") for k in KINDS))
+        patterns = written(scored.groupBy("pattern").agg(*mean, *support), "patterns")
     best = F.greatest(*(F.struct(F.col(f"c_{k}").alias("c"), F.lit(-i).alias("i"), F.col(f"n_{k}").alias("n"), F.lit(k).alias("kind")) for i, k in enumerate(KINDS)))
     trusted = patterns.select("pattern", best.alias("b")).filter((F.col("b.c") >= min_confidence) & (F.col("b.n") >= min_support))
     return trusted.select("pattern", F.col("b.kind").alias("kind"), F.col("b.c").alias("confidence"))
 
 
-def extract(docs: DataFrame, rounds: int = 3, min_support: int = 3, min_confidence: float = 0.6, min_token: int = 6) -> DataFrame:
+def extract(docs: DataFrame, rounds: int = 3, min_support: int = 3, min_confidence: float = 0.6, min_token: int = 5) -> DataFrame:
     """doc_id, key, base and spans (arrays of kind, start, end) of every row of docs (doc_id, text)."""
     rows = written(scan(docs, min_token), "candidates")
     seen = rows.select("doc_id", "key", F.explode("seen").alias("x")).select("doc_id", "key", "x.*").filter("pattern <> ''")

@@ -1,11 +1,13 @@
 """URL filter: rules first, then an Empirical-Bayes reputation of the host.
 
-Labelled page outcomes (good or bad) are counted per host. A beta-binomial
-prior is passed down from all pages to the public suffix (the last label), the
-registered domain (the last two labels) and the host. At each level the prior's
-mean is the parent's posterior mean and its strength is fitted to the spread of
-the level's rates by moments. A host is blocked if even the lower bound of its
-posterior rate of bad pages is over ``threshold``.
+Labelled page outcomes (good or bad) are counted per host, without user names
+and ports. A beta-binomial prior is passed down from all pages to the public
+suffix (the last label, or the last two where a table of suffixes has them), the
+registered domain (one label more) and the host. At each level the prior's mean
+is the parent's posterior mean and its strength is fitted, by moments, to how
+far the level's rates lie from their own parents'. A host is blocked if even the
+lower bound of its posterior rate of bad pages (posterior mean less ``z``
+posterior deviations) is over ``threshold``.
 
 Scale: labelled pages are counted with map-side partial sums, so a hot host is
 a few rows when it is shuffled. Verdicts are made per distinct host and joined
@@ -27,9 +29,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ascii_lower
+from quarry.llm.common import ascii_lower, written
 
 LEVELS = ("suffix", "domain", "host")
+#: Public suffixes of two labels; more can be given.
+SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "net.uk", "nhs.uk", "org.uk", "plc.uk", "sch.uk", "com.au", "edu.au", "gov.au", "net.au", "org.au",
+    "co.nz", "ac.nz", "govt.nz", "net.nz", "org.nz", "ac.jp", "co.jp", "go.jp", "ne.jp", "or.jp", "ac.kr", "co.kr", "go.kr", "or.kr", "com.cn", "edu.cn", "gov.cn",
+    "net.cn", "org.cn", "com.hk", "com.tw", "edu.tw", "org.tw", "com.sg", "com.my", "co.th", "co.id", "com.ph", "com.vn", "ac.in", "co.in", "gov.in", "net.in", "org.in",
+    "com.pk", "com.bd", "co.il", "ac.il", "org.il", "com.tr", "gov.tr", "org.tr", "com.ua", "com.pl", "com.ru", "com.br", "gov.br", "net.br", "org.br", "com.ar", "com.mx",
+    "gob.mx", "org.mx", "com.co", "com.pe", "com.ve", "com.ec", "com.uy", "ac.za", "co.za", "gov.za", "org.za", "co.ke", "com.ng", "com.eg", "com.sa", "com.es", "com.pt",
+)
 
 
 @dataclass(frozen=True)
@@ -62,8 +72,19 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def last_labels(host: Column, n: int) -> Column:
-    return F.substring_index(host, ".", -n)
+def site_of(host: Column) -> Column:
+    """The host without a user name and a port."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
+
+
+def suffix_of(site: Column, suffixes) -> Column:
+    two = F.substring_index(site, ".", -2)
+    return F.when(two.isin(*suffixes), two).otherwise(F.substring_index(site, ".", -1)) if suffixes else F.substring_index(site, ".", -1)
+
+
+def domain_of(site: Column, suffixes) -> Column:
+    two = F.substring_index(site, ".", -2)
+    return F.when(two.isin(*suffixes), F.substring_index(site, ".", -3)).otherwise(two) if suffixes else two
 
 
 def first_fitting(rules, host: Column, path: Column, value) -> Column:
@@ -75,51 +96,43 @@ def first_fitting(rules, host: Column, path: Column, value) -> Column:
 
 
 def host_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """host, n and bad: labelled pages of a host and how many of them are bad."""
+    """site, n and bad: labelled pages of a host and how many of them are bad."""
     bad = F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0))
     marks = labels.filter("doc_id is not null").groupBy("doc_id").agg(bad.alias("_bad"))
-    seen = pages.select("page_id", host_of(F.col("url")).alias("host"))
-    return (
-        seen.join(marks, seen.page_id == marks.doc_id)
-        .groupBy("host")
-        .agg(F.count("*").alias("n"), F.sum("_bad").alias("bad"))
-    )
-
-
-def fitted_strength(counts: DataFrame, mean: float, least: float, most: float) -> float:
-    """Strength (alpha + beta) of a beta-binomial whose groups spread as these do, by moments."""
-    rate = F.col("bad") / F.col("n")
-    row = counts.filter("n > 0").agg(
-        F.count("*").alias("g"),
-        F.sum("n").cast("double").alias("n"),
-        F.sum(F.col("n").cast("double") * F.col("n")).alias("n2"),
-        F.sum(F.col("n") * (rate - mean) * (rate - mean)).alias("s"),
-    ).first()
-    if not row.g or row.g < 2 or mean <= 0 or mean >= 1:
+    seen = pages.select("page_id", site_of(host_of(F.col("url"))).alias("site"))
+    return seen.join(marks, seen.page_id == marks.doc_id).groupBy("site").agg(F.count("*").alias("n"), F.sum("_bad").alias("bad"))
+
+
+def fitted_strength(groups: DataFrame, least: float, most: float) -> float:
+    """Strength (alpha + beta) of beta-binomials whose groups (n, bad, mean: the parent's rate) spread about their means as these do, by moments."""
+    rate, spread = F.col("bad") / F.col("n"), F.col("mean") * (1 - F.col("mean"))
+    off = F.col("n") * (rate - F.col("mean")) * (rate - F.col("mean")) / spread
+    row = groups.filter("n > 0 and mean > 0 and mean < 1").agg(F.count("*").alias("g"), F.sum(F.col("n") - 1).cast("double").alias("free"), F.sum(off).alias("off")).first()
+    if not row.g or row.g < 2 or not row.free:
         return most
-    spread = mean * (1 - mean)
-    below = spread * (row.n - row.n2 / row.n - (row.g - 1))
-    rho = (row.s - spread * (row.g - 1)) / below if below > 0 else 0.0
+    rho = (row.off - row.g) / row.free
     return most if rho <= 0 else min(most, max(least, 1 / rho - 1))
 
 
-def host_posteriors(hosts: DataFrame, outcomes: DataFrame, least: float = 1.0, most: float = 1000.0, z: float = 1.645) -> DataFrame:
-    """For each row of hosts (distinct hosts): posterior mean, deviation and lower bound of the rate of bad pages."""
-    counts = {"host": outcomes}
-    counts["domain"] = outcomes.groupBy(last_labels(F.col("host"), 2).alias("domain")).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    counts["suffix"] = counts["domain"].groupBy(last_labels(F.col("domain"), 1).alias("suffix")).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    total = counts["suffix"].agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
-    mean = (total.bad + 0.5) / (total.n + 1)
-    out = hosts.withColumns({"domain": last_labels(F.col("host"), 2), "suffix": last_labels(F.col("host"), 1)})
-    prior = F.lit(mean)
-    for level in LEVELS:
-        k = F.lit(fitted_strength(counts[level], mean, least, most))
-        here = counts[level].select(F.col(level), F.col("n").alias("_n"), F.col("bad").alias("_bad"))
-        out = out.join(here, level, "left").withColumns({"_n": F.coalesce("_n", F.lit(0)), "_bad": F.coalesce("_bad", F.lit(0))})
-        a, b = F.col("_bad") + k * prior, F.col("_n") - F.col("_bad") + k * (1 - prior)
-        out = out.withColumns({f"{level}_rate": a / (a + b), "_var": a * b / ((a + b) * (a + b) * (a + b + 1))}).drop("_n", "_bad")
-        prior = F.col(f"{level}_rate")
-    return out.select("host", *(f"{x}_rate" for x in LEVELS), (F.col("host_rate") - z * F.sqrt("_var")).alias("bad_bound"))
+def host_posteriors(sites: DataFrame, outcomes: DataFrame, least: float = 1.0, most: float = 1000.0, z: float = 1.645, suffixes=SUFFIXES) -> DataFrame:
+    """For each row of sites (distinct): posterior rates of bad pages by level, and the lower bound of the site's.
+
+    The three levels' tables hold a row for each suffix, domain and site; the driver gets one row of moments a level.
+    """
+    both = {"suffix": suffix_of(F.col("site"), suffixes), "domain": domain_of(F.col("site"), suffixes)}
+    known = written(outcomes, "outcomes").withColumns(both)
+    total = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
+    out = sites.withColumns(both).withColumn("mean", F.lit((total.bad + 0.5) / (total.n + 1)))
+    parents = known.withColumn("mean", F.lit((total.bad + 0.5) / (total.n + 1)))
+    for level, key in zip(LEVELS, ("suffix", "domain", "site"), strict=True):
+        counts = parents.groupBy(key).agg(F.sum("n").alias("_n"), F.sum("bad").alias("_bad"), F.first("mean").alias("_mean"))
+        k = F.lit(fitted_strength(counts.select(F.col("_n").alias("n"), F.col("_bad").alias("bad"), F.col("_mean").alias("mean")), least, most))
+        a, b = F.col("_bad") + k * F.col("mean"), F.col("_n") - F.col("_bad") + k * (1 - F.col("mean"))
+        spread = a * b / ((a + b) * (a + b) * (a + b + 1))
+        fill = lambda df: df.withColumns({"_n": F.coalesce("_n", F.lit(0)), "_bad": F.coalesce("_bad", F.lit(0))})
+        out = fill(out.join(counts.drop("_mean"), key, "left")).withColumns({f"{level}_rate": a / (a + b), "_var": spread}).withColumn("mean", F.col(f"{level}_rate")).drop("_n", "_bad")
+        parents = fill(parents.join(counts.drop("_mean"), key, "left")).withColumn("mean", a / (a + b)).drop("_n", "_bad")
+    return out.select("site", *(f"{x}_rate" for x in LEVELS), (F.col("host_rate") - z * F.sqrt("_var")).alias("bad_bound"))
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules=DEFAULT_RULES, threshold: float = 0.3, **fit) -> DataFrame:
@@ -127,7 +140,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules=DEFAULT_RULES, thresho
     host, path = F.col("host"), F.col("path")
     judged = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     judged = judged.withColumns({"rule": first_fitting(rules, host, path, lambda r: r.text), "_action": first_fitting(rules, host, path, lambda r: r.action)})
-    hosts = judged.groupBy("host").agg(F.lit(1).alias("_one")).drop("_one")
-    bounds = host_posteriors(hosts, host_outcomes(pages, labels), **fit).select("host", "bad_bound")
+    judged = judged.drop("bad_bound").withColumn("_site", site_of(host))
+    sites = judged.groupBy(F.col("_site").alias("site")).agg(F.lit(1).alias("_one")).drop("_one")
+    bounds = host_posteriors(sites, host_outcomes(pages, labels), **fit).select(F.col("site").alias("_site"), "bad_bound")
     own = F.when(F.col("bad_bound") > threshold, "block").otherwise("allow")
-    return judged.drop("bad_bound").join(bounds, "host", "left").withColumn("verdict", F.coalesce("_action", own)).drop("_action")
+    return judged.join(bounds, "_site", "left").withColumn("verdict", F.coalesce("_action", own)).drop("_action", "_site")

@@ -48,8 +48,10 @@ DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
-def record_id(page_id) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page:{page_id}') if page_id is not None else uuid.uuid4()}>"
+def record_id(page_id, content: str = "") -> str:
+    """The same on every attempt of a task: from the page's id or, where there is none, from what the record holds."""
+    name = f"page:{page_id}" if page_id is not None else f"content:{content}"
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, name)}>"
 
 
 def warc_record(page_id, url: str, payload: bytes, refers_to) -> bytes:
@@ -61,7 +63,7 @@ def warc_record(page_id, url: str, payload: bytes, refers_to) -> bytes:
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {record_id(page_id, f'{target} {digest}')}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {target}",
         f"WARC-Payload-Digest: sha256:{digest}",

@@ -519,3 +519,67 @@ def test_pipeline_against_plain_steps(spark, data, docs):
     assert private.columns == whole.columns and all(not base(r.text) for r in private.collect())
     out = P.run(spark, data).collect()
     assert {r.doc_id for r in out} == want and all(len(r.ids) == r.n_tokens for r in out)
+
+
+# 1 and 2 again
+
+
+def test_sites_suffixes_and_ports(spark):
+    from quarry.llm.url_reputation import SUFFIXES, domain_of, host_of, site_of, suffix_of
+
+    urls = ["http://u:p@A.Shop.co.uk:8080/x", "http://shop.co.uk", "http://a.b.example.com:1/", "http://localhost/", "none"]
+    site = site_of(host_of(F.col("u")))
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select(site, domain_of(site, SUFFIXES), suffix_of(site, SUFFIXES)).collect()
+    assert [tuple(r) for r in got] == [("a.shop.co.uk", "shop.co.uk", "co.uk"), ("shop.co.uk", "shop.co.uk", "co.uk"), ("a.b.example.com", "example.com", "com"), ("localhost", "localhost", "localhost"), ("", "", "")]
+
+
+def plain_bootstrap(rows, rounds=3, min_support=3, min_confidence=0.6, min_token=5):
+    """The added spans by a plain version: candidates, patterns of two words, scores in turns."""
+    from quarry.llm.pii_bootstrap import GROUPS, TOKEN
+
+    seen = []
+    for i, t in rows:
+        seeds = [(k, m.start(), m.end()) for k in PATTERNS for m in re.finditer(PATTERNS[k], t) if valid(k, m.group())]
+        other = [(None, m.start(), m.end()) for m in re.finditer(f"{GROUPS}|{TOKEN}", t) if m.end() - m.start() >= min_token and all(m.end() <= a or m.start() >= b for _, a, b in seeds)]
+        for kind, a, b in seeds + other:
+            pattern = re.sub("[0-9]", "0", " ".join(t[:a].lower().split()[-2:]))
+            if pattern:
+                seen.append((i, kind, a, b, pattern, t[a:b]))
+    edges = {(p, x, k) for _, k, _, _, p, x in seen}
+    turn = {(e, k): (1.0 if e[2] == k else 0.0) for e in edges for k in PATTERNS}
+    for n in range(rounds):
+        conf, support = {}, {}
+        for p in {e[0] for e in edges}:
+            mine = [e for e in edges if e[0] == p]
+            for k in PATTERNS:
+                conf[p, k] = sum(turn[e, k] for e in mine) / (len(mine) + 1)
+                support[p, k] = sum(turn[e, k] >= min_confidence for e in mine)
+        for e in edges:
+            if e[2] is None:
+                at = [f[0] for f in edges if f[2] is None and f[1] == e[1]]
+                for k in PATTERNS:
+                    s = sum(conf[p, k] for p in at) / len(at)
+                    turn[e, k] = 1.0 if s >= min_confidence else s
+    best = {p: max(PATTERNS, key=lambda k: (conf[p, k], -list(PATTERNS).index(k))) for p, _ in conf}
+    trusted = {p: k for p, k in best.items() if conf[p, k] >= min_confidence and support[p, k] >= min_support}
+    return {(i, trusted[p], a, b) for i, k, a, b, p, _ in seen if k is None and p in trusted}
+
+
+def test_pii_added_spans_against_plain_version(spark):
+    from quarry.llm.pii_bootstrap import extract
+
+    random.seed(9)
+    mails, phones, cards = ["a@b.co", "c@d.org", "e@f.net", "h@i.de", "j@k.fr"], ["+1 555 012 3456", "+49 30 1234567", "+33 1 23 45 67 89"], ["4111 1111 1111 1111", "5500-0000-0000-0004", "340000000000009"]
+    kinds = [(["mail me at", "write   mail to"], mails, ["x9-at-y.de", "user77", "k@l"]), (["call us on", "reach him under"], phones, ["(555) 013-4477", "555 013 4477", "0800.123.456"])]
+    kinds += [(["card number is"], cards, ["4111 1111 1111 1112", "1234"]), (["born in", "since"], ["1999", "a1" * 40], ["2020 5", "10.0.0.1"])]
+    rows = []
+    for i in range(240):
+        lead, seeds, odd = random.choice(kinds)
+        space = " " * random.choice([1, 1, 80, 5000])
+        rows.append((i, f"{random.choice(['', 'so ' * 3, 'z' * 200 + ' '])}{random.choice(lead)}{space}{random.choice(seeds * 3 + odd)} now" + random.choice(["", " and mail to " + random.choice(mails)])))
+    want = plain_bootstrap(rows)
+    got = set()
+    for r in extract(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        base_of = {(x.kind, x.start, x.end) for x in r.base}
+        got |= {(r.doc_id, x.kind, x.start, x.end) for x in r.spans if (x.kind, x.start, x.end) not in base_of}
+    assert got == want and len(want) > 3
