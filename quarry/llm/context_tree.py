@@ -17,9 +17,10 @@ Scale: a byte with its context is a string of depth + 1 bytes. One pass counts
 the distinct strings and tokens of the training texts per task and sums them in
 a shuffle, so a very frequent one is a row a task; strings of other texts come
 along with count 0. The strings are dealt out by the last two bytes of context,
-so each task has whole subtrees of levels 2 and deeper; what a pair of bytes can
-hold is bounded by 256**(depth - 1) strings whatever the input. Only the nodes
-of levels 0 and 1 (at most 65,536) go to the driver and to all tasks. There each
+so each task has whole subtrees of levels 2 and deeper. Pairs with more strings
+than a task's even share are fewer than the tasks; theirs are dealt out by the
+last three bytes. Only the nodes of levels 0 and 1 (at most 65,536) and those of
+level 2 of such pairs (255 each) go to the driver and to all tasks. There each
 distinct string is scored once. Strings and tokens that make up at least
 1/``FREQUENT_GRAMS`` and 1/``FREQUENT`` of all are looked up where the texts lie:
 there are at most so many of them whatever the input, so their broadcast is
@@ -50,7 +51,7 @@ DEPTH = 5
 #: At most: a string with its context is a number of 64 bits.
 DEEPEST = 7
 FREQUENT = 65_536
-FREQUENT_GRAMS = 1 << 22
+FREQUENT_GRAMS = 1 << 23
 #: Bytes of text whose strings are held as numbers at once.
 PIECE = 1 << 20
 #: Strings whose subtrees are built at once; a pair of context bytes stands together.
@@ -217,29 +218,53 @@ def child_sums(parent: np.ndarray, child: np.ndarray, value: np.ndarray, d: int)
     """Sum of value over the children at depth d + 1 of each parent key at depth d."""
     context = (child >> np.uint64(8)) & np.uint64((1 << 8 * d) - 1)
     up = (context << np.uint64(8)) | (child & np.uint64(255))
-    return np.bincount(np.searchsorted(parent, up), value, len(parent))
+    return np.bincount(np.searchsorted(parent, up), value, len(parent)).astype(float)
 
 
-def subtree(codes: np.ndarray, counts: np.ndarray, depth: int) -> tuple[list[tuple], tuple]:
-    """The levels from 2 to depth over strings of whole pairs of context bytes; and what level 1 gets from them: (keys, n0, n1, sums over children)."""
-    levels, below = [], None
+def pair_in(keys: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Whether the last two context bytes of each string or node of level 2 or deeper are one of pairs."""
+    return np.isin((keys >> np.uint64(8)) & np.uint64(0xFFFF), pairs)
+
+
+def subtree(codes: np.ndarray, counts: np.ndarray, depth: int, split: np.ndarray = np.zeros(0, np.uint64)) -> tuple[list[tuple], list[tuple]]:
+    """The levels from 2 to depth over strings of whole pairs of context bytes; and what others need of them: (d, keys, n0, n1, sums over children).
+
+    Of the split pairs there may be a part of the strings, with all that share
+    three bytes. Their nodes of level 2 are given away in parts; the other pairs'
+    give theirs to level 1.
+    """
+    levels, below, gives = [], None, []
     for d in range(depth, 1, -1):
         keys, n0, n1 = bit_counts(codes, counts, d)
-        made = level(keys, n0, n1, None if below is None else child_sums(keys, *below, d))
+        sums = None if below is None else child_sums(keys, *below, d)
+        if d == 2 and len(split):
+            part = pair_in(keys, split)
+            gives.append((2, keys[part], n0[part], n1[part], sums[part]))
+            keys, n0, n1, sums = keys[~part], n0[~part], n1[~part], sums[~part]
+            whole = ~pair_in(codes, split)
+            codes, counts = codes[whole], counts[whole]
+        made = level(keys, n0, n1, sums)
         levels.insert(0, made[:3])
         below = made[0], made[3]
     keys, n0, n1 = bit_counts(codes, counts, 1)
-    return levels, (keys, n0, n1, child_sums(keys, *below, 1))
+    return levels, [*gives, (1, keys, n0, n1, child_sums(keys, *below, 1))]
 
 
-def top_levels(keys, n0, n1, below) -> list[tuple]:
-    """Levels 0 and 1 of what all subtrees give to level 1."""
+def summed(keys, n0, n1, below) -> tuple:
+    """Rows with distinct keys, in order, and the sums of the others."""
     unique, at = np.unique(keys, return_inverse=True)
-    n0, n1, below = (np.bincount(at, x, len(unique)) for x in (n0, n1, below))
-    one = level(unique, n0, n1, below)
-    root, at = np.unique(unique & np.uint64(255), return_inverse=True)
-    top = level(root, np.bincount(at, n0, len(root)), np.bincount(at, n1, len(root)), np.bincount(at, one[3], len(root)))
-    return [top[:3], one[:3]]
+    return unique, *(np.bincount(at, x, len(unique)).astype(float) for x in (n0, n1, below))
+
+
+def top_levels(one: tuple, two: tuple) -> list[tuple]:
+    """Levels 0, 1 and, of split pairs, 2 of what all subtrees give to levels 1 and 2: (keys, n0, n1, sums over children)."""
+    keys, n0, n1, below = summed(*two)
+    split = level(keys, n0, n1, below)
+    up = ((keys >> np.uint64(8) & np.uint64(0xFF)) << np.uint64(8)) | (keys & np.uint64(255))
+    keys, n0, n1, below = summed(*(np.concatenate(x) for x in zip(one, (up, n0, n1, split[3]), strict=True)))
+    first = level(keys, n0, n1, below)
+    keys, n0, n1, below = summed(keys & np.uint64(255), n0, n1, first[3])
+    return [x[:3] for x in (level(keys, n0, n1, below), first, split)]
 
 
 def log10_chance(levels: list[tuple], codes: np.ndarray) -> np.ndarray:
@@ -294,27 +319,39 @@ def whole_pairs(batches):
         yield tuple(map(np.concatenate, held))
 
 
-def score_strings(counts: DataFrame, depth: int) -> DataFrame:
+def score_strings(counts: DataFrame, depth: int, parts: int | None = None) -> DataFrame:
     """gram, m and v: the log10 chance of each distinct string of counts (gram, n, m)."""
     spark = counts.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = counts.withColumn("pair", pair_of(F.col("gram"))).repartition(parts, "pair").sortWithinPartitions("pair").select("gram", "n", "m")
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pair = pair_of(F.col("gram"))
+    by_pair = counts.groupBy(pair.alias("pair")).count()
+    share = counts.count() / parts
+    large = [r.pair for r in by_pair.filter(F.col("count") > share).collect()] if depth > 2 else []  # fewer than parts
+    split = np.array(sorted(large), np.uint64)
+    place = F.when(pair.isin(large), F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFFFF))).otherwise(pair) if large else pair
+    dealt = counts.withColumns({"pair": pair, "place": place}).repartition(parts, "place").sortWithinPartitions("pair").select("gram", "n", "m")
 
     def trained(codes, n):
         return codes[n > 0], n[n > 0]
 
     def give(batches):
         for codes, n, _ in whole_pairs(batches):
-            _, (keys, *values) = subtree(*trained(codes, n), depth)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, values)], ["key", "n0", "n1", "below"])
+            for d, keys, *values in subtree(*trained(codes, n), depth, split)[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), d, np.int32)), pa.array(keys.view(np.int64)), *map(pa.array, values)], ["d", "key", "n0", "n1", "below"])
 
-    sums = dealt.mapInArrow(give, "key long, n0 double, n1 double, below double").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "below")))
-    rows = sums.toArrow()  # at most 65,536
-    top = spark.sparkContext.broadcast(top_levels(rows.column(0).to_numpy().view(np.uint64), *(rows.column(k).to_numpy() for k in (1, 2, 3))))
+    sums = dealt.mapInArrow(give, "d int, key long, n0 double, n1 double, below double").groupBy("d", "key").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "below")))
+    rows = sums.toArrow()  # at most 65,536 and 255 for each split pair
+    level_of = rows.column(0).to_numpy()
+    given = [(rows.column(1).to_numpy().view(np.uint64)[level_of == d], *(rows.column(k).to_numpy()[level_of == d] for k in (2, 3, 4))) for d in (1, 2)]
+    top = spark.sparkContext.broadcast(top_levels(*given))
 
     def score(batches):
+        root, first, second = top.value
         for codes, n, m in whole_pairs(batches):
-            levels = [*top.value, *subtree(*trained(codes, n), depth)[0]]
+            levels = subtree(*trained(codes, n), depth, split)[0]
+            keys = np.concatenate([levels[0][0], second[0]])
+            order = np.argsort(keys)
+            levels = [root, first, tuple(np.concatenate([a, b])[order] for a, b in zip(levels[0], second, strict=True)), *levels[1:]]
             for at in range(0, len(codes), 50_000):
                 cut = slice(at, at + 50_000)
                 yield pa.RecordBatch.from_arrays([pa.array(codes[cut].view(np.int64)), pa.array(m[cut]), pa.array(log10_chance(levels, codes[cut]))], ["gram", "m", "v"])
@@ -364,7 +401,7 @@ def lookup(broadcast) -> Lookup:
     return _LOOKUPS[key]
 
 
-def score_documents(docs: DataFrame, depth: int = DEPTH, frequent_grams: int = FREQUENT_GRAMS, frequent: int = FREQUENT) -> DataFrame:
+def score_documents(docs: DataFrame, depth: int = DEPTH, frequent_grams: int = FREQUENT_GRAMS, frequent: int = FREQUENT, parts: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes and bits_per_byte of every row of docs (doc_id, text)."""
     if not 2 <= depth <= DEEPEST:
         raise ValueError(f"depth has to be from 2 to {DEEPEST}")
@@ -374,7 +411,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, frequent_grams: int = F
     size = token_counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, smooth = size.n, size.n + size.v + 1
     often = sc.broadcast({bytes(r.token): r.n for r in token_counts.filter(F.col("n") * frequent >= n_train).toLocalIterator()})
-    strings = score_strings(gram_counts, depth)
+    strings = score_strings(gram_counts, depth, parts)
     all_grams = strings.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first().m
     top = strings.filter(F.col("m").cast("decimal(38,0)") * frequent_grams >= all_grams).select("gram", "v").toArrow()
     table = sc.broadcast((uuid.uuid4().hex, top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()))
