@@ -11,13 +11,14 @@ whose similarity is ``percent`` or more; every link is checked on the two sets.
 2. hubs: if two sets have the similarity s, they share at least s of the larger
    one, so that the first n - ceil(s * n) + 1 members of each, in one order of
    all shingles, have a member in common. In a group with such a member in
-   common each set is compared with one, its hub: the set whose members most
-   other sets have too. While many pairs of the groups are still apart, other
-   hubs follow. This joins large groups of copies in a linear number of pairs.
+   common each set is compared with one, its hub: that whose members the most
+   other sets have. While many pairs of the groups
+   are still apart, other hubs follow. This joins large groups of copies in a
+   linear number of pairs.
 3. Only sets that are still apart are then compared with one another.
 
-A pair is made only if the sizes, the place of the shared member and a sketch
-allow s. The sketch has a bit for each of 512 classes of hashes: whether the set
+A pair is made only if the sizes and the place of the shared member allow s, and
+in step 3 a sketch too. The sketch has a bit for each of 256 classes of hashes: whether the set
 has an odd number of them. Two sketches never differ in more bits than the sets
 in members, so no pair at s or more is left out.
 
@@ -48,8 +49,8 @@ from quarry.llm.simhash import fingerprint_links, majority, shingle_hashes
 #: One text in so many tells the frequent shingles: at most MOST of them, in at least one of 2,000 sampled texts and 8 texts.
 SAMPLE, MOST, LEAST = 16, 65_536, 8
 #: Rounds of hubs at most, and how many pairs for each set and shingle end them; the exact step follows in any case.
-ROUNDS, MANY = 3, 8
-SKETCH = [f"b{k}" for k in range(8)]
+ROUNDS, MANY = 2, 8
+SKETCH = [f"b{k}" for k in range(4)]
 
 
 def shingle_set(hashes: np.ndarray) -> np.ndarray:
@@ -58,8 +59,8 @@ def shingle_set(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """For each of 512 classes of hashes, whether their number is odd: 64 bits in each of 8 integers."""
-    odd = np.bincount((hashes >> np.uint64(40)).astype(np.int64) & 511, minlength=512) & 1
+    """For each of 256 classes of hashes, whether their number is odd: 64 bits in each of 4 integers."""
+    odd = np.bincount((hashes >> np.uint64(40)).astype(np.int64) & 255, minlength=256) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -130,15 +131,14 @@ def text_sets(docs: DataFrame, shingle: int, percent: int, frequent) -> DataFram
 
 
 def members(docs: DataFrame, sets: DataFrame, shingle: int) -> DataFrame:
-    """set and hashes (its members) for each of sets (set, k1, k2), whose key names a row of docs that has it."""
+    """set and hashes (its members) for each of sets (set, k1, k2), whose keys name a row of docs that has it."""
 
     def run(batches):
-        for b in steps(batches, 0):
-            found = [shingle_set(shingle_hashes(x.as_py(), shingle)) for x in b.column(0).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["set", "hashes"])
+        for b in steps(batches, 1):
+            found = [shingle_set(shingle_hashes(x.as_py(), shingle)).tobytes() for x in b.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["set", "hashes"])
 
-    texts = docs.join(sets.select("k1", "k2"), ["k1", "k2"], "left_semi").select("text")
-    return texts.mapInArrow(run, "set binary, hashes binary").dropDuplicates(["set"])
+    return docs.join(sets.select("set", "k1", "k2"), ["k1", "k2"]).select("set", "text").mapInArrow(run, "set long, hashes binary").dropDuplicates(["set"])
 
 
 def with_both(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
@@ -155,7 +155,7 @@ def kept_pairs(rows: DataFrame, fits) -> DataFrame:
             ok = [fits(*(x.as_py() if x.type == pa.binary() else x for x in row)) for row in zip(*b.columns[2:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    return rows.mapInArrow(run, "u binary, v binary")
+    return rows.mapInArrow(run, "u long, v long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -177,7 +177,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle))
     first_row = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "k1", "k2")).alias("least")
     by_set = text_sets(docs, shingle, percent, frequent).groupBy("set").agg(first_row, *(F.first(c).alias(c) for c in ("fp", "n", "prefix", *SKETCH)))
-    sets = written(by_set.select("set", "least", "least.k1", "least.k2", "fp", "n", "prefix", *SKETCH), "sets")
+    # From here on a set has a number, which is written with it once.
+    sets = written(by_set.select(F.monotonically_increasing_id().alias("set"), "least", "least.k1", "least.k2", "fp", "n", "prefix", *SKETCH), "sets")
 
     # 1: sets whose fingerprints are equal or linked.
     heads = written(sets.groupBy("fp").agg(F.min("set").alias("v")), "heads")
@@ -187,7 +188,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     by_print = same.unionByName(across).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
     # 2: sets with a prefix shingle in common, each with the hub of that shingle; again with other hubs while too many are apart.
-    cells = sets.select("set", "n", F.posexplode("prefix").alias("pos", "key"), *SKETCH)
+    cells = sets.select("set", "n", F.posexplode("prefix").alias("pos", "key"))
     shared = written(cells.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1"), "shared")
     met = written(cells.join(shared, "key"), "met")
     col = F.col
@@ -195,13 +196,14 @@ def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     sizes = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
     apart_at_least = sum((F.bit_count(col(f"a.{c}").bitwiseXOR(col(f"b.{c}"))) for c in SKETCH), F.lit(0))
     alike = apart_at_least * (100 + percent) <= (col("a.n") + col("b.n")) * (100 - percent)
-    may = (col("a.set") != col("b.set")) & (col("a.root") != col("b.root")) & sizes & (most * (100 + percent) >= (col("a.n") + col("b.n")) * percent) & alike
+    may = (col("a.set") != col("b.set")) & (col("a.root") != col("b.root")) & sizes & (most * (100 + percent) >= (col("a.n") + col("b.n")) * percent)
     pair = (F.greatest("a.set", "b.set").alias("u"), F.least("a.set", "b.set").alias("v"))
     tried = links = None
-    apart = met.withColumn("root", col("set")).join(met.groupBy("set").agg((-F.avg("k")).alias("order")), "set")
+    orders = met.groupBy("set").agg((-F.avg("k")).alias("order"))
+    apart = met.withColumn("root", col("set")).join(orders, "set")
     for k in range(ROUNDS):
         order = F.xxhash64("set", F.lit(k)) if k else col("order")
-        hubs = apart.groupBy("key").agg(F.min(F.struct(order.alias("order"), "set", "n", "pos", "root", *SKETCH)).alias("hub")).select("key", "hub.*")
+        hubs = apart.groupBy("key").agg(F.min(F.struct(order.alias("order"), "set", "n", "pos", "root")).alias("hub")).select("key", "hub.*")
         pairs = apart.alias("a").join(hubs.alias("b"), (col("a.key") == col("b.key")) & may).select(*pair)
         pairs = (pairs if k else pairs.unionByName(by_print)).distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
@@ -217,7 +219,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
             break
 
     # 3: sets that have a shingle in common and are not connected yet.
-    rest = apart.alias("a").join(apart.alias("b"), (col("a.key") == col("b.key")) & (col("a.set") > col("b.set")) & may).select(*pair).distinct()
+    apart = apart.join(sets.select("set", *SKETCH), "set")
+    rest = apart.alias("a").join(apart.alias("b"), (col("a.key") == col("b.key")) & (col("a.set") > col("b.set")) & may & alike).select(*pair).distinct()
     rest = written(rest.join(tried, ["u", "v"], "left_anti"), "pairs")
     roots = components(links.unionByName(verified(rest, docs, sets, shingle, percent)))
     return sets.join(roots.withColumnRenamed("node", "set"), "set", "left").select("set", F.coalesce("root", "set").alias("root"), "least")
