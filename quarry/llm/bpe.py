@@ -48,7 +48,7 @@ ID_MASK = (1 << ID_BITS) - 1
 NO_RANK = 1 << 60
 WIDE_STEP = 8 << 20
 #: Words that a worker remembers at most.
-KNOWN = 400_000
+KNOWN = 150_000
 #: White space beyond ASCII.
 _SPACES = str.maketrans(dict.fromkeys("\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000", " "))
 

@@ -73,6 +73,8 @@ def steps(batches, column: int, most: int = STEP):
         held.append(batch.slice(at))
     if held:
         yield pa.concat_batches(held)
+    del held[:]
+    pa.default_memory_pool().release_unused()  # the worker may stand idle from here on
 
 
 def ascii_lower(c: Column) -> Column:

@@ -49,7 +49,9 @@ from quarry.llm.simhash import fingerprint_links, majority, shingle_hashes
 #: One text in so many tells the frequent shingles: at most MOST of them, in at least one of 2,000 sampled texts and 8 texts.
 SAMPLE, MOST, LEAST = 16, 65_536, 8
 #: Rounds of hubs at most, and how many pairs for each set and shingle end them; the exact step follows in any case.
-ROUNDS, MANY = 2, 8
+ROUNDS, MANY = 5, 8
+#: Rows, of a few numbers each, up to which a side of a join is broadcast once they are counted.
+FEW = 2_000_000
 SKETCH = [f"b{k}" for k in range(4)]
 
 
@@ -130,6 +132,11 @@ def text_sets(docs: DataFrame, shingle: int, percent: int, frequent) -> DataFram
     return docs.select("doc_id", "k1", "k2", "text").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, set binary, fp long, n int, prefix array<long>" + "".join(f", {c} long" for c in SKETCH))
 
 
+def counted(df: DataFrame) -> DataFrame:
+    """df, which is written, marked for broadcast if it has at most FEW rows."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def members(docs: DataFrame, sets: DataFrame, shingle: int) -> DataFrame:
     """set and hashes (its members) for each of sets (set, k1, k2), whose keys name a row of docs that has it."""
 
@@ -162,9 +169,10 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, p
     """The pairs (u, v) whose sets are similar."""
     array = lambda x: x.values.to_numpy().view(np.uint64)
     may = lambda a, b, m, n: may_be_similar(array(a), array(b), m.as_py(), n.as_py(), percent)
-    pairs = written(kept_pairs(with_both(pairs, sets, "prefix", "n"), may), "pairs")
-    named = pairs.select(F.explode(F.array("u", "v")).alias("set")).distinct()
-    held = written(members(docs, sets.join(named, "set", "left_semi"), shingle), "members")
+    named = lambda: counted(written(pairs.select(F.explode(F.array("u", "v")).alias("set")).distinct(), "named"))
+    pairs = written(kept_pairs(with_both(pairs, sets.join(named(), "set", "left_semi"), "prefix", "n"), may), "pairs")
+    rows = counted(written(sets.select("set", "k1", "k2").join(named(), "set", "left_semi"), "rows"))
+    held = written(members(docs, rows, shingle), "members")
     are = lambda a, b: similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent)
     return written(kept_pairs(with_both(pairs, held, "hashes"), are), "links")
 
