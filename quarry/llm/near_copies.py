@@ -11,10 +11,9 @@ whose similarity is ``percent`` or more; every link is checked on the two sets.
 2. hubs: if two sets have the similarity s, they share at least s of the larger
    one, so that the first n - ceil(s * n) + 1 members of each, in one order of
    all shingles, have a member in common. In a group with such a member in
-   common each set is compared with one, its hub: that whose members the most
-   other sets have. While many pairs of the groups
-   are still apart, other hubs follow. This joins large groups of copies in a
-   linear number of pairs.
+   common each set is compared with a few, its hubs: those whose members the
+   most other sets have. This joins large groups of copies in a linear number of
+   pairs.
 3. Only sets that are still apart are then compared with one another.
 
 A pair is made only if the sizes and the place of the shared member allow s, and
@@ -39,7 +38,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import steps, written
@@ -48,8 +47,8 @@ from quarry.llm.simhash import fingerprint_links, majority, shingle_hashes
 
 #: One text in so many tells the frequent shingles: at most MOST of them, in at least one of 2,000 sampled texts and 8 texts.
 SAMPLE, MOST, LEAST = 16, 65_536, 8
-#: Rounds of hubs at most, and how many pairs for each set and shingle end them; the exact step follows in any case.
-ROUNDS, MANY = 5, 8
+#: Rounds of hubs at most, how many pairs for each set and shingle end them, and hubs of a group; the exact step follows in any case.
+ROUNDS, MANY, HUBS = 1, 8, 6
 #: Rows, of a few numbers each, up to which a side of a join is broadcast once they are counted.
 FEW = 2_000_000
 SKETCH = [f"b{k}" for k in range(4)]
@@ -211,7 +210,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     apart = met.withColumn("root", col("set")).join(orders, "set")
     for k in range(ROUNDS):
         order = F.xxhash64("set", F.lit(k)) if k else col("order")
-        hubs = apart.groupBy("key").agg(F.min(F.struct(order.alias("order"), "set", "n", "pos", "root")).alias("hub")).select("key", "hub.*")
+        first = F.row_number().over(Window.partitionBy("key").orderBy(order, "set"))
+        hubs = apart.withColumn("first", first).filter(F.col("first") <= HUBS).select("key", "set", "n", "pos", "root")
         pairs = apart.alias("a").join(hubs.alias("b"), (col("a.key") == col("b.key")) & may).select(*pair)
         pairs = (pairs if k else pairs.unionByName(by_print)).distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
