@@ -14,7 +14,8 @@ whose similarity is ``percent`` or more; every link is checked on the two sets.
    common each set is compared with a few, its hubs: those whose members the
    most other sets have. This joins large groups of copies in a linear number of
    pairs.
-3. Only sets that are still apart are then compared with one another.
+3. Only sets that are still apart are then compared with one another, of each two
+   components the closest pair first.
 
 A pair is made only if the sizes and the place of the shared member allow s, and
 in step 3 a sketch too. The sketch has a bit for each of 256 classes of hashes: whether the set
@@ -47,11 +48,11 @@ from quarry.llm.simhash import fingerprint_links, majority, shingle_hashes
 
 #: One text in so many tells the frequent shingles: at most MOST of them, in at least one of 2,000 sampled texts and 8 texts.
 SAMPLE, MOST, LEAST = 16, 65_536, 8
-#: Rounds of hubs at most, how many pairs for each set and shingle end them, and hubs of a group; the exact step follows in any case.
-ROUNDS, MANY, HUBS = 1, 8, 6
+SKETCH = [f"b{k}" for k in range(4)]
+#: Hubs of a group; the exact step follows whatever they link.
+HUBS = 3
 #: Rows, of a few numbers each, up to which a side of a join is broadcast once they are counted.
 FEW = 2_000_000
-SKETCH = [f"b{k}" for k in range(4)]
 
 
 def shingle_set(hashes: np.ndarray) -> np.ndarray:
@@ -205,30 +206,27 @@ def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     alike = apart_at_least * (100 + percent) <= (col("a.n") + col("b.n")) * (100 - percent)
     may = (col("a.set") != col("b.set")) & (col("a.root") != col("b.root")) & sizes & (most * (100 + percent) >= (col("a.n") + col("b.n")) * percent)
     pair = (F.greatest("a.set", "b.set").alias("u"), F.least("a.set", "b.set").alias("v"))
-    tried = links = None
-    orders = met.groupBy("set").agg((-F.avg("k")).alias("order"))
-    apart = met.withColumn("root", col("set")).join(orders, "set")
-    for k in range(ROUNDS):
-        order = F.xxhash64("set", F.lit(k)) if k else col("order")
-        first = F.row_number().over(Window.partitionBy("key").orderBy(order, "set"))
-        hubs = apart.withColumn("first", first).filter(F.col("first") <= HUBS).select("key", "set", "n", "pos", "root")
-        pairs = apart.alias("a").join(hubs.alias("b"), (col("a.key") == col("b.key")) & may).select(*pair)
-        pairs = (pairs if k else pairs.unionByName(by_print)).distinct()
-        pairs = written(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        found = verified(pairs, docs, sets, shingle, percent)
-        tried, links = (pairs, found) if tried is None else (tried.unionByName(pairs), links.unionByName(found))
-        roots = components(links)
-        apart = met.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-        groups = written(apart.groupBy("key", "root").agg(F.count("*").alias("c")), "groups")
-        open_keys = groups.groupBy("key").agg(F.sum("c").alias("c"), F.count("*").alias("r"), F.sum(col("c") * col("c")).alias("c2")).filter("r > 1")
-        left = open_keys.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("rows"), F.coalesce(F.sum((col("c") * col("c") - col("c2")) / 2), F.lit(0)).alias("pairs")).first()
-        apart = written(apart.join(open_keys.select("key"), "key", "left_semi"), "apart")
-        if left["pairs"] <= MANY * left["rows"]:
-            break
+    start = met.withColumn("root", col("set"))
+    first = F.row_number().over(Window.partitionBy("key").orderBy("order", "set"))
+    hubs = start.join(met.groupBy("set").agg((-F.avg("k")).alias("order")), "set").withColumn("first", first).filter(F.col("first") <= HUBS)
+    tried = written(start.alias("a").join(hubs.alias("b"), (col("a.key") == col("b.key")) & may).select(*pair).unionByName(by_print).distinct(), "pairs")
+    links = verified(tried, docs, sets, shingle, percent)
 
     # 3: sets that have a shingle in common and are not connected yet.
+    apart = met.join(components(links).withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    open_keys = apart.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
+    apart = written(apart.join(open_keys, "key", "left_semi"), "apart")
     apart = apart.join(sets.select("set", *SKETCH), "set")
-    rest = apart.alias("a").join(apart.alias("b"), (col("a.key") == col("b.key")) & (col("a.set") > col("b.set")) & may & alike).select(*pair).distinct()
+    both = apart.alias("a").join(apart.alias("b"), (col("a.key") == col("b.key")) & (col("a.set") > col("b.set")) & may & alike)
+    rest = both.select(*pair, col("a.root").alias("ru"), col("b.root").alias("rv"), apart_at_least.alias("far")).distinct()
     rest = written(rest.join(tried, ["u", "v"], "left_anti"), "pairs")
-    roots = components(links.unionByName(verified(rest, docs, sets, shingle, percent)))
+    # Of each two components the closest pair first: what that connects needs no other pair.
+    by_root = [F.greatest("ru", "rv").alias("x"), F.least("ru", "rv").alias("y")]
+    best = written(rest.groupBy(*by_root).agg(F.min(F.struct("far", "u", "v")).alias("p")).select("x", "y", "p.u", "p.v"), "best")
+    closest = verified(best.select("u", "v"), docs, sets, shingle, percent)
+    merged = components(best.join(closest, ["u", "v"]).select(F.col("x").alias("u"), F.col("y").alias("v")))
+    now = lambda c: merged.select(F.col("node").alias(c), F.col("root").alias(f"{c}_now"))
+    rest = rest.join(now("ru"), "ru", "left").join(now("rv"), "rv", "left").filter(F.coalesce("ru_now", "ru") != F.coalesce("rv_now", "rv")).select("u", "v")
+    rest = written(rest.join(best, ["u", "v"], "left_anti"), "pairs")
+    roots = components(links.unionByName(closest).unionByName(verified(rest, docs, sets, shingle, percent)))
     return sets.join(roots.withColumnRenamed("node", "set"), "set", "left").select("set", F.coalesce("root", "set").alias("root"), "least")
