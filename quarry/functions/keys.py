@@ -54,38 +54,54 @@ def contract_name(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(name), r"[^a-z0-9]", ""), r"(dto|model|schema|entity|contract|props)$", "")
 
 
-#: File extensions of the languages.
+#: Languages by file name, and by file extension where it is not the language's own name.
+LANGUAGE_NAMES = {
+    "go.mod": "gomod", "go.sum": "gosum", "go.work": "gowork", "pyproject.toml": "python_project", "requirements.txt": "python_project", "setup.cfg": "python_project",
+    "pipfile": "python_project", "poetry.lock": "python_project", "uv.lock": "python_project", "pom.xml": "java_project", "build.gradle": "java_project",
+    "settings.gradle": "java_project", "build.gradle.kts": "kotlin_project", "settings.gradle.kts": "kotlin_project", "composer.json": "php_project", "composer.lock": "php_project",
+    "gemfile": "ruby_project", "gemfile.lock": "ruby_project", "cmakelists.txt": "cmake", "makefile": "makefile", "compile_commands.json": "compile_commands",
+    "package.swift": "swift_project", "pubspec.yaml": "dart_project", "analysis_options.yaml": "dart_project", ".env": "env", ".env.example": "env", ".env.sample": "env",
+    ".env.defaults": "env", ".env.template": "env", "example.env": "env", "sample.env": "env", "dockerfile": "dockerfile",
+}
 LANGUAGES = {
-    "rs": "rust", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "py": "python", "go": "go", "cs": "csharp",
-    "java": "java", "kt": "kotlin", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "dart": "dart", "swift": "swift", "html": "html", "css": "css",
-    "scss": "scss", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "xml": "xml", "sql": "sql", "md": "markdown", "sh": "shell", "xaml": "xaml",
+    "js": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "mts": "typescript", "cts": "typescript", "cs": "csharp", "py": "python", "kt": "kotlin",
+    "kts": "kotlin", "rb": "ruby", "h": "c_header", "cc": "cpp", "cxx": "cpp", "hpp": "cpp_header", "hh": "cpp_header", "m": "objective_c", "mm": "objective_cpp", "yml": "yaml",
+    "htm": "html", "cshtml": "html", "erb": "html", "ejs": "html", "hbs": "html", "sass": "scss", "rs": "rust", "md": "markdown", "sh": "shell",
 }
-LANGUAGE_NAMES = {"dockerfile": "dockerfile", "makefile": "makefile"}
 
 
 def language_of(path: Column) -> Column:
-    """From the file's name, then its extension; an unknown extension is its own language."""
+    """From the file's name, then its extension; an unknown extension is its own language, no extension is null."""
     name = F.lower(F.element_at(F.split(path, "/"), -1))
-    ext = F.when(name.contains("."), F.element_at(F.split(name, r"\."), -1))
+    ext = F.when(name.rlike(r"^.+\.[^.]*$"), F.element_at(F.split(name, r"\."), -1))
     lookup = lambda t, c: F.element_at(F.create_map(*(F.lit(x) for kv in t.items() for x in kv)), c)
-    return F.coalesce(lookup(LANGUAGE_NAMES, name), lookup(LANGUAGES, ext), ext)
+    return F.when(name.startswith(".env."), "env").when(name.endswith(".ksql.sql"), "ksql").otherwise(F.coalesce(lookup(LANGUAGE_NAMES, name), lookup(LANGUAGES, ext), ext))
 
 
-#: Directories that a scan leaves out.
+#: What a scan leaves out: directories, file names ("*" for any start) and extensions.
 IGNORED_DIRS = [
-    ".git", ".hg", ".svn", "node_modules", "target", "dist", "build", "out", "bin", "obj", ".next", "__pycache__", "vendor", "coverage",
+    ".git", "target", "node_modules", ".next", "dist", "out", "coverage", "bin", "obj", "build", ".vs", ".nuxt", ".qdrant",
+]
+IGNORED_NAMES = [
+    "project.assets.json", "deps.json", "*.deps.json", "runtimeconfig.json", "*.runtimeconfig.json", "lcov.info", "coverage.xml", "junit.xml", "app.deps.json",
+]
+IGNORED_EXTENSIONS = [
+    "dll", "exe", "pdb", "so", "dylib", "class", "jar", "wasm", "bin", "zip", "rar", "7z", "tar", "gz", "tgz", "bz2", "png", "jpg", "jpeg", "webp", "gif", "ico", "svgz",
+    "mp4", "mov", "avi", "mkv", "mp3", "wav", "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "log", "dmp", "dump", "trace", "etl", "har", "db", "sqlite", "sqlite3",
+    "mdf", "ldf", "bak", "trx", "coverage", "coveragexml", "xml",
 ]
-IGNORED_EXTENSIONS = ["png", "jpg", "jpeg", "gif", "ico", "pdf", "zip", "gz", "exe", "dll", "so", "class", "jar", "lock", "log", "xml"]
 
 
 def skip_reason(path: Column) -> Column:
-    """Why a scan leaves a path out, or null."""
+    """Why a scan leaves a path out, or null: any segment first, then the file's name, then its extension, whatever the case."""
     parts = F.split(F.lower(path), "/")
-    ext = F.element_at(F.split(F.element_at(parts, -1), r"\."), -1)
-    dirs = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    return F.when(F.arrays_overlap(dirs, F.array(*map(F.lit, IGNORED_DIRS))), "ignored_directory").when(ext.isin(IGNORED_EXTENSIONS), "ignored_extension").when(
-        F.element_at(parts, -1).rlike(r"(^\.env|\.min\.js$|\.map$)"), "ignored_name"
-    )
+    name = F.element_at(parts, -1)
+    ext = F.when(name.rlike(r"^.+\.[^.]*$"), F.element_at(F.split(name, r"\."), -1))
+    named = name.isin([x for x in IGNORED_NAMES if "*" not in x])
+    for x in (x[1:] for x in IGNORED_NAMES if "*" in x):
+        named = named | name.endswith(x)
+    in_dir = F.arrays_overlap(parts, F.array(*map(F.lit, IGNORED_DIRS)))
+    return F.when(in_dir, "ignored_directory").when(named, "ignored_name").when(ext.isin(IGNORED_EXTENSIONS), "ignored_extension")
 
 
 #: Two-letter states of files in conflict.
@@ -102,16 +118,19 @@ def change_status(x: Column, y: Column) -> Column:
     )
 
 
-#: Families of commands.
+#: Families of commands by their first word.
 COMMAND_FAMILIES = {
-    "git": "git", "cargo": "cargo", "npm": "npm", "pnpm": "npm", "yarn": "npm", "pytest": "pytest", "python": "python", "go": "go", "dotnet": "dotnet",
-    "docker": "docker", "kubectl": "kubectl", "rg": "search", "grep": "search", "find": "search", "cat": "preview", "ls": "preview",
+    "git": "git", "cargo": "cargo", "dotnet": "dotnet", "npm": "npm", "npx": "npm", "pnpm": "pnpm", "yarn": "yarn", "ng": "ng", "tsc": "tsc", "eslint": "eslint",
+    "docker": "docker", "docker-compose": "docker_compose", "rg": "rg", "ripgrep": "rg", "grep": "grep", "cat": "cat", "type": "cat", "get-content": "cat", "tree": "tree",
 }
 
 
 def command_family(command: Column) -> Column:
-    first = F.element_at(F.split(F.lower(F.trim(command)), " "), 1)
-    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in COMMAND_FAMILIES.items() for x in kv)), first), F.lit("generic"))
+    """By the first word, without quotes and .exe; "docker compose" is a family of its own, any other word is unknown."""
+    words = F.split(F.lower(F.regexp_replace(F.coalesce(command, F.lit("")), r"^\s+", "")), r"\s+")
+    first = F.regexp_replace(F.regexp_replace(words[0], '^"+|"+$', ""), r"(\.exe)+$", "")
+    known = F.element_at(F.create_map(*(F.lit(x) for kv in COMMAND_FAMILIES.items() for x in kv)), first)
+    return F.when((first == "docker") & (F.get(words, F.lit(1)) == "compose"), "docker_compose").otherwise(F.coalesce(known, F.lit("unknown")))
 
 
 def intent(query: Column) -> Column:

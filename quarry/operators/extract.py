@@ -7,7 +7,7 @@ second is the path). All rules of a language run on a line in one projection.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.keys import language_of
@@ -95,9 +95,17 @@ DATA_ACCESS = [
 CLIENTS = r"\b(?:fetch\(\s*|(?:axios|http|client)\.(?:get|post|put|patch|delete)\(\s*|http\.(?:Get|Post)\(\s*|(?:Get|Post|Put|Delete)Async\(\s*)['\"]([^'\"]+)['\"]"
 
 
+#: Languages that take the rules of another one.
+RULES_OF = {"tsx": "typescript", "jsx": "javascript", "c_header": "c", "cpp_header": "cpp"}
+
+
+def rules_language(path: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in RULES_OF.items() for x in kv)), language_of(path)), language_of(path))
+
+
 def numbered_lines(files: DataFrame) -> DataFrame:
     """path, language, line, s: every line of every file once."""
-    return files.select("path", language_of(F.col("path")).alias("language"), F.posexplode(F.split(F.coalesce("content", F.lit("")), "\n")).alias("i", "s")).select("path", "language", (F.col("i") + 1).alias("line"), "s")
+    return files.select("path", rules_language(F.col("path")).alias("language"), F.posexplode(F.split(F.coalesce("content", F.lit("")), "\n")).alias("i", "s")).select("path", "language", (F.col("i") + 1).alias("line"), "s")
 
 
 def _hits(lines: DataFrame, rules, fields) -> DataFrame:

@@ -9,15 +9,30 @@ from quarry.functions.keys import change_status
 
 
 def parse_porcelain(text: DataFrame, column: str) -> DataFrame:
-    """path, status, staged, unstaged of status entries: two letters, a space and a path, NUL-separated; a rename's old path follows its entry."""
-    entries = text.select(F.posexplode(F.split(column, "\0")).alias("i", "e"))
-    from pyspark.sql import Window
+    """path, old_path, status, staged, unstaged of status entries: two letters, a space and a path, NUL-separated; a rename's old path follows its entry.
 
-    w = Window.orderBy("i")
-    rows = entries.withColumn("before", F.lag("e").over(w))
-    rows = rows.filter((F.col("e") != "") & ~F.coalesce(F.substring("before", 1, 1).isin("R", "C"), F.lit(False)))
-    x, y = F.substring("e", 1, 1), F.substring("e", 2, 1)
-    return rows.select(F.expr("substring(e, 4)").alias("path"), change_status(x, y).alias("status"), (~x.isin(" ", "?")).alias("staged"), (y != " ").alias("unstaged"))
+    Each row is a listing of its own, read from its start within the row. Files in
+    conflict and untracked ones are neither staged nor unstaged. Null and empty
+    listings have no entries.
+    """
+    out = "array<struct<e:string,old:string>>"
+    zero = F.struct(F.array().cast(out).alias("out"), F.lit(None).cast("string").alias("open"))
+
+    def step(a, e):
+        moved = F.substring(e, 1, 1).isin("R", "C") | F.substring(e, 2, 1).isin("R", "C")
+        one = lambda entry, old: F.array_append(a["out"], F.struct(entry.alias("e"), old.alias("old")))
+        none = F.lit(None).cast("string")
+        return (
+            F.when(a["open"].isNotNull(), F.struct(one(a["open"], e).alias("out"), none.alias("open")))
+            .when(F.length(e) < 4, a).when(moved, F.struct(a["out"].alias("out"), e.alias("open"))).otherwise(F.struct(one(e, none).alias("out"), none.alias("open")))
+        )
+
+    entries = F.aggregate(F.split(F.coalesce(column, F.lit("")), "\0"), zero, step, lambda a: a["out"])
+    rows = text.select(F.explode(entries).alias("x")).select("x.e", "x.old")
+    x, y, status = F.substring("e", 1, 1), F.substring("e", 2, 1), F.col("status")
+    plain = ~status.isin("conflicted", "untracked")
+    rows = rows.withColumn("status", change_status(x, y))
+    return rows.select(F.expr("substring(e, 4)").alias("path"), F.col("old").alias("old_path"), "status", (plain & (x != " ")).alias("staged"), (plain & (y != " ")).alias("unstaged"))
 
 
 def diff_summary(changes: DataFrame) -> DataFrame:
@@ -43,10 +58,10 @@ def merge_counts(counts: DataFrame) -> DataFrame:
 
 
 def freshness(rows: DataFrame) -> DataFrame:
-    """rows with reasons and the worst status: unknown, unsafe, stale, dirty, fresh."""
+    """rows with reasons and the worst status: unsafe, stale, dirty, fresh. Without a snapshot (known is false) an index is stale."""
     tests = {
-        "no_snapshot": ~F.col("known"), "branch_changed": F.col("branch_now") != F.col("branch_indexed"),
-        "commit_changed": F.col("commit_now") != F.col("commit_indexed"), "dirty": F.col("dirty"),
+        "no_snapshot": ~F.col("known"), "branch_changed": F.col("known") & (F.col("branch_now") != F.col("branch_indexed")),
+        "commit_changed": F.col("known") & (F.col("commit_now") != F.col("commit_indexed")), "dirty": F.col("dirty"),
     }
-    worst = F.when(tests["no_snapshot"], "unknown").when(tests["branch_changed"], "unsafe").when(tests["commit_changed"], "stale").when(tests["dirty"], "dirty").otherwise("fresh")
+    worst = F.when(tests["branch_changed"], "unsafe").when(tests["no_snapshot"] | tests["commit_changed"], "stale").when(tests["dirty"], "dirty").otherwise("fresh")
     return rows.withColumns({"reasons": F.array_compact(F.array(*(F.when(t, k) for k, t in tests.items()))), "status": worst})

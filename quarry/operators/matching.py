@@ -12,7 +12,7 @@ def match_routes(clients: DataFrame, servers: DataFrame) -> DataFrame:
     """client_id, server_id, rule, confidence for clients and servers (id, project, method, path) of different projects.
 
     Equal paths join by path; patterns join by method, number of segments and
-    first segment, with the comparison of segments left over. The first rule that
+    their first literal segment, with the comparison of segments left over. The first rule that
     holds counts: exact 9000, unknown method 6000, pattern 8000, other method 3000.
     """
     c = clients.select("client_id", F.col("project").alias("cp"), F.col("method").alias("cm"), F.col("path").alias("cpath"))
@@ -20,10 +20,14 @@ def match_routes(clients: DataFrame, servers: DataFrame) -> DataFrame:
     same = c.join(s, (F.col("cpath") == F.col("spath")) & (F.col("cp") != F.col("sp")))
     rule = F.when(F.col("cm") == F.col("sm"), "exact").when(F.col("cm").isNull() | F.col("sm").isNull(), "unknown_method").otherwise("other_method")
     equal = same.select("client_id", "server_id", rule.alias("rule"))
-    shape = lambda df, p: df.withColumns({f"{p}n": F.size(segments(F.col(f"{p}path"))), f"{p}first": F.element_at(F.split(f"{p}path", "/"), 2)})
-    near = (F.col("cn") == F.col("sn")) & (F.col("cm") == F.col("sm")) & (F.col("cfirst") == F.col("sfirst")) & (F.col("cp") != F.col("sp")) & (F.col("cpath") != F.col("spath"))
-    params = shape(s, "s").filter(F.col("spath").contains("{id}") & (F.col("sfirst") != "{id}"))
-    patterns = shape(c, "c").join(params, near).filter(pattern_fits(F.col("spath"), F.col("cpath"))).select("client_id", "server_id", F.lit("pattern").alias("rule"))
+    # A pattern meets a path by method, number of segments and its first literal segment with the place; so each pair meets once.
+    placed = lambda path: F.transform(segments(F.col(path)), lambda x, i: F.struct(i.alias("at"), x.alias("s")))
+    nowhere = F.struct(F.lit(-1).alias("at"), F.lit("").alias("s"))
+    params = s.filter(F.col("spath").contains("{id}")).withColumn("p", F.coalesce(F.get(F.filter(placed("spath"), lambda x: x["s"] != "{id}"), F.lit(0)), nowhere))
+    params = params.select("server_id", "sp", "sm", "spath", F.size(segments(F.col("spath"))).alias("sn"), "p.at", "p.s")
+    paths = c.withColumn("p", F.explode(F.concat(placed("cpath"), F.array(nowhere)))).select("client_id", "cp", "cm", "cpath", F.size(segments(F.col("cpath"))).alias("cn"), "p.at", "p.s")
+    near = (F.col("cn") == F.col("sn")) & (F.col("cm") == F.col("sm")) & (paths["at"] == params["at"]) & (paths["s"] == params["s"]) & (F.col("cp") != F.col("sp")) & (F.col("cpath") != F.col("spath"))
+    patterns = paths.join(params, near).filter(pattern_fits(F.col("spath"), F.col("cpath"))).select("client_id", "server_id", F.lit("pattern").alias("rule"))
     worth = F.create_map(*map(F.lit, ["exact", 9000, "unknown_method", 6000, "pattern", 8000, "other_method", 3000]))
     return equal.unionByName(patterns).withColumn("confidence", F.element_at(worth, F.col("rule")))
 
@@ -49,10 +53,10 @@ def match_messages(producers: DataFrame, consumers: DataFrame, key: str) -> Data
 
 
 def match_packages(consumers: DataFrame, providers: DataFrame) -> DataFrame:
-    """consumer_id, provider_id (null: external), rule, confidence for entries (id, project, ecosystem, name)."""
+    """consumer_id, provider_id (null: external), rule, confidence for entries (id, project, ecosystem, name); providers of other projects only."""
     norm = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), F.col("project").alias(f"{p}_project"), "ecosystem", package_name(F.col("ecosystem"), F.col("name")).alias("key"), F.col("name").alias(f"{p}_name"))
     c, s = norm(consumers, "consumer"), norm(providers, "provider")
-    hits = c.join(s.withColumn("pp", F.col("provider_project")), ["ecosystem", "key"]).select("consumer_id", "provider_id", F.when(F.col("consumer_name") == F.col("provider_name"), "exact").otherwise("normalized").alias("rule"))
+    hits = c.join(s.withColumn("pp", F.col("provider_project")), ["ecosystem", "key"]).filter("consumer_project <> pp").select("consumer_id", "provider_id", F.when(F.col("consumer_name") == F.col("provider_name"), "exact").otherwise("normalized").alias("rule"))
     external = c.join(hits, "consumer_id", "left_anti").select("consumer_id", F.lit(None).cast("bigint").alias("provider_id"), F.lit("external").alias("rule"))
     worth = F.create_map(*map(F.lit, ["exact", 9000, "normalized", 8000, "external", 6000]))
     return hits.unionByName(external).withColumn("confidence", F.element_at(worth, F.col("rule")))
@@ -79,6 +83,20 @@ def selector_matches(selectors: DataFrame, labelled: DataFrame) -> DataFrame:
     return parts.join(have, "label").groupBy("selector_id", "conv_id").agg(F.count("*").alias("n"), F.first("need").alias("need")).filter("n = need").select("selector_id", "conv_id")
 
 
+def selector_counts(selectors: DataFrame, labelled: DataFrame) -> DataFrame:
+    """selector_id, n, first_conv: how many rows of labelled (conv_id, labels) have all parts of each selector, and the first of them.
+
+    Equal selectors and equal label sets are one row each before they are joined,
+    so labels that nearly all rows carry cost no more than their distinct sets.
+    """
+    parts, have = selectors.select("selector_id", F.sort_array(F.array_distinct("selector")).alias("selector")), labelled.select("conv_id", F.sort_array("labels").alias("labels"))
+    kinds = have.groupBy("labels").agg(F.count("*").alias("n"), F.min("conv_id").alias("first_conv"))
+    asked = parts.select("selector").distinct()
+    found = selector_matches(asked.select(F.col("selector").alias("selector_id"), "selector"), kinds.select(F.col("labels").alias("conv_id"), "labels"))
+    told = found.join(kinds, F.col("conv_id") == F.col("labels")).groupBy(F.col("selector_id").alias("selector")).agg(F.sum("n").alias("n"), F.min("first_conv").alias("first_conv"))
+    return parts.join(told, "selector").select("selector_id", "n", "first_conv")
+
+
 def federated_collect(rows: DataFrame, project: str, order: list, each: int, most: int) -> DataFrame:
     """The first rows of each project, then the first of all."""
     w = Window.partitionBy(project).orderBy(*order)

@@ -95,16 +95,20 @@ SQL["graph_self_loops"] = f"with {G3} select src as node, confidence from g3 whe
 
 
 def _pagerank(rounds: int) -> str:
-    out = [f"{G3}, {NODES}, o as (select src, count(*) as o from g3 group by src), r0 as (select node, 1.0::double / (select count(*) from nodes) as rank from nodes)"]
+    out = [f"{G3}, {NODES}, o as (select src, count(*) as o from g3 group by src), r0 as materialized (select node, 1.0::double / (select count(*) from nodes) as rank from nodes)"]
     for k in range(rounds):
         out.append(
-            f"r{k + 1} as (select n.node, 0.15 / (select count(*) from nodes) + 0.85 * (coalesce((select sum(r.rank / o.o) from g3 join r{k} r on r.node = g3.src join o on o.src = g3.src where g3.dst = n.node), 0)"
+            f"r{k + 1} as materialized (select n.node, 0.15 / (select count(*) from nodes) + 0.85 * (coalesce((select sum(r.rank / o.o) from g3 join r{k} r on r.node = g3.src join o on o.src = g3.src where g3.dst = n.node), 0)"
             f" + coalesce((select sum(rank) from r{k} where node not in (select src from o)), 0) / (select count(*) from nodes)) as rank from nodes n)"
         )
-    return "with " + ", ".join(out) + f" select node, round(rank, 6) as rank from r{rounds}"
+    # The first round after which the ranks moved by less than the tolerance in all, else the last.
+    out += [f"m{k} as materialized (select sum(abs(a.rank - b.rank)) as m from r{k} a join r{k - 1} b using (node))" for k in range(1, rounds + 1)]
+    still = lambda k: "".join(f" and (select m from m{i}) >= 0.0001" for i in range(1, k))
+    ends = [f"select node, round(rank, 6) as rank from r{k} where " + (f"(select m from m{k}) < 0.0001" if k < rounds else "true") + still(k) for k in range(1, rounds + 1)]
+    return "with " + ", ".join(out) + " " + " union all ".join(ends)
 
 
-SQL["graph_pagerank"] = _pagerank(4)
+SQL["graph_pagerank"] = _pagerank(20)
 SQL["centrality_rank"] = f"""with {_DEG} select node, least(80, trunc(500 * (in_degree / 100)) + trunc(40 * degree) + least(in_degree, 10))::bigint as boost,
  least(18, trunc(120 * (in_degree / 100)) + trunc(20 * degree) + least(in_degree, 10))::bigint as risk, (trunc(1e6 * (in_degree / 100)) + trunc(1e4 * degree) + in_degree)::bigint as sort_score from deg"""
 SQL["impact_set"] = f"""with recursive {G3}, walk as (select 0 as node, 0 as distance union select src, distance + 1 from walk join g3 on dst = node where distance < 2),
@@ -138,7 +142,7 @@ SQL["env_refs"] = r"select doc_id, len(regexp_extract_all(text, '\b(?:version|Li
 SQL["route_match"] = rf"""
 with p as (select page_id as id, {_PATH} as path from pages),
 c as (select id, id % 5 as project, case id % 3 when 0 then null when 1 then 'GET' else 'POST' end as method, path, list_filter(string_split(path, '/'), lambda x: x <> '') as seg from p),
-s as (select id, id % 7 as project, 'GET' as method, path, list_filter(string_split(path, '/'), lambda x: x <> '') as seg from (select id, regexp_replace(path, '/[0-9]+[^/]*$', '/{{id}}') as path from p where id % 10 = 0)),
+s as (select id, id % 7 as project, 'GET' as method, path, list_filter(string_split(path, '/'), lambda x: x <> '') as seg from (select id, regexp_replace(path, '/[0-9]+[^/]*$', '/{{id}}') as path from p)),
 m as (select c.id as client_id, s.id as server_id, case when c.path = s.path then case when c.method = s.method then 'exact' when c.method is null then 'unknown_method' else 'other_method' end
   when c.method = s.method and len(c.seg) = len(s.seg) and s.path like '%{{id}}%' and s.seg[1] <> '{{id}}' and len(list_filter(list_zip(c.seg, s.seg), lambda z: z[1] <> z[2] and z[2] <> '{{id}}')) = 0 then 'pattern' end as rule
   from c join s on c.project <> s.project)
@@ -152,9 +156,9 @@ r as (select name, case when pb = cb and pk = ck then 'exact' when pb = cb and f
 select name, rule, count(*) as n, (case rule when 'unknown_broker' then 6000 when 'conflicting_broker' then 3000 else 9000 end)::bigint as confidence from r where rule is not null group by all
 """
 SQL["package_match"] = """
-with p as (select p_partkey, p_partkey % 3 as project, ['npm', 'rust', 'go'][p_partkey % 3 + 1] as ecosystem, p_brand || '_' || p_size as name from part),
+with p as (select p_partkey, p_partkey % 5 as project, ['npm', 'rust', 'go'][p_partkey % 3 + 1] as ecosystem, p_brand || '_' || p_size as name from part),
 k as (select project, ecosystem, name, case when ecosystem = 'rust' then replace(lower(name), '_', '-') when ecosystem = 'go' then regexp_replace(lower(name), '/+$', '') else lower(name) end as key, p_partkey % 2 as side, min(p_partkey) as id from p group by all),
-h as (select c.id as consumer_id, s.id as provider_id, case when c.name = s.name then 'exact' else 'normalized' end as rule from k c join k s on c.ecosystem = s.ecosystem and c.key = s.key and c.side = 1 and s.side = 0)
+h as (select c.id as consumer_id, s.id as provider_id, case when c.name = s.name then 'exact' else 'normalized' end as rule from k c join k s on c.ecosystem = s.ecosystem and c.key = s.key and c.project <> s.project and c.side = 1 and s.side = 0)
 select consumer_id, provider_id, rule, (case rule when 'exact' then 9000 else 8000 end)::bigint as confidence from h
 union all select id, null, 'external', 6000 from k where side = 1 and id not in (select consumer_id from h)
 """
@@ -164,7 +168,7 @@ select a.id as left_id, b.id as right_id, (case when a.name in ('user','item','d
 from p a join p b on a.name = b.name and a.id < b.id and a.project <> b.project
 """
 SQL["infra_selector_subset"] = """
-with l as (select conv_id, list(distinct role || '=' || (turn % 3)) as labels from conversations group by conv_id), s as (select conv_id as selector_id, list_distinct([role || '=0', 'assistant=1']) as sel from conversations where turn = 0 and conv_id % 20 = 0)
+with l as (select conv_id, list(distinct role || '=' || (turn % 3)) as labels from conversations group by conv_id), s as (select conv_id as selector_id, list_distinct([role || '=0', 'assistant=1']) as sel from conversations where turn = 0)
 select selector_id, count(*) as n, min(conv_id) as first_conv from s join l on list_has_all(labels, sel) group by selector_id
 """
 SQL["federated_counts_rollup"] = "select c_mktsegment, o_orderstatus, count(*) as n, count(distinct o_custkey) as n_customers from orders join customer on o_custkey = c_custkey group by rollup (c_mktsegment, o_orderstatus)"
@@ -185,10 +189,9 @@ select count(*) as files, count(*) as staged, count_if(y <> ' ')::bigint as unst
 SQL["diff_impact_join"] = "select l_orderkey as path, count(*) as n, count(distinct l_partkey) as n_parts from lineitem where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'P') group by l_orderkey"
 SQL["freshness_status"] = """
 with r as (select o_custkey % 11 <> 0 as a, o_orderpriority <> '1-URGENT' as b, o_orderkey % 3 <> 0 as c, o_orderstatus = 'O' as d from orders)
-select case when a then 'unknown' when b then 'unsafe' when c then 'stale' when d then 'dirty' else 'fresh' end as status, count(*) as n, sum(a::int + b::int + c::int + d::int)::bigint as n_reasons from r group by 1
+select case when not a and b then 'unsafe' when a or c then 'stale' when d then 'dirty' else 'fresh' end as status, count(*) as n, sum(a::int + (not a and b)::int + (not a and c)::int + d::int)::bigint as n_reasons from r group by 1
 """
-SQL["numstat_merge"] = "select l_orderkey::varchar as path, sum(case when l_linenumber > 1 then l_linenumber end)::bigint as added, sum(case when l_linenumber > 1 then 2 end)::bigint as deleted from lineitem where l_orderkey <= 1000 group by l_orderkey"
-SQL["numstat_merge_all"] = "select l_orderkey::varchar as path, sum(case when l_linenumber > 1 then l_linenumber end)::bigint as added, sum(case when l_linenumber > 1 then 2 end)::bigint as deleted from lineitem group by l_orderkey"
+SQL["numstat_merge"] = "select l_orderkey::varchar as path, sum(case when l_linenumber > 1 then l_linenumber end)::bigint as added, sum(case when l_linenumber > 1 then 2 end)::bigint as deleted from lineitem group by l_orderkey"
 SQL["compact_log_summary"] = r"""
 with d as (select doc_id, coalesce(text, '') as t, string_split(coalesce(text, ''), chr(10)) as ls from documents),
 h as (select *, list_filter(ls, lambda x: regexp_matches(x, '(?i)\b(error|failed|failure|panic|warning|exception)\b'))[1:40] as hit from d),
@@ -201,10 +204,10 @@ c as (select *, sum(strlen(s) + 1) over (partition by doc_id order by i) as used
 k as (select doc_id, i, s, used, used <= 920 as ok, min(case when used > 920 then i end) over (partition by doc_id) as stop from c)
 select doc_id, count_if(ok)::bigint as n_kept, max(stop) is not null as truncated, coalesce(max(case when ok then used end), 0)::bigint as used, md5(coalesce(string_agg(case when ok then s end, chr(10) order by i), '')) as kept from k group by doc_id
 """
-SQL["command_families"] = "select conv_id, turn, ['git', 'cargo', 'npm', 'search', 'generic', 'docker'][turn % 6 + 1] as family from conversations"
+SQL["command_families"] = "select conv_id, turn, ['git', 'cargo', 'yarn', 'rg', 'unknown', 'docker'][turn % 6 + 1] as family from conversations"
 SQL["rename_occurrences"] = r"with r as (select doc_id, len(list_filter(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: x = 'the'))::bigint as n from documents) select * from r where n > 0"
 SQL["quality_hit_mrr"] = """
-with q as (select vec_id as q, label as ql, embedding::double[] as qe from embeddings where vec_id < 20),
+with q as (select vec_id as q, label as ql, embedding::double[] as qe from embeddings where vec_id % 100 = 0),
 s as (select q, ql, label, row_number() over (partition by q order by round(list_cosine_similarity(embedding::double[], qe), 6) desc, vec_id) as rank from embeddings, q where vec_id <> q),
 b as (select q, min(case when label = ql then rank end) as hit from s where rank <= 10 group by q)
 select round(avg(case when hit <= 1 then 1.0 else 0.0 end), 6) as hit1, round(avg(case when hit <= 3 then 1.0 else 0.0 end), 6) as hit3, round(avg(coalesce(1 / hit, 0.0)), 6) as mrr from b
@@ -214,7 +217,7 @@ with e as (select event_type, value, row_number() over (partition by event_type
 select event_type, max(case when i = floor((n - 1) * 50 / 100 + 0.5) then value end) as p50, max(case when i = floor((n - 1) * 95 / 100 + 0.5) then value end) as p95 from e group by event_type
 """
 SQL["scan_paths"] = """
-select page_id, case when page_id % 4 in (1, 2) then 'ignored_directory' when page_id % 5 = 1 then 'ignored_extension' when page_id % 5 = 2 then 'ignored_name' end as skip_reason,
+select page_id, case when page_id % 4 in (1, 2) then 'ignored_directory' when page_id % 5 = 1 then 'ignored_extension' end as skip_reason,
  ['rust', 'png', 'javascript', 'python', 'zzz'][page_id % 5 + 1] as language from pages
 """
 SQL["changed_files"] = "select case when doc_id % 3 = 0 then 'add' when doc_id % 5 = 0 and text <> 'old' then 'update' else 'keep' end as action, count(*) as n from documents group by 1"

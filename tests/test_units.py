@@ -92,7 +92,11 @@ def test_degrees_count_parallel_edges_out_only(spark):
 def test_porcelain(spark):
     text = "R  new.rs\0old.rs\0?? n.txt\0UU both.rs\0 M m.rs\0"
     got = {(r.path, r.status, r.staged, r.unstaged) for r in git.parse_porcelain(spark.createDataFrame([(text,)], "t string"), "t").collect()}
-    assert got == {("new.rs", "renamed", True, False), ("n.txt", "untracked", False, True), ("both.rs", "conflicted", True, True), ("m.rs", "modified", False, True)}
+    assert got == {("new.rs", "renamed", True, False), ("n.txt", "untracked", False, False), ("both.rs", "conflicted", False, False), ("m.rs", "modified", False, True)}
+    # An old path that begins with R is no entry, the file after it is; each row is a listing of its own.
+    two = spark.createDataFrame([("R  x.md\0README.md\0 M b.rs\0",), ("A  a.rs\0",), (None,)], "t string")
+    got = {(r.path, r.old_path, r.status) for r in git.parse_porcelain(two, "t").collect()}
+    assert got == {("x.md", "README.md", "renamed"), ("b.rs", None, "modified"), ("a.rs", None, "added")}
 
 
 def test_numstat_null_only_if_all_null(spark):
@@ -113,6 +117,24 @@ def test_unmatched_clients(spark):
     m = matching.match_routes(c, s)
     assert [tuple(r) for r in m.collect()] == [(1, 9, "exact", 9000)]
     assert [r.client_id for r in matching.unmatched(c, m).collect()] == [2]
+    c = spark.createDataFrame([(1, 1, "GET", "/acme/users"), (2, 1, "GET", "/a/b")], "client_id int, project int, method string, path string")
+    s = spark.createDataFrame([(9, 2, "GET", "/{id}/users"), (8, 2, "GET", "/{id}/{id}"), (7, 2, "GET", "/acme/{id}")], "server_id int, project int, method string, path string")
+    assert {(r.client_id, r.server_id, r.rule) for r in matching.match_routes(c, s).collect()} == {(1, 9, "pattern"), (1, 8, "pattern"), (1, 7, "pattern"), (2, 8, "pattern")}
+
+
+def test_packages_of_one_project_do_not_match(spark):
+    kind = "id bigint, project int, ecosystem string, name string"
+    c = spark.createDataFrame([(1, 1, "npm", "x"), (2, 1, "npm", "y")], kind)
+    p = spark.createDataFrame([(8, 1, "npm", "x"), (9, 2, "npm", "Y")], kind)
+    assert {tuple(r) for r in matching.match_packages(c, p).collect()} == {(1, None, "external", 6000), (2, 9, "normalized", 8000)}
+
+
+def test_families_and_languages(spark):
+    family = {"docker compose up": "docker_compose", "docker ps": "docker", '"git.exe" status': "git", "npx x": "npm", "make": "unknown", "": "unknown", "rg foo": "rg"}
+    language = {"a/x.h": "c_header", "x.tsx": "tsx", "q.ksql.sql": "ksql", ".env.local": "env", "go.mod": "gomod", "Makefile": "makefile", "noext": None, "a.zzz": "zzz"}
+    reason = {"a/bin/x.rs": "ignored_directory", "x.deps.json": "ignored_name", "A/COVERAGE.XML": "ignored_name", "x.min.js": None, "vendor/a.go": None, "a.mdf": "ignored_extension"}
+    for function, want in ((K.command_family, family), (K.language_of, language), (K.skip_reason, reason)):
+        assert {k: one(spark, function(F.col("b")), b=k) for k in want} == want
 
 
 def test_discover(spark, tmp_path):
