@@ -73,11 +73,16 @@ def chunk_lines(text: Column, most: int = MAX_CHUNK) -> Column:
     return F.aggregate(numbered, zero, step, closed)
 
 
-SECRET = r"(?i)\b(token|secret|password|api[_-]?key)(\s*[=:]\s*)(\"[^\"\n]*\"|'[^'\n]*'|[^\s\"']+)"
+#: Parts of names whose values are kept secret.
+SENSITIVE = (
+    "password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "private_key", "access_key", "client_secret", "connection_string", "conn_string", "connectionstring",
+    "credential", "auth", "bearer", "jwt", "certificate", "cert", "signing_key", "encryption_key",
+)
+SECRET = rf"(?i)\b([A-Za-z0-9_]*(?:{'|'.join(SENSITIVE)}|api-key)[A-Za-z0-9_]*)(\s*[=:]\s*)(\"[^\"\n]*\"|'[^'\n]*'|[^\s\"']+)"
 
 
 def redact_secrets(text: Column) -> Column:
-    """Values of token, secret, password and key assignments replaced by [REDACTED]."""
+    """Values assigned to sensitive names replaced by [REDACTED]."""
     return F.regexp_replace(text, SECRET, "$1$2[REDACTED]")
 
 

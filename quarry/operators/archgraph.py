@@ -74,3 +74,57 @@ def cross_pack(items: DataFrame, budget: int, most_files: int) -> DataFrame:
     first = items.withColumn("_n", F.row_number().over(Window.partitionBy("pack", "file").orderBy(F.desc("score"), "id"))).filter("_n = 1")
     top = first.withColumn("_r", F.row_number().over(Window.partitionBy("pack").orderBy(F.desc("score"), "id"))).filter(F.col("_r") <= most_files)
     return greedy_pack(top.select("pack", "id", "score", F.col("chars").alias("tokens")), budget)
+
+
+#: Kinds of edges by category, and those that a change also follows forward when it goes downstream.
+CATEGORIES = {
+    "route": ("calls_http_route", "exposes_http_route"),
+    "messaging": ("publishes_message", "consumes_message"),
+    "dependency": ("imports_package", "provides_package", "depends_on_package", "shares_contract", "uses_contract", "implements_contract"),
+    "infrastructure": ("uses_infrastructure", "defines_infrastructure_resource", "depends_on_infrastructure", "deploys_service", "selects_service", "deploys_as", "selects_workload", "routes_to_service"),
+}
+ALSO_DOWN = ("publishes_message", "shares_contract", "uses_contract", "depends_on_infrastructure", "deploys_service", "selects_service")
+
+
+def category(kind):
+    """The category of an edge's kind; other for what is in none."""
+    out = F.when(kind.isin(*CATEGORIES["route"]), "route")
+    for name in ("messaging", "dependency", "infrastructure"):
+        out = out.when(kind.isin(*CATEGORIES[name]), name)
+    return out.otherwise("other")
+
+
+def directed(edges: DataFrame, direction: str) -> DataFrame:
+    """src, dst, edge: what a change of src reaches next: upstream along edges, downstream against them (and along some kinds), or both; each once."""
+    ahead, back = edges.select("src", "dst", "edge"), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "edge")
+    down = back.unionByName(edges.filter(F.col("kind").isin(*ALSO_DOWN)).select("src", "dst", "edge"))
+    return {"upstream": ahead, "downstream": down, "both": ahead.unionByName(down)}[direction].distinct()
+
+
+def service_map(edges: DataFrame, projects: DataFrame, evidence: bool = True, most: int = 1000) -> DataFrame:
+    """Edges between projects by kind: count, least confidence and, unless stripped, the first eight sources; the surest first, at most ``most``.
+
+    Sources are counted once before the grouping, and only the eight least are kept on the way.
+    """
+    a, b = projects.select(F.col("node").alias("src"), F.col("project").alias("from_project")), projects.select(F.col("node").alias("dst"), F.col("project").alias("to_project"))
+    rows = edges.join(a, "src").join(b, "dst").filter("from_project <> to_project")
+    keys = ["from_project", "to_project", "kind"]
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("confidence").alias("confidence"))
+    if evidence:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("src"))
+        some = rows.select(*keys, "src").distinct().withColumn("_r", rank).filter("_r <= 8").groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("src")), ",").alias("evidence"))
+        counts = counts.join(some, keys)
+    else:
+        counts = counts.withColumn("evidence", F.lit(""))
+    return counts.orderBy(F.desc("confidence"), *keys).limit(most)
+
+
+def dependency_report(parts: dict[str, DataFrame], kinds: list[str] | None, most: int) -> DataFrame:
+    """kind, candidate, other, rule, confidence of match tables (candidate, other, rule, confidence): one row per (candidate, kind, rule), then the surest."""
+    out = None
+    for kind, rows in parts.items():
+        if kinds is None or kind in kinds:
+            one = rows.select(F.lit(kind).alias("kind"), "candidate", "other", "rule", "confidence")
+            out = one if out is None else out.unionByName(one)
+    best = out.groupBy("candidate", "kind", "rule").agg(F.min_by(F.struct("other", "confidence"), F.struct(-F.col("confidence"), F.col("other"))).alias("b"))
+    return best.select("kind", "candidate", "b.other", "rule", "b.confidence").orderBy(F.desc("confidence"), "kind", "candidate", "rule").limit(most)

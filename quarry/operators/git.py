@@ -65,3 +65,65 @@ def freshness(rows: DataFrame) -> DataFrame:
     }
     worst = F.when(tests["branch_changed"], "unsafe").when(tests["no_snapshot"] | tests["commit_changed"], "stale").when(tests["dirty"], "dirty").otherwise("fresh")
     return rows.withColumns({"reasons": F.array_compact(F.array(*(F.when(t, k) for k, t in tests.items()))), "status": worst})
+
+
+def auto_index(rows: DataFrame, most: int = 50, allowed: tuple = ("modified", "added")) -> DataFrame:
+    """rows with blocked (reasons in order), manual and permitted: whether an index may be renewed without asking.
+
+    Columns: enabled, is_repo, indexed_repo, branch_now, branch_indexed, commit_now,
+    commit_indexed, detached, conflicts, n_changed, warned, listed, truncated, statuses
+    (array), dirty. Branches and commits that are both null are the same.
+    """
+    c = F.col
+    unsafe = F.array_sort(F.array_distinct(F.filter(F.coalesce("statuses", F.array().cast("array<string>")), lambda s: ~s.isin(*allowed))))
+    alone = {"auto_index_disabled": ~c("enabled"), "git_status_warning": c("warned"), "changed_files_not_listed": ~c("listed") & c("dirty")}
+    hand = {
+        "no_git_repo": ~c("is_repo"), "indexed_snapshot_not_git": ~c("indexed_repo"), "branch_changed": ~c("branch_now").eqNullSafe(c("branch_indexed")), "commit_changed": ~c("commit_now").eqNullSafe(c("commit_indexed")),
+        "detached_head": c("detached"), "conflict_detected": c("conflicts") > 0, "excessive_changed_files": c("n_changed") > most, "truncated_changed_files": c("truncated"),
+    }
+    order = ["auto_index_disabled", *[k for k in hand if k != "truncated_changed_files"], "git_status_warning", "changed_files_not_listed", "truncated_changed_files"]
+    tests = alone | hand
+    named = F.concat(F.array_compact(F.array(*(F.when(tests[k], k) for k in order))), F.transform(unsafe, lambda s: F.concat(F.lit("unsafe_change_status:"), s)))
+    manual = F.size(unsafe) > 0
+    for test in hand.values():
+        manual = manual | F.coalesce(test, F.lit(False))
+    out = rows.withColumns({"blocked": named, "manual": manual})
+    return out.withColumn("permitted", (F.size("blocked") == 0) & c("dirty"))
+
+
+def compare(base: DataFrame, head: DataFrame) -> DataFrame:
+    """path and status (added, deleted, modified) of what differs between two snapshots (path, hash; a path once in each)."""
+    a, b = base.select("path", F.col("hash").alias("a"), F.lit(True).alias("in_a")), head.select("path", F.col("hash").alias("b"), F.lit(True).alias("in_b"))
+    status = F.when(F.col("in_a").isNull(), "added").when(F.col("in_b").isNull(), "deleted").when(~F.col("a").eqNullSafe(F.col("b")), "modified")
+    return a.join(b, "path", "full").select("path", status.alias("status")).filter("status is not null")
+
+
+def base_ref(given: str | None, branches: DataFrame) -> str | None:
+    """The given reference, else main, else master, else none."""
+    if given is not None:
+        return given
+    found = {r.name for r in branches.filter(F.col("name").isin("main", "master")).select("name").distinct().collect()}
+    return next((b for b in ("main", "master") if b in found), None)
+
+
+def branches(rows: DataFrame, column: str) -> DataFrame:
+    """name, full_ref, current, detached of branch listings: a line each, the current one marked by an asterisk."""
+    lines = rows.select(F.explode(F.split(F.coalesce(F.col(column), F.lit("")), "\n")).alias("line")).filter(F.col("line").rlike(r"\S"))
+    name = F.trim(F.regexp_replace(F.trim("line"), r"^(\* )+", ""))
+    return lines.select(name.alias("name"), F.concat(F.lit("refs/heads/"), name).alias("full_ref"), F.col("line").startswith("*").alias("current"), (name.contains("HEAD detached") | (name == "HEAD")).alias("detached"))
+
+
+def latest_snapshot(snapshots: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last snapshot of each key, by a total order; combined before the shuffle."""
+    rest = [c for c in snapshots.columns if c not in keys]
+    return snapshots.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
+
+
+def diff_evidence(changed: DataFrame, views: dict[str, DataFrame], most: int) -> DataFrame:
+    """source, id, name, path, line: rows of each view in changed files (path, old_path or null), the first ``most`` of a view by (path, line, name, id)."""
+    paths = changed.select(F.explode(F.array_compact(F.array("path", "old_path"))).alias("path")).distinct()
+    out = None
+    for source, view in views.items():
+        rows = view.select(F.lit(source).alias("source"), F.col("id"), "name", "path", "line").join(paths, "path", "left_semi").orderBy("path", "line", "name", "id").limit(most)
+        out = rows if out is None else out.unionByName(rows)
+    return out

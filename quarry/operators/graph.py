@@ -67,10 +67,49 @@ def simple_paths(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
 
 
 def shortest_path(edges: DataFrame, source, target, depth: int) -> DataFrame:
-    """The first shortest path, by its nodes; path, depth, confidence."""
+    """The first shortest path, by its nodes; path, depth, confidence (least on the path; of parallel edges the surest).
+
+    Each node is reached once, by the first of its shortest paths, so a level holds
+    at most one row per node.
+    """
     start = edges.sparkSession.createDataFrame([(source,)], f"node {edges.schema['src'].dataType.simpleString()}")
-    hits = simple_paths(edges, start, depth).filter(F.element_at("path", -1) == F.lit(target))
-    return hits.orderBy("depth", "path").limit(1)
+    front = start.select("node", F.array("node").alias("path"), F.lit(10_000).cast("bigint").alias("confidence"))
+    seen, found = settled(start), None
+    for d in range(1, depth + 1):
+        step = front.join(edges, front.node == edges.src).select(F.col("dst").alias("at"), "path", F.least(front.confidence, edges.confidence.cast("bigint")).alias("confidence"))
+        fresh = step.join(seen.withColumnRenamed("node", "at"), "at", "left_anti")
+        first = fresh.groupBy("at").agg(F.min(F.struct("path", (-F.col("confidence")).alias("c"))).alias("b"))
+        front = settled(first.select(F.col("at").alias("node"), F.array_append("b.path", F.col("at")).alias("path"), (-F.col("b.c")).alias("confidence")))
+        hit = front.filter(F.col("node") == F.lit(target)).select("path", F.lit(d).alias("depth"), "confidence")
+        if not hit.isEmpty():
+            return hit
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front.select("node"))
+        found = hit
+    return found if found is not None else hit
+
+
+def of_types(edges: DataFrame, types: list[str] | None) -> DataFrame:
+    """Edges of the given types, whatever their case; all where none are given."""
+    return edges if not types else edges.filter(F.lower("edge_type").isin(*(t.lower() for t in types)))
+
+
+def first_edges(edges: DataFrame, most: int, *order) -> DataFrame:
+    """The first edges in order: what a bounded search over edges sees."""
+    return edges.orderBy(*order).limit(most)
+
+
+def nodes_by_ids(nodes: DataFrame, ids: DataFrame, files: DataFrame) -> DataFrame:
+    """The nodes of a table of ids (node), with the path of their file (file_id) where there is one."""
+    return nodes.join(ids.select("node"), "node", "left_semi").join(files.select("file_id", "path"), "file_id", "left")
+
+
+def seed_node(nodes: DataFrame, value: str) -> DataFrame:
+    """The node of this id, else those of the symbol of this id."""
+    both = nodes.filter((F.col("node") == value) | (F.col("symbol_id") == value))
+    exact = F.coalesce(F.col("node") == value, F.lit(False))
+    return both.withColumn("_x", F.max(exact).over(Window.partitionBy(F.lit(value)))).filter(~F.col("_x") | exact).drop("_x")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.text import estimate_tokens
 from quarry.operators import graph as G
+from quarry.operators.symbols import module
 
 
 def impact_set(edges: DataFrame, seed, depth: int, most: int) -> DataFrame:
@@ -22,52 +24,93 @@ def risk_level(score: Column) -> Column:
     return F.when(score < 25, "low").when(score < 50, "medium").when(score < 75, "high").otherwise("critical")
 
 
-def risk_of_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Risk of every node at once: capped signals of fan-in, fan-out, confidence and loops, clamped to 0..100."""
-    out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("fan_out"), F.min("confidence").alias("least"), F.max((F.col("src") == F.col("dst")).cast("int")).alias("loop"))
+def assess(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Risk of each node by nine signals, clamped to 0..100; nodes has node, exposed, n_tests, in_cycle and centrality (its capped share).
+
+    Impacted are callers up to two steps away and direct neighbours either way. An
+    impacted node counts at its least distance, with the surest edge that reaches it
+    there. Nodes without edges get no points for distance, confidence and depth.
+    """
+    calls = edges.filter("src <> dst").select(F.col("dst").alias("node"), F.col("src").alias("other"), "confidence")
+    both = calls.unionByName(calls.select(F.col("other").alias("node"), F.col("node").alias("other"), "confidence"))
+    near = both.groupBy("node", "other").agg(F.max("confidence").alias("confidence")).withColumn("distance", F.lit(1))
+    first, then = calls.select("node", F.col("other").alias("via")).distinct(), calls.select(F.col("node").alias("via"), "other", "confidence")
+    two = first.join(then, "via").filter("node <> other").groupBy("node", "other").agg(F.max("confidence").alias("confidence"))
+    far = two.join(near, ["node", "other"], "left_anti").withColumn("distance", F.lit(2))
+    hit = near.unionByName(far).groupBy("node").agg(F.max("distance").alias("most"), F.min("confidence").alias("least"))
+    out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("fan_out"))
     into = edges.groupBy(F.col("dst").alias("node")).agg(F.countDistinct("src").alias("fan_in"))
-    rows = nodes.join(out, "node", "left").join(into, "node", "left").fillna(0, ["fan_in", "fan_out", "loop"])
+    rows = nodes.join(out, "node", "left").join(into, "node", "left").join(hit, "node", "left").fillna(0, ["fan_in", "fan_out"])
+    most, none = F.col("most"), F.col("most").isNull()
     signals = (
-        F.least(10 * F.col("fan_in"), F.lit(35)) + F.least(5 * F.col("fan_out"), F.lit(20))
-        + F.when(F.col("least").isNull(), 0).when(F.col("least") >= 8000, 10).otherwise(4) + 20 * F.col("loop") + 18
+        F.least(10 * F.col("fan_in"), F.lit(35)) + F.least(5 * F.col("fan_out"), F.lit(20)) + F.when(none, 0).when(most <= 1, 12).otherwise(6) + F.when(none, 0).when(F.col("least") >= 8000, 10).otherwise(4)
+        + F.when(F.col("exposed"), 25).otherwise(0) + F.when(F.col("n_tests") > 0, -10).otherwise(18) + F.when(none, 0).otherwise(F.least(6 * most, F.lit(18))) + F.when(F.col("in_cycle"), 20).otherwise(0) + F.col("centrality")
     )
     score = F.greatest(F.lit(0), F.least(F.lit(100), signals)).cast("bigint")
     return rows.select("node", "fan_in", "fan_out", score.alias("score"), risk_level(score).alias("level"))
 
 
 def is_test_path(path: Column) -> Column:
-    return F.lower(path).rlike(r"(^|[/_.])(tests?|specs?)([/_.]|$)")
+    low = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+    return F.coalesce(low.rlike(r"/(tests?|specs?)/|_(test|spec)\.rs$"), F.lit(False))
 
 
-def name_similarity(name: Column, other: Column) -> Column:
-    """Whether any part (between spaces or underscores, three letters or more) of name is a part of other."""
-    parts = F.filter(F.split(F.lower(name), r"[ _]"), lambda p: F.length(p) >= 3)
-    return F.arrays_overlap(parts, F.split(F.lower(other), r"[ _]"))
+def name_similarity(name: Column, target: Column) -> Column:
+    """Whether name holds the target, or one of the target's parts (between underscores) of over two bytes; never for an empty target."""
+    low, t = F.lower(name), F.lower(target)
+    parts = F.filter(F.split(t, "_"), lambda p: F.octet_length(p) > 2)
+    return F.coalesce((F.length(t) > 0) & (low.contains(t) | F.exists(parts, lambda p: low.contains(p))), F.lit(False))
 
 
-def related_tests(seed: DataFrame, candidates: DataFrame, most: int = 16) -> DataFrame:
-    """Candidates for the tests of each seed row (id, name, module, kind): the greatest confidence of the rules that hold.
+def related_tests(seed: DataFrame, candidates: DataFrame, edges: DataFrame | None = None, impacted: DataFrame | None = None, most: int = 16) -> DataFrame:
+    """The tests among candidates (id, name, path, kind) by the greatest confidence of the rules that hold: graph edge 9000, name 8000, module 6500, kind 6000, impacted neighbour 5500, path 5000.
 
-    The seed is one row (a stated query), so it is broadcast.
+    seed is one row (id, name, path), a stated query, and is broadcast with the at
+    most 64 impacted neighbours (name, path). edges (src, dst) lead from tests.
     """
-    s = F.broadcast(seed.select(F.col("id").alias("sid"), F.col("name").alias("sname"), F.col("module").alias("smodule")))
-    rows = candidates.join(s, F.col("id") != F.col("sid"))
-    c = F.greatest(
-        F.when(F.col("kind").contains("PROMO"), 6000).otherwise(0), F.when(is_test_path(F.col("name")), 5000).otherwise(0),
-        F.when(name_similarity(F.col("sname"), F.col("name")), 8000).otherwise(0), F.when(F.col("module") == F.col("smodule"), 6500).otherwise(0),
-    )
-    out = rows.withColumn("confidence", c).filter("confidence > 0").withColumn("direct", F.col("confidence") >= 8000)
+    s = seed.select(F.col("id").alias("sid"), F.col("name").alias("sname"), F.col("path").alias("spath"))
+    if impacted is not None:
+        near = impacted.limit(64).agg(F.collect_list(F.struct("name", "path")).alias("near"))
+        s = s.join(near)
+    rows = candidates.filter((F.col("kind") == "Test") | is_test_path(F.col("path"))).join(F.broadcast(s), F.col("id") != F.col("sid"))
+    if edges is not None:
+        linked = edges.join(F.broadcast(seed.select(F.col("id").alias("dst"))), "dst", "left_semi").select(F.col("src").alias("id")).distinct().withColumn("linked", F.lit(True))
+        rows = rows.join(linked, "id", "left")
+    neighbour = F.exists("near", lambda x: name_similarity(F.col("name"), x["name"]) | F.coalesce(x["path"] == F.col("path"), F.lit(False))) if impacted is not None else F.lit(False)
+    rules = [
+        (F.col("kind") == "Test", 6000), (is_test_path(F.col("path")), 5000), (name_similarity(F.col("name"), F.col("sname")), 8000), (module(F.col("path")) == module(F.col("spath")), 6500),
+        (F.col("linked") if edges is not None else F.lit(False), 9000), (neighbour, 5500),
+    ]
+    confidence = F.greatest(*(F.when(test, worth).otherwise(0) for test, worth in rules)).cast("bigint")
+    out = rows.select("id", "name", confidence.alias("confidence")).withColumn("direct", F.col("confidence") >= 8000)
     return out.orderBy(F.desc("confidence"), "name", "id").limit(most)
 
 
+def pack_symbols(rows: DataFrame, budget: int) -> DataFrame:
+    """Packs of symbols (pack, id, name, path, snippet, score): of equal snippets the best, worth less in files (0.85) and modules (0.90) that hold several, then as greedy_pack."""
+    best = Window.partitionBy("pack", "snippet").orderBy(F.desc("score"), "id")
+    once = rows.withColumn("_n", F.row_number().over(best)).filter("_n = 1").withColumn("module", module(F.col("path")))
+    in_file, in_module = (F.count("*").over(Window.partitionBy("pack", c)) for c in ("path", "module"))
+    penalty = F.when(in_file > 1, 0.85).otherwise(1.0) * F.when(in_module > 2, 0.90).otherwise(1.0)
+    tokens = (estimate_tokens(F.col("snippet")) + estimate_tokens(F.col("name"))).cast("bigint")
+    priced = once.withColumn("penalty", penalty).withColumn("tokens", tokens)
+    value = F.greatest(F.col("score"), F.lit(1)) * F.col("penalty") / F.col("tokens")
+    return greedy_pack(priced.select("pack", "id", "score", "tokens", value.alias("value")), budget)
+
+
+def impacted_files(impacted: DataFrame, symbols: DataFrame) -> DataFrame:
+    """The files of impacted symbols (id), each once, by path."""
+    return symbols.join(impacted.select("id"), "id", "left_semi").select("path").distinct().orderBy("path")
+
+
 def greedy_pack(items: DataFrame, budget: int) -> DataFrame:
-    """pack, n_items, tokens, ids: items (pack, id, score, tokens) taken by value per token as long as they fit.
+    """pack, n_items, tokens, ids: items (pack, id, score, tokens, optionally value) taken by value per token as long as they fit.
 
     An item that does not fit is skipped and the next ones are tried. A pack's
     items are folded in order, so a pack is one row of the result; per pack only
     those items take part that fit the budget alone.
     """
-    value = F.greatest(F.col("score"), F.lit(1)) / F.col("tokens")
+    value = F.col("value") if "value" in items.columns else F.greatest(F.col("score"), F.lit(1)) / F.col("tokens")
     fit = items.filter(F.col("tokens") <= budget).withColumn("v", F.round(value, 9))
     row = F.struct((-F.col("v")).alias("v"), (-F.col("score")).alias("s"), F.col("id"), F.col("tokens"))
     zero = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<bigint>").alias("ids"))

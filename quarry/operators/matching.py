@@ -101,3 +101,78 @@ def federated_collect(rows: DataFrame, project: str, order: list, each: int, mos
     """The first rows of each project, then the first of all."""
     w = Window.partitionBy(project).orderBy(*order)
     return rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= each).drop("_n").orderBy(*order).limit(most)
+
+
+#: What tells servers, producers and consumers.
+SERVERS = ("express", "nestjs", "fastify", "aspnetcore")
+PRODUCING = (("outbound", "publish", "producer", "send"), ("producer", "publisher", "client", "emit", "send"))
+CONSUMING = (("inbound", "consume", "consumer", "subscribe", "handler"), ("consumer", "subscriber", "handler", "eventpattern", "messagepattern"))
+
+
+def _low(c):
+    return F.lower(F.coalesce(c, F.lit("")))
+
+
+def route_role(kind, framework):
+    """server, page or unknown."""
+    k, f = _low(kind), _low(framework)
+    server = (k == "api") | f.isin(*SERVERS) | f.startswith("go_")
+    return F.when(server, "server").when(k.isin("page", "route") | (f == "angular"), "page").otherwise("unknown")
+
+
+def message_role(direction, kind):
+    """producer, consumer or null; producing comes first."""
+    d, k = _low(direction), _low(kind)
+    fits = lambda sets: d.isin(*sets[0]) | k.isin(*sets[1])
+    return F.when(fits(PRODUCING), "producer").when(fits(CONSUMING), "consumer")
+
+
+def message_keys(rows: DataFrame, broker) -> DataFrame:
+    """rows with broker, key_kind and key_name for each of topic, queue, pattern, routing_key, and exchange with routing_key; each once."""
+    one = lambda kind, name: F.when(name.isNotNull(), F.struct(F.lit(kind).alias("key_kind"), name.alias("key_name")))
+    pair = F.when(F.col("exchange").isNotNull() & F.col("routing_key").isNotNull(), F.concat_ws(":", "exchange", "routing_key"))
+    every = [one(k, F.col(k)) for k in ("topic", "queue", "pattern", "routing_key")] + [one("exchange_routing_key", pair)]
+    keys = F.array_distinct(F.array_compact(F.array(*every)))
+    return rows.withColumn("broker", broker).withColumn("_k", F.explode(keys)).select("*", "_k.key_kind", "_k.key_name").drop("_k", "topic", "queue", "pattern", "routing_key", "exchange")
+
+
+def infra_kind(technology, kind, resource):
+    """What an infrastructure row stands for, by technology, kind and type of resource."""
+    t, k, r = _low(technology), _low(kind), _low(resource)
+    return (
+        F.when((t == "docker_compose") & (k == "service"), "compose_service").when((t == "docker") & (k == "image"), "docker_image")
+        .when((t == "kubernetes") & r.isin("service", "deployment", "configmap", "secret"), F.concat(F.lit("k8s_"), r)).when((t == "terraform") & (k == "module"), "terraform_module")
+        .when(t.isin("terraform", "gcp", "gke"), "terraform_resource").when(k.contains("database") | (k == "db"), "database").when(k.contains("cache") | k.contains("redis"), "cache")
+        .when(k.contains("queue"), "queue").otherwise("unknown")
+    )
+
+
+#: Sections of a package.json that name what a package needs.
+NPM_SECTIONS = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
+
+
+def manifest_entries(files: DataFrame) -> DataFrame:
+    """project, path, ecosystem, role, name of files (project, path, content): what manifests provide and what they need; each once.
+
+    package.json, project files (.csproj), go.mod and Cargo.toml. Broken JSON has no entries.
+    """
+    low, text = F.lower("path"), F.coalesce("content", F.lit(""))
+    found = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(1))
+    entry = lambda role: (lambda n: F.struct(F.lit(role).alias("role"), n.alias("name")))
+    both = lambda give, need: F.concat(F.transform(give, entry("provider")), F.transform(need, entry("consumer")))
+    keys = lambda s: F.coalesce(F.map_keys(F.from_json(F.get_json_object(text, f"$.{s}"), "map<string,string>")), F.array().cast("array<string>"))
+    npm = both(F.array_compact(F.array(F.get_json_object(text, "$.name"))), F.concat(*map(keys, NPM_SECTIONS)))
+    own = F.coalesce(*(F.get(found(rf"<{t}>\s*([^<]*?)\s*</{t}>"), F.lit(0)) for t in ("PackageId", "AssemblyName", "RootNamespace")), F.regexp_extract("path", r"([^/\\\\]*?)(?:\.csproj)?$", 1))
+    refs = F.transform(found(r'<ProjectReference[^>]*Include="([^"]*)"'), lambda x: F.regexp_extract(x, r"([^/\\\\]*?)(?:\.csproj)?$", 1))
+    net = both(F.array(own), F.concat(found(r'<PackageReference[^>]*Include="([^"]*)"'), refs))
+    block = F.when(text.contains("require ("), found(r"(?m)^[ \t]*([A-Za-z0-9][^\s/]*/\S*)")).otherwise(F.array().cast("array<string>"))
+    go = both(found(r"(?m)^[ \t]*module[ \t]+(\S+)"), F.concat(found(r"(?m)^[ \t]*require[ \t]+([^\s(]\S*)"), block))
+    section = lambda s: F.regexp_extract_all(text, F.lit(rf"(?s)(?:^|\n)\[{s}\][^\n]*\n(.*?)(?=\n\[|$)"), F.lit(1))
+    names = lambda s, p: F.flatten(F.transform(section(s), lambda b: F.regexp_extract_all(b, F.lit(p), F.lit(1))))
+    crate = both(names("package", r'(?m)^name\s*=\s*"([^"]*)"'), names(r"(?:dev-|build-)?dependencies", r"(?m)^([A-Za-z0-9_-]+)(?:\.workspace)?\s*="))
+    kinds = {"npm": ("package.json", npm), "dotnet": (".csproj", net), "go": ("go.mod", go), "rust": ("cargo.toml", crate)}
+    out = None
+    for ecosystem, (end, entries) in kinds.items():
+        rows = files.filter(low.endswith(end)).select("project", "path", F.lit(ecosystem).alias("ecosystem"), F.explode(F.array_distinct(entries)).alias("e")).select("project", "path", "ecosystem", "e.role", "e.name")
+        out = rows if out is None else out.unionByName(rows)
+    return out

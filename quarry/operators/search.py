@@ -97,3 +97,63 @@ def symbol_score(intent: Column, name: Column, query: Column, score: Column, dis
 def first_per_key(df: DataFrame, key: str, *order) -> DataFrame:
     """The first row of each key in a total order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_n = 1").drop("_n")
+
+
+#: Kinds of chunks that stand for a fact of a domain, and the boosts of a candidate's attributes.
+DOMAIN_CHUNKS = ("route_chunk", "component_chunk", "data_access_chunk", "realtime_chunk", "messaging_chunk", "infrastructure_chunk")
+BOOSTS = {"language_match": 0.20, "framework_match": 0.20, "source_kind_match": 0.20, "symbol_chunk": 0.10, "source_specific_terms": 0.10, "compact_chunk": 0.05, "path_term_match": 0.10}
+MOST_RESULTS, COMPACT_BYTES = 100, 2000
+
+
+def validate_request(query: str, limit: int, weights: tuple, least: float | None = None) -> None:
+    """Raise for an empty query, a limit above 100, weights outside 0..1 or all zero, and a least score outside 0..1."""
+    inside = lambda x: isinstance(x, (int, float)) and 0 <= x <= 1  # noqa: E731  (NaN and infinity are not)
+    if not query.strip():
+        raise ValueError("the query is empty")
+    if limit > MOST_RESULTS:
+        raise ValueError(f"at most {MOST_RESULTS} results")
+    if not all(map(inside, weights)) or sum(weights) <= 0:
+        raise ValueError("weights lie between 0 and 1 and are not all 0")
+    if least is not None and not inside(least):
+        raise ValueError("the least score lies between 0 and 1")
+
+
+def warnings_of(n_vectors: int, failed: bool) -> list[str]:
+    """Why a hybrid ranking rests on text alone."""
+    return ["vector_search_failed"] if failed else ["no_vectors"] if n_vectors == 0 else []
+
+
+def with_metadata(rows: DataFrame, terms: list[str], wanted: dict[str, str]) -> DataFrame:
+    """rows (text, path, source_kind and what is wanted) with matched (terms in text or path), boosts (their names) and meta (their sum, at most 1).
+
+    An attribute that nobody asked for gives no boost; a null one matches nothing.
+    """
+    asked = F.array(*map(F.lit, terms)).cast("array<string>")
+    path = tokenize(F.coalesce("path", F.lit("")))
+    out = rows.withColumn("_p", path).withColumn("matched", F.filter(asked, lambda t: F.array_contains(tokenize(F.coalesce("text", F.lit(""))), t) | F.array_contains("_p", t)))
+    same = {f"{k}_match": F.coalesce(F.col(k) == v, F.lit(False)) for k, v in wanted.items()}
+    tests = same | {
+        "symbol_chunk": F.col("source_kind") == "symbol_chunk", "source_specific_terms": F.col("source_kind").isin(*DOMAIN_CHUNKS) & (F.size("matched") > 0),
+        "compact_chunk": F.octet_length(F.coalesce("text", F.lit(""))) <= COMPACT_BYTES, "path_term_match": F.arrays_overlap(asked, F.col("_p")),
+    }
+    named = {k: F.coalesce(tests[k], F.lit(False)) for k in BOOSTS if k in tests}
+    total = sum((F.when(t, BOOSTS[k]).otherwise(0.0) for k, t in named.items()), F.lit(0.0))
+    return out.withColumns({"boosts": F.array_compact(F.array(*(F.when(t, k) for k, t in named.items()))), "meta": F.least(F.lit(1.0), total)}).drop("_p")
+
+
+def wanted_only(rows: DataFrame, wanted: dict[str, str], prefix: str | None = None) -> DataFrame:
+    """rows with the wanted attributes and paths that start with prefix; nulls fail."""
+    for k, v in wanted.items():
+        rows = rows.filter(F.col(k) == v)
+    return rows if prefix is None else rows.filter(F.col("path").startswith(prefix))
+
+
+#: Shares of an answer's quality.
+SHARES = {"files": 0.30, "symbols": 0.20, "kinds": 0.20, "facts": 0.15, "tags": 0.10}
+
+
+def answer_quality(parts: dict[str, tuple[Column, Column]], relevance: Column) -> Column:
+    """Weighted shares of (hits, expected) and 0.05 of the top results' relevance, in 0..1. Nothing expected counts as all found, but for files."""
+    share = lambda name: F.when(parts[name][1] == 0, 0.0 if name == "files" else 1.0).otherwise(F.try_divide(*parts[name]))
+    total = sum((share(name) * worth for name, worth in SHARES.items()), 0.05 * relevance)
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quarry.plans import code_oracle
+
 SQL: dict[str, str] = {}
 
 TOKENS = r"list_filter(string_split_regex(lower(regexp_replace(coalesce({t}, ''), '(\p{{Ll}})(\p{{Lu}})', '\1 \2', 'g')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
@@ -23,10 +25,11 @@ select doc_id, md5(left(list_aggregate(list_filter(list_transform(string_split(t
   md5(left(list_aggregate(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')[1:48], 'string_agg', ' '), 240)) as preview,
   md5(coalesce(list_aggregate(string_split(text, chr(10))[2:4], 'string_agg', chr(10)), '')) as lines from documents
 """
+_NAMES = "password|passwd|pwd|secret|token|api_key|apikey|private_key|access_key|client_secret|connection_string|conn_string|connectionstring|credential|auth|bearer|jwt|certificate|cert|signing_key|encryption_key|api-key"
 SQL["secret_redaction"] = r"""
-with m as (select doc_id, text, '(?i)\b(token|secret|password|api[_-]?key)(\s*[=:]\s*)("[^"\n]*"|''[^''\n]*''|[^\s"'']+)' as p from documents)
+with m as (select doc_id, text, '(?i)\b([A-Za-z0-9_]*(?:NAMES)[A-Za-z0-9_]*)(\s*[=:]\s*)("[^"\n]*"|''[^''\n]*''|[^\s"'']+)' as p from documents)
 select doc_id, len(regexp_extract_all(text, p))::bigint as n_secrets, md5(regexp_replace(text, p, '\1\2[REDACTED]', 'g')) as redacted from m where len(regexp_extract_all(text, p)) > 0
-"""
+""".replace("NAMES", _NAMES)
 SQL["intent_classify"] = r"""
 select conv_id, turn, case when q like '%caller%' or q like '%who calls%' then 'callers' when q like '%callee%' or q like '%calls from%' then 'callees'
   when q like '%dependency%' or q like '%path%' or q like '%trace%' then 'trace' when q like '%impact%' or q like '%affected%' then 'impact'
@@ -114,16 +117,15 @@ SQL["centrality_rank"] = f"""with {_DEG} select node, least(80, trunc(500 * (in_
 SQL["impact_set"] = f"""with recursive {G3}, walk as (select 0 as node, 0 as distance union select src, distance + 1 from walk join g3 on dst = node where distance < 2),
  a as (select node, distance from walk union all select src, 1 from g3 where dst = 0 union all select dst, 1 from g3 where src = 0)
  select node, min(distance)::bigint as distance from a where node <> 0 group by node order by distance, node limit 64"""
-SQL["impact_risk"] = f"""with {G3}, {NODES}, r as (select node, coalesce(fi, 0)::bigint as fan_in, coalesce(fo, 0)::bigint as fan_out, least_c, coalesce(lp, 0) as lp from nodes
-  left join (select src, count(*) as fo, min(confidence) as least_c, max((src = dst)::int) as lp from g3 group by src) on src = node left join (select dst, count(distinct src) as fi from g3 group by dst) on dst = node),
- s as (select node, fan_in, fan_out, greatest(0, least(100, least(10 * fan_in, 35) + least(5 * fan_out, 20) + case when least_c is null then 0 when least_c >= 8000 then 10 else 4 end + 20 * lp + 18))::bigint as score from r)
- select *, case when score < 25 then 'low' when score < 50 then 'medium' when score < 75 then 'high' else 'critical' end as level from s"""
-SQL["related_candidates"] = r"""
-with s as (select * from part where p_partkey = 1), sp as (select list_filter(string_split_regex(lower(p_name), '[ _]'), lambda p: length(p) >= 3) as ps, p_brand from s),
-c as (select p.p_partkey as id, p.p_name as name, greatest(case when p.p_type like '%PROMO%' then 6000 else 0 end, case when regexp_matches(lower(p.p_name), '(^|[/_.])(tests?|specs?)([/_.]|$)') then 5000 else 0 end,
-  case when list_has_any(sp.ps, string_split_regex(lower(p.p_name), '[ _]')) then 8000 else 0 end, case when p.p_brand = sp.p_brand then 6500 else 0 end)::bigint as confidence from part p, sp where p.p_partkey <> 1)
-select id, confidence, confidence >= 8000 as direct from c where confidence > 0 order by confidence desc, name, id limit 16
-"""
+SQL["impact_risk"] = f"""with {G3}, e as (select * from g3 where src <> dst),
+near as (select node, other, max(confidence) as c, 1 as d from (select dst as node, src as other, confidence from e union all select src, dst, confidence from e) group by 1, 2),
+two as (select a.dst as node, b.src as other, max(b.confidence) as c, 2 as d from e a join e b on b.dst = a.src where a.dst <> b.src group by 1, 2),
+hit as (select node, max(d) as most, min(c) as least_c from (select * from near union all select * from two where (node, other) not in (select (node, other) from near)) group by node),
+r as (select n_nationkey as node, n_regionkey, (select count(distinct src) from g3 where dst = n_nationkey) as fan_in, (select count(*) from g3 where src = n_nationkey) as fan_out, exists (select 1 from g3 where src = n_nationkey and dst = n_nationkey) as lp from nation),
+s as (select r.*, least(18, trunc(120 * (fan_in / 100))::bigint + trunc(20 * ((fan_in + fan_out) / (select count(*) - 1 from nation)))::bigint + least(fan_in, 10))::bigint as cent, most, least_c from r left join hit on hit.node = r.node),
+t as (select node, fan_in, fan_out, greatest(0, least(100, least(10 * fan_in, 35) + least(5 * fan_out, 20) + case when most is null then 0 when most <= 1 then 12 else 6 end + case when most is null then 0 when least_c >= 8000 then 10 else 4 end
+  + case when n_regionkey = 1 then 25 else 0 end + case when n_regionkey = 2 then 18 else -10 end + case when most is null then 0 else least(6 * most, 18) end + case when lp then 20 else 0 end + cent))::bigint as score from s)
+select *, case when score < 25 then 'low' when score < 50 then 'medium' when score < 75 then 'high' else 'critical' end as level from t"""
 SQL["context_pack_greedy"] = """
 with recursive d as (select source as pack, doc_id as id, greatest(1, ceil(strlen(coalesce(text, '')) / 4))::bigint as tokens, (n_chars % 97)::bigint as score from documents),
 o as (select *, row_number() over (partition by pack order by round(greatest(score, 1) / tokens, 9) desc, score desc, id) as r from d where tokens <= 2000),
@@ -224,7 +226,11 @@ SQL["changed_files"] = "select case when doc_id % 3 = 0 then 'add' when doc_id %
 SQL["file_ids"] = "select doc_id, 'file-' || sha256(doc_id::varchar) as file_id, sha256(text) as content_hash from documents"
 SQL["keyed_merge"] = "select user_id, event_type, event_id, value from events qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1"
 SQL["dup_exact"] = "select md5(text) as digest, count(*) as n, min(doc_id) as first_id from documents group by 1 having count(*) > 1"
-SQL["stream_debounce_last_event"] = "select user_id, floor(epoch_us(ts) / 1000 / 500)::bigint as bucket, max_by(event_id, (ts, event_id)) as last_id, count(*) as n from events group by 1, 2"
+SQL["stream_debounce_last_event"] = """
+with g as (select *, case when epoch_us(ts) - lag(epoch_us(ts)) over w < 600000000 then 0 else 1 end as opens from events window w as (partition by user_id order by ts, event_id)),
+s as (select *, sum(opens) over (partition by user_id order by ts, event_id) as burst from g)
+select user_id, min(epoch_us(ts))::bigint as started, max(epoch_us(ts))::bigint as ended, max_by(event_id, (ts, event_id)) as last_id, count(*) as n from s group by user_id, burst
+"""
 SQL["chunk_lines"] = r"""
 with recursive l as (select doc_id, i, string_split(coalesce(text, ''), chr(10))[i] as line from (select doc_id, text, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as i from documents)),
 p as (select doc_id, i, substr(line, k * 2000 + 1, 2000) as s, row_number() over (partition by doc_id order by i, k) as r from (select doc_id, i, line, unnest(range(0, (greatest(length(line), 1) - 1) // 2000 + 1)) as k from l)),
@@ -264,3 +270,5 @@ f as (select pack, 0::bigint as r, 0::bigint as used, []::bigint[] as ids from (
 select pack, len(ids)::bigint as n_items, used as tokens, coalesce(list_aggregate(list_sort(ids), 'string_agg', ','), '') as ids from f qualify row_number() over (partition by pack order by r desc) = 1
 """
 SQL["counts_cube"] = "select source, lang, count(*) as n from documents group by cube (source, lang)"
+SQL |= code_oracle.SQL
+SQL["dependency_report"] = code_oracle.dependency_report(SQL["package_match"], SQL["contract_pairs"])

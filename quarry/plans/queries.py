@@ -195,12 +195,13 @@ def impact_set(spark: SparkSession, d: str) -> DataFrame:
 
 
 def impact_risk(spark: SparkSession, d: str) -> DataFrame:
-    return impact.risk_of_nodes(A.nations(spark, d), A.trade_edges(spark, d))
-
-
-def related_candidates(spark: SparkSession, d: str) -> DataFrame:
-    parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("module"), F.col("p_type").alias("kind"))
-    return impact.related_tests(parts.filter("id = 1"), parts).select("id", F.col("confidence").cast("bigint"), "direct")
+    """Nations as symbols: exposed in region 1, without tests in region 2, in a cycle where they trade with themselves."""
+    e = G.settled(A.trade_edges(spark, d))
+    g = G.degrees(A.nations(spark, d), e).select("node", G.centrality_risk(F.col("in_degree") / 100, F.col("degree"), F.col("in_degree")).alias("centrality"))
+    loops = e.filter("src = dst").select(F.col("src").alias("node"), F.lit(True).alias("loop")).distinct()
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("node"), (F.col("n_regionkey") == 1).alias("exposed"), F.when(F.col("n_regionkey") == 2, 0).otherwise(1).alias("n_tests"))
+    nodes = n.join(g, "node").join(loops, "node", "left").withColumn("in_cycle", F.coalesce("loop", F.lit(False))).drop("loop")
+    return impact.assess(nodes, e)
 
 
 def context_pack_greedy(spark: SparkSession, d: str) -> DataFrame:
@@ -462,7 +463,7 @@ def dup_exact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_debounce_last_event(spark: SparkSession, d: str) -> DataFrame:
-    return debounce.last_events(table(spark, d, "events"), ["user_id"], "ts", "event_id", 500)
+    return debounce.last_events(table(spark, d, "events"), ["user_id"], "ts", "event_id", 600_000)
 
 
 # extraction
@@ -505,4 +506,6 @@ def scope_glob(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     import types
 
-    return {k: v for k, v in globals().items() if isinstance(v, types.FunctionType) and v.__module__ == __name__ and k not in ("queries", "r6", "vec_query", "code_files", "trade_graph")}
+    from quarry.plans import code_queries
+
+    return code_queries.queries() | {k: v for k, v in globals().items() if isinstance(v, types.FunctionType) and v.__module__ == __name__ and k not in ("queries", "r6", "vec_query", "code_files", "trade_graph")}

@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 
 def last_events(events: DataFrame, keys: list[str], ts: str, order: str, millis: int) -> DataFrame:
-    """keys, bucket, last id and count of the events of each key in buckets of ``millis``; partial sums, no sort."""
-    bucket = F.floor((F.unix_micros(F.col(ts).cast("timestamp")) / 1000) / millis).cast("bigint").alias("bucket")
-    return events.groupBy(*keys, bucket).agg(F.max_by(order, F.struct(ts, order)).alias("last_id"), F.count("*").alias("n"))
+    """keys, started, ended (microseconds of the first and last event), last id and count of each key's bursts: events less than ``millis`` apart."""
+    out = events.groupBy(*keys, F.session_window(ts, f"{millis} milliseconds").alias("w")).agg(
+        F.min(F.unix_micros(F.col(ts).cast("timestamp"))).alias("started"), F.max(F.unix_micros(F.col(ts).cast("timestamp"))).alias("ended"), F.max_by(order, F.struct(ts, order)).alias("last_id"), F.count("*").alias("n")
+    )
+    return out.drop("w")
 
 
 def stream_last_events(events: DataFrame, keys: list[str], ts: str, order: str, millis: int, late: str = "10 minutes") -> DataFrame:
-    """The same over a stream: windows of ``millis`` under a watermark; closed windows are emitted once."""
-    w = F.window(ts, f"{millis} milliseconds").alias("w")
-    out = events.withWatermark(ts, late).groupBy(*keys, w).agg(F.max_by(order, F.struct(ts, order)).alias("last_id"), F.count("*").alias("n"))
-    return out.select(*keys, F.floor(F.unix_millis(F.col("w.start").cast("timestamp")) / millis).cast("bigint").alias("bucket"), "last_id", "n")
+    """The same over a stream under a watermark; a burst is emitted once, when it can't grow any more."""
+    return last_events(events.withWatermark(ts, late), keys, ts, order, millis)
 
 
 def apply_changes(changes: DataFrame, write, checkpoint: str):
