@@ -29,6 +29,8 @@ sets can share at most, which leaves few pairs whose whole sets are needed.
 
 Scale: equal sets collapse first (map-side minima), so copies cost nothing
 beyond their own row. What is shuffled is the prefixes, a fifth of the sets.
+Pairs, which may grow faster than the texts, take prefixes and sets along in
+blocks of a bounded size, so that the disk they need does not grow with them.
 
 Edge cases: null and empty texts have the same, empty set. A text shorter than
 a shingle has one shingle of all its words.
@@ -36,13 +38,15 @@ a shingle has one shingle of all its words.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import steps, written
+from quarry.llm.common import discard, steps, written
 from quarry.llm.components import components
 from quarry.llm.simhash import fingerprint_links, majority, shingle_hashes
 
@@ -53,6 +57,10 @@ SKETCH = [f"b{k}" for k in range(4)]
 HUBS = 3
 #: Rows, of a few numbers each, up to which a side of a join is broadcast once they are counted.
 FEW = 2_000_000
+#: Pairs are verified in blocks whose first sets have that share of all sets' members: all of them by prefixes, which are a fifth, an eighth by whole sets.
+PREFIX_SHARE, MEMBER_SHARE = 1, 8
+#: Members, of 8 bytes each, for which no block is made smaller.
+BLOCK = 4_000_000
 
 
 def shingle_set(hashes: np.ndarray) -> np.ndarray:
@@ -97,7 +105,8 @@ def frequent_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
 
     counts = sample.mapInArrow(run, "key long").groupBy("key").count()
     least = max(LEAST, sample.count() // 2000)
-    rows = counts.filter(F.col("count") >= least).orderBy(F.desc("count"), "key").limit(MOST).collect()
+    often = written(counts.filter(F.col("count") >= least), "frequent")
+    rows = often.orderBy(F.desc("count"), "key").limit(MOST).collect()
     return np.sort(np.array([r.key for r in rows], np.int64).view(np.uint64))
 
 
@@ -165,16 +174,46 @@ def kept_pairs(rows: DataFrame, fits) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
+def blocks(pairs: DataFrame, sets: DataFrame, share: int) -> int:
+    """So many parts that the first sets of a part's pairs have at most about 1 / share of the members of all sets, or BLOCK."""
+    all_n = sets.agg(F.sum("n").alias("n")).first().n or 0
+    their_n = pairs.join(sets.select(F.col("set").alias("u"), "n"), "u").agg(F.sum("n").alias("n")).first().n or 0
+    return max(1, -(-their_n // max(BLOCK, all_n // share)))
+
+
+def in_blocks(pairs: DataFrame, count: int, body) -> DataFrame:
+    """The union of body(part), which is written, over count parts of pairs: what one part shuffles goes before the next."""
+    if count == 1:
+        return body(pairs)
+    return reduce(DataFrame.unionByName, [body(pairs.filter(F.pmod(F.xxhash64("u"), F.lit(count)) == k)) for k in range(count)])
+
+
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets are similar."""
+    """The pairs (u, v), which are written, whose sets are similar."""
+    spark = docs.sparkSession
     array = lambda x: x.values.to_numpy().view(np.uint64)
     may = lambda a, b, m, n: may_be_similar(array(a), array(b), m.as_py(), n.as_py(), percent)
-    named = lambda: counted(written(pairs.select(F.explode(F.array("u", "v")).alias("set")).distinct(), "named"))
-    pairs = written(kept_pairs(with_both(pairs, sets.join(named(), "set", "left_semi"), "prefix", "n"), may), "pairs")
-    rows = counted(written(sets.select("set", "k1", "k2").join(named(), "set", "left_semi"), "rows"))
-    held = written(members(docs, rows, shingle), "members")
     are = lambda a, b: similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent)
-    return written(kept_pairs(with_both(pairs, held, "hashes"), are), "links")
+    named = lambda part: counted(written(part.select(F.explode(F.array("u", "v")).alias("set")).distinct(), "named"))
+
+    def by_prefix(part: DataFrame) -> DataFrame:
+        names = named(part)
+        out = written(kept_pairs(with_both(part, sets.join(names, "set", "left_semi"), "prefix", "n"), may), "pairs")
+        discard(spark, names)
+        return out
+
+    def by_members(part: DataFrame) -> DataFrame:
+        names = named(part)
+        rows = counted(written(sets.select("set", "k1", "k2").join(names, "set", "left_semi"), "rows"))
+        held = written(members(docs, rows, shingle), "members")
+        out = written(kept_pairs(with_both(part, held, "hashes"), are), "links")
+        discard(spark, names, rows, held)
+        return out
+
+    near = in_blocks(pairs, blocks(pairs, sets, PREFIX_SHARE), by_prefix)
+    links = in_blocks(near, blocks(near, sets, MEMBER_SHARE), by_members)
+    discard(spark, near)
+    return links
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -215,14 +254,15 @@ def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     # 3: sets that have a shingle in common and are not connected yet.
     apart = met.join(components(links).withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     open_keys = apart.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
-    apart = written(apart.join(open_keys, "key", "left_semi"), "apart")
-    apart = apart.join(sets.select("set", *SKETCH), "set")
+    apart_rows = written(apart.join(open_keys, "key", "left_semi"), "apart")
+    apart = apart_rows.join(sets.select("set", *SKETCH), "set")
     both = apart.alias("a").join(apart.alias("b"), (col("a.key") == col("b.key")) & (col("a.set") > col("b.set")) & may & alike)
     rest = both.select(*pair, col("a.root").alias("ru"), col("b.root").alias("rv"), apart_at_least.alias("far")).distinct()
     rest = written(rest.join(tried, ["u", "v"], "left_anti"), "pairs")
     # Of each two components the closest pair first: what that connects needs no other pair.
     by_root = [F.greatest("ru", "rv").alias("x"), F.least("ru", "rv").alias("y")]
     best = written(rest.groupBy(*by_root).agg(F.min(F.struct("far", "u", "v")).alias("p")).select("x", "y", "p.u", "p.v"), "best")
+    discard(sets.sparkSession, met, shared, apart_rows)
     closest = verified(best.select("u", "v"), docs, sets, shingle, percent)
     merged = components(best.join(closest, ["u", "v"]).select(F.col("x").alias("u"), F.col("y").alias("v")))
     now = lambda c: merged.select(F.col("node").alias(c), F.col("root").alias(f"{c}_now"))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import LOWER, UPPER, steps, written
+from quarry.llm.common import LOWER, UPPER, discard, steps, written
 from quarry.llm.components import components
 
 SEGMENTS, BITS = 16, 4
@@ -170,4 +170,6 @@ def dedup_stage(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     groups = near_copies(docs.select("doc_id", "text", *names), shingle, percent)
     keep = groups.groupBy("root").agg(F.min("least").alias("least")).select("least.k1", "least.k2")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *names)
-    return rows.join(written(keep, "kept"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min("row").alias("row")).select("row.*")
+    kept = written(keep, "kept")
+    discard(docs.sparkSession, groups)  # it reads written tables only
+    return rows.join(kept, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min("row").alias("row")).select("row.*")
