@@ -18,7 +18,7 @@ Scale: documents are encoded row by row where they lie, with nothing shuffled.
 Texts are handled in steps of about ``WIDE_STEP`` bytes (a longer text stands
 alone): cut at white space, each distinct piece cut into words once, each
 distinct word merged once, and the codes spread to their places by index.
-A worker remembers ``KNOWN`` words at most. The vocabulary file is read on the driver
+A worker remembers ``KNOWN`` words at most (operator 9 its own number). The vocabulary file is read on the driver
 and sent as it is (its size is fixed).
 
 Edge cases: null and empty texts have no tokens and decode to the empty string;
@@ -81,6 +81,8 @@ def spread(codes: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class RankArrayBPE:
+    most_known = KNOWN
+
     def __init__(self, spec: str):
         """spec: the JSON of a tokenizer file with BPE over words with an end-of-word mark."""
         spec = json.loads(spec)
@@ -235,9 +237,9 @@ class RankArrayBPE:
         if new:
             merged = dict(zip(new, self.merge_words([w.encode("utf-8") for w in new]), strict=True))
             codes = [merged[w] if c is None else c for w, c in zip(words, codes, strict=True)]
-            if len(self.known) + len(new) > KNOWN:
-                self.known = {"": b""}
-            self.known |= merged if len(new) < KNOWN else {}
+            if len(self.known) + len(new) > self.most_known:  # those of this step stay, if that leaves room
+                self.known = {"": b""} | (dict(zip(words, codes, strict=True)) if 2 * len(words) <= self.most_known else {})
+            self.known |= merged if len(new) < self.most_known else {}
         ids, sizes = spread(codes, told.indices.to_numpy())
         sizes = np.diff(np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])])
         if not decoded:

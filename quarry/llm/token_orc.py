@@ -47,6 +47,9 @@ ORC_OPTIONS = {
 class LibraryCoder(RankArrayBPE):
     """Codes each distinct word by the library's own model; words are cut as in the parent."""
 
+    #: Some 200 bytes each. A step of a worker has about 150,000 distinct words, half of which come again.
+    most_known = 500_000
+
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
