@@ -36,11 +36,12 @@ def unmatched(clients: DataFrame, matches: DataFrame) -> DataFrame:
     return clients.join(matches, "client_id", "left_anti")
 
 
-def match_messages(producers: DataFrame, consumers: DataFrame, key: str) -> DataFrame:
-    """Pairs of producers and consumers (key, project, broker, kind, name) of one name in different projects, with the first rule that holds."""
-    p = producers.select(F.col(key).alias("producer"), F.col("project").alias("pp"), F.col("broker").alias("pb"), F.col("kind").alias("pk"), "name")
-    c = consumers.select(F.col(key).alias("consumer"), F.col("project").alias("cp"), F.col("broker").alias("cb"), F.col("kind").alias("ck"), "name")
-    rows = p.join(c, "name").filter("pp <> cp")
+#: Confidence of the rules for messages.
+MESSAGE_WORTH = {"exact": 9000, "compatible_kind": 9000, "unknown_broker": 6000, "conflicting_broker": 3000}
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """rows (pb, pk, cb, ck) to which a rule applies, with the first that holds and its confidence."""
     fits = F.col("pk").isin("topic", "queue", "routing_key") & (F.col("ck") == "pattern") | F.col("ck").isin("topic", "queue", "routing_key") & (F.col("pk") == "pattern")
     unknown = (F.col("pb") == "unknown") | (F.col("cb") == "unknown")
     alike = (F.col("pk") == F.col("ck")) | fits
@@ -48,10 +49,30 @@ def match_messages(producers: DataFrame, consumers: DataFrame, key: str) -> Data
         F.when((F.col("pb") == F.col("cb")) & (F.col("pk") == F.col("ck")), "exact").when((F.col("pb") == F.col("cb")) & fits, "compatible_kind")
         .when(unknown & alike, "unknown_broker").when(alike, "conflicting_broker")
     )
-    worth = F.create_map(*map(F.lit, ["exact", 9000, "compatible_kind", 9000, "unknown_broker", 6000, "conflicting_broker", 3000]))
+    worth = F.create_map(*(F.lit(x) for kv in MESSAGE_WORTH.items() for x in kv))
     return rows.withColumn("rule", rule).filter("rule is not null").withColumn("confidence", F.element_at(worth, F.col("rule")))
 
 
+def _side(rows: DataFrame, p: str, *more) -> DataFrame:
+    return rows.select(F.col("project").alias(f"{p}p"), F.col("broker").alias(f"{p}b"), F.col("kind").alias(f"{p}k"), "name", *more)
+
+
+def match_messages(producers: DataFrame, consumers: DataFrame, key: str) -> DataFrame:
+    """Pairs of producers and consumers (key, project, broker, kind, name) of one name in different projects, with the first rule that holds."""
+    p, c = _side(producers, "p", F.col(key).alias("producer")), _side(consumers, "c", F.col(key).alias("consumer"))
+    return _judged(p.join(c, "name").filter("pp <> cp"))
+
+
+def count_messages(producers: DataFrame, consumers: DataFrame) -> DataFrame:
+    """name, rule, n, confidence: how many pairs of match_messages each rule has for each name.
+
+    Rows of equal project, broker, kind and name are one row with a count each before they are joined, so no pair is formed.
+    """
+    p = _side(producers, "p").groupBy("pp", "pb", "pk", "name").agg(F.count("*").alias("pn"))
+    c = _side(consumers, "c").groupBy("cp", "cb", "ck", "name").agg(F.count("*").alias("cn"))
+    return _judged(p.join(c, "name").filter("pp <> cp")).groupBy("name", "rule").agg(F.sum(F.col("pn") * F.col("cn")).alias("n"), F.min("confidence").alias("confidence"))
+
+
 def match_packages(consumers: DataFrame, providers: DataFrame) -> DataFrame:
     """consumer_id, provider_id (null: external), rule, confidence for entries (id, project, ecosystem, name); providers of other projects only."""
     norm = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), F.col("project").alias(f"{p}_project"), "ecosystem", package_name(F.col("ecosystem"), F.col("name")).alias("key"), F.col("name").alias(f"{p}_name"))

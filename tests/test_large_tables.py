@@ -21,3 +21,22 @@ def check(spark, folder, name, **tables):
 def test_snippets_of_texts_without_words(spark, tmp_path):
     texts = [None, "", " ", "\n \n", "\t\n\r\n", "one", "a\nb", "a\n\n \nb\nc\nd", "\x1f\n\x85x\n　 y", "a\x00b\r\nc" + "\U0001f1e9\U0001f1eaé" * 300]
     check(spark, tmp_path, "snippets", documents=(list(enumerate(texts)), "doc_id long, text string"))
+
+
+def test_messages_are_counted_without_their_pairs(spark, tmp_path):
+    # 60,000 users of one event type are 900,000,000 pairs; what a user id stands for repeats every 60 ids.
+    spark.range(60_000).selectExpr("id as user_id", "'view' as event_type").write.parquet(f"{tmp_path}/events.parquet")
+    broker, kind = ["kafka", "rabbitmq", "rabbitmq", "unknown", "pubsub"], ["topic", "pattern", "queue"]
+    want = {}
+    for p in range(0, 60, 2):
+        for c in range(1, 60, 2):
+            (pb, pk), (cb, ck) = ((broker[u % 5], kind[u % 3]) for u in (p, c))
+            fits = "pattern" in (pk, ck) and pk != ck
+            if p % 4 != c % 4 and (pk == ck or fits):
+                rule = ("exact" if pk == ck else "compatible_kind") if pb == cb else "unknown_broker" if "unknown" in (pb, cb) else "conflicting_broker"
+                want[rule] = want.get(rule, 0) + 1000 * 1000
+    pairs = ALL["message_match"](spark, str(tmp_path))
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join") :]
+    assert join.count("Aggregate") == 4  # each side: distinct users, then counts
+    assert {r.rule: r.n for r in pairs.collect()} == want
