@@ -3,6 +3,7 @@
 import duckdb
 from helpers import same
 
+from quarry.operators import matching
 from quarry.plans import oracle
 from quarry.plans.queries import queries
 
@@ -40,3 +41,9 @@ def test_messages_are_counted_without_their_pairs(spark, tmp_path):
     join = plan[plan.index("Join") :]
     assert join.count("Aggregate") == 4  # each side: distinct users, then counts
     assert {r.rule: r.n for r in pairs.collect()} == want
+
+
+def test_routes_of_one_hot_path_are_dealt_in_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(matching, "BLOCK", 3)
+    urls = [None, "https://a.example/en", *(f"https://a.example/{'en' if k % 3 else 'de'}/{k % 9}" for k in range(60))]
+    check(spark, tmp_path, "route_match", pages=([(k, u) for k, u in enumerate(urls)], "page_id long, url string"))
