@@ -5,6 +5,9 @@ Null names never match; empty tables give no rows; ties are broken by name and i
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,13 +70,48 @@ def traversal_score(confidence: Column, provenance: Column, distance: Column) ->
     return (confidence + F.coalesce(F.element_at(table, provenance), F.lit(0)) - distance).cast("bigint")
 
 
+def _enclosing(batches):
+    """id, src, width of symbols (path, start, end, id) that come by path and start, then falling end and rising id.
+
+    ``ends`` and ``best`` hold, by rising end, the ranges so far of which no other reaches as far and is better:
+    (width, -id) rises with the end, so the first that reaches far enough is the best.
+    """
+    path, now, last, ends, best = None, None, None, [], []
+    for b in batches:
+        out: list[list] = [[], [], []]
+        for p, start, end, k in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+            if p != path:
+                path, now, last, ends, best = p, None, None, [], []
+            if (start, end) != now:
+                now, last, held = (start, end), None, None  # last: the greatest lesser id of this range; held: its other encloser
+                at = bisect_left(ends, end)
+                if at < len(ends):
+                    held = best[at]
+            elif before != k:
+                last = before
+            before = k
+            found = (end - start, -last) if last is not None else held
+            if found is not None:
+                for c, v in zip(out, (k, -found[1], found[0]), strict=True):
+                    c.append(v)
+            mine, to = (end - start, -k), bisect_left(ends, end)
+            if to < len(ends) and best[to] <= mine:
+                continue
+            at = to + (to < len(ends) and ends[to] == end)
+            while to and best[to - 1] >= mine:
+                to -= 1
+            ends[to:at], best[to:at] = [end], [mine]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["id", "src", "width"])
+
+
 def contains_edges(symbols: DataFrame) -> DataFrame:
-    """src, dst, confidence: each symbol (id, path, start, end) and the smallest other range of its file that encloses it.
+    """src, dst, confidence: each symbol (id, path, start, end; whole numbers but the path) and the smallest other range of its file that encloses it.
 
     Ranges are compared within a file only. Of equal ranges the one of smaller id encloses the other.
+    One sorted pass over each file; no pairs are formed.
     """
-    outer = symbols.select("path", F.col("id").alias("src"), F.col("start").alias("os"), F.col("end").alias("oe"))
-    same = (F.col("os") == F.col("start")) & (F.col("oe") == F.col("end"))
-    held = symbols.select("path", "id", "start", "end").join(outer, "path").filter((F.col("os") <= F.col("start")) & (F.col("oe") >= F.col("end")) & (~same | (F.col("src") < F.col("id"))))
-    best = held.groupBy("id").agg(F.min_by("src", F.struct(F.col("oe") - F.col("os"), -F.col("src"))).alias("src"))
+    whole = (F.col(c).cast("bigint").alias(c) for c in ("start", "end", "id"))
+    rows = symbols.select("path", *whole).dropna()
+    dealt = rows.repartition("path").sortWithinPartitions("path", "start", F.desc("end"), "id")
+    best = dealt.mapInArrow(_enclosing, "id long, src long, width long").groupBy("id").agg(F.min_by("src", F.struct(F.col("width"), -F.col("src"))).alias("src"))
     return best.select("src", F.col("id").alias("dst"), F.lit(10_000).cast("bigint").alias("confidence"))

@@ -1,9 +1,12 @@
 """Queries that failed on larger tables or odd rows, against their SQL on small ones."""
 
+import random
+
 import duckdb
 from helpers import same
 
 from quarry.operators import matching
+from quarry.operators import symbols as S
 from quarry.plans import oracle
 from quarry.plans.queries import queries
 
@@ -47,3 +50,17 @@ def test_routes_of_one_hot_path_are_dealt_in_blocks(spark, tmp_path, monkeypatch
     monkeypatch.setattr(matching, "BLOCK", 3)
     urls = [None, "https://a.example/en", *(f"https://a.example/{'en' if k % 3 else 'de'}/{k % 9}" for k in range(60))]
     check(spark, tmp_path, "route_match", pages=([(k, u) for k, u in enumerate(urls)], "page_id long, url string"))
+
+
+def test_enclosing_ranges_equal_brute_force_and_are_not_paired(spark):
+    deal = random.Random(5)
+    rows = [(k, f"f{deal.randrange(3)}", a := deal.randrange(12), a + deal.randrange(-1, 9)) for k in range(300)]
+    want = {}
+    for k, path, a, z in rows:
+        outer = [(e - s, -i) for i, p, s, e in rows if p == path and i != k and s <= a and e >= z and ((s, e) != (a, z) or i < k)]
+        if outer:
+            want[k] = -min(outer)[1]
+    deal.shuffle(rows)
+    got = S.contains_edges(spark.createDataFrame([*rows, (1000, None, 1, 2)], "id long, path string, start long, end long"))
+    assert {r.dst: r.src for r in got.collect()} == want
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
