@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -87,11 +90,75 @@ def embed_tokens(tokens: list[str], dimension: int = DIMENSION) -> np.ndarray:
     return out / size if size else out
 
 
+RUN, CUT = re.compile(r"[^\W_]+"), re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: Runs whose tokens a worker remembers.
+KNOWN = 200_000
+
+
+def run_tokens(run: str) -> tuple[str, ...]:
+    """identifier_tokens of letters and digits only."""
+    return tuple(CUT.sub(" ", run).lower().split(" ")) if run.isascii() else tuple(identifier_tokens(run))
+
+
+def _fnv_more(state: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """FNV-1a states carried on by size bytes of data from begin on, each."""
+    order = np.argsort(-size, kind="stable")
+    h, begin, size = state[order], begin[order], size[order]
+    left = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), side="left")  # how many have a k-th byte
+    with np.errstate(over="ignore"):
+        for k, n in enumerate(left.tolist()):
+            h[:n] = (h[:n] ^ data[begin[:n] + k]) * np.uint64(FNV_PRIME)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
+def embed_many(texts: list[list[str]], dimension: int = DIMENSION) -> np.ndarray:
+    """embed_tokens of each list of tokens, a row each."""
+    code: dict[str, int] = {}
+    ids = np.array([code.setdefault(w, len(code)) for tokens in texts for w in tokens], np.int64)
+    row = np.repeat(np.arange(len(texts)), [len(tokens) for tokens in texts])
+    out = np.zeros(len(texts) * dimension)
+    if not len(ids):
+        return out.reshape(-1, dimension)
+    raw = [w.encode("utf-8") for w in code]
+    size = np.array([len(w) + 1 for w in raw])  # with the byte 0xff at the end
+    begin = np.cumsum(size) - size
+    data = np.frombuffer(b"\xff".join(raw) + b"\xff", np.uint8).astype(np.uint64)
+    token = _fnv_more(np.full(len(raw), fnv64([b"token"]), np.uint64), data, begin, size)
+    first = _fnv_more(np.full(len(raw), fnv64([b"bigram"]), np.uint64), data, begin, size - 1)
+    with np.errstate(over="ignore"):
+        for _ in range(2):
+            first = (first ^ np.uint64(ord(":"))) * np.uint64(FNV_PRIME)
+    near = np.flatnonzero(row[1:] == row[:-1])
+    pair = _fnv_more(first[ids[near]], data, begin[ids[near + 1]], size[ids[near + 1]])
+    for h, at, weight in ((token[ids], row, 1.0), (pair, row[near], 0.5)):
+        place = at * dimension + (h % np.uint64(dimension)).astype(np.int64)
+        out += np.bincount(place, np.where(h & np.uint64(1), -weight, weight), len(out))
+    out = out.reshape(-1, dimension)
+    length = np.sqrt((out * out).sum(axis=1))
+    return out / np.where(length == 0, 1.0, length)[:, None]
+
+
 def hash_embedding(dimension: int = DIMENSION):
     """A vectorised function from a text to its embedding; a null text is an empty one."""
 
     @F.pandas_udf("array<double>")
-    def embed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: embed_tokens(identifier_tokens(cut_input(t or "")), dimension).tolist())
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, tuple[str, ...]] = {}
+
+        def tokens(text: str | None) -> list[str]:
+            out: list[str] = []
+            for run in RUN.findall(cut_input(text or "")):
+                if (got := known.get(run)) is None:
+                    if len(known) >= KNOWN:
+                        known.clear()
+                    got = known[run] = run_tokens(run)
+                out += got
+            return out
+
+        for texts in batches:
+            parts = [embed_many([tokens(x) for x in texts.iloc[at : at + 1024]], dimension) for at in range(0, len(texts), 1024)]
+            yield pd.Series([v for part in parts for v in part], index=texts.index, dtype=object)
 
     return embed

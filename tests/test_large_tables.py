@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 from helpers import same
 
+from quarry.functions import vector as V
 from quarry.operators import matching, nearest
 from quarry.operators import symbols as S
 from quarry.plans import oracle
@@ -87,3 +88,12 @@ def test_rounding_is_that_of_spark(spark):
     xs = [*(deal.uniform(-1, 1) for _ in range(3000)), *(deal.randrange(-9999, 9999) / 1e6 + 5e-7 for _ in range(3000)), 0.0, -0.0, -1e-9, 1.0]
     want = [r.y for r in spark.createDataFrame([(x,) for x in xs], "x double").coalesce(1).selectExpr("round(x, 6) y").collect()]
     assert list(map(repr, nearest.round6(np.array(xs)).tolist())) == list(map(repr, want))
+
+
+def test_embeddings_together_are_those_one_by_one():
+    deal = random.Random(2)
+    texts = ["".join(deal.choice("abABz09_ -é߀İiΣσΑ𝐀ǅ²Ⅷ٣\n") for _ in range(deal.choice([0, 3, 30]))) for _ in range(300)]
+    texts += ["one", "parseHTTPRequest snake_case Élan", "a" * 1999]
+    tokens = [V.identifier_tokens(x) for x in texts]
+    assert [[w for run in V.RUN.findall(x) for w in V.run_tokens(run)] for x in texts] == tokens
+    assert np.array_equal(V.embed_many(tokens), np.array([V.embed_tokens(x) for x in tokens]))
