@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import common, near_copies
+from quarry.llm import common, near_copies, substring_dedup
 from quarry.llm.simhash import dedup_stage
 from quarry.llm.substring_dedup import remove_repeats
 
@@ -81,3 +81,13 @@ def test_blocks_of_pairs_give_the_same_result(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "in_blocks", lambda pairs, count, body: parts.append(count) or held(pairs, count, body))
     assert kept() == whole
     assert max(parts) > 1
+
+
+def test_what_op4_deals_out_and_leaves_has_no_needless_columns(spark):
+    docs = spark.createDataFrame([(k, k, f"{k} " + "the same passage " * 20) for k in range(20)], "doc_id long, th long, t string")
+    found = substring_dedup.find_segments(docs, 100)
+    assert found.columns == ["anchor", "seg", "doc", "th", "start", "n"] and found.filter("n < 0").count() > 0
+    left = substring_dedup.compare_segments(found, 4, substring_dedup.HOT)
+    assert "seg" not in left.columns
+    repeats = left.filter(F.col("kind") == substring_dedup.REPEAT)
+    assert repeats.count() > 0 and repeats.filter("anchor is not null or n <= 0").count() == 0
